@@ -309,19 +309,20 @@ def extract_dates(df: DataFrame, text_col: str, forms: list[str] | None = None,
     """
     forms = forms or list(FORMS)
     keys = keys if keys is not None else [c for c in df.columns if c != text_col]
-    found = []
-    for tier, form in enumerate(forms, start=1):
-        pattern, read = FORMS[form]
-        found.append(
-            F.transform(
-                F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0)),
-                lambda m, i, tier=tier, form=form, read=read: F.struct(
-                    F.lit(tier).alias("tier"),
-                    F.lit(form).alias("form"),
-                    i.alias("pos"),
-                    m.alias("match"),
-                    read(m).alias("event_at"),
-                ),
-            )
-        )
+    found = [_all_matches(F.col(text_col), tier, form) for tier, form in enumerate(forms, start=1)]
     return df.select(*keys, F.inline(F.concat(*found)))
+
+
+def _all_matches(text: Column, tier: int, form: str) -> Column:
+    pattern, read = FORMS[form]
+
+    def candidate(match: Column, pos: Column) -> Column:
+        return F.struct(
+            F.lit(tier).alias("tier"),
+            F.lit(form).alias("form"),
+            pos.alias("pos"),
+            match.alias("match"),
+            read(match).alias("event_at"),
+        )
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), candidate)

@@ -100,8 +100,9 @@ def pick_by_channel(*observations: DataFrame, keys: list[str] | None = None) ->
     every = ranked[0]
     for other in ranked[1:]:
         every = every.unionByName(other)
-    rank = F.when(F.col("ok"), F.col("channel")).otherwise(-F.col("channel"))
-    return _winner(every, keys, F.struct(~F.col("ok"), rank)).drop("channel")
+    good = F.coalesce("ok", F.lit(False))
+    rank = F.when(good, F.col("channel")).otherwise(-F.col("channel"))
+    return _winner(every, keys, F.struct(~good, rank)).drop("channel")
 
 
 def with_confidence(obs: DataFrame, rules: DataFrame, keys: list[str] | None = None) -> DataFrame:
