@@ -1,8 +1,8 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from eventboard.plans import boards, datequeries, freshness, pagequeries
+from eventboard.plans import boards, datequeries, freshness, pagequeries, sourcequeries
 
-_GROUPS = [freshness, boards, pagequeries, datequeries]
+_GROUPS = [freshness, boards, pagequeries, datequeries, sourcequeries]
 
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 ORACLES = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
