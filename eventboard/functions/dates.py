@@ -96,11 +96,10 @@ def _read_clock(match: Column) -> Column:
 
 def at_zone(local: Column, tz: Column | str = "UTC") -> Column:
     """The UTC instant of a wall-clock time in ``tz``."""
-    if isinstance(tz, str):
-        return local if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
-    return F.when(F.coalesce(tz, F.lit("UTC")) == "UTC", local).otherwise(
-        F.convert_timezone(tz, F.lit("UTC"), local)
-    )
+    if isinstance(tz, str) and tz == "UTC":
+        return local
+    zone = F.lit(tz) if isinstance(tz, str) else F.coalesce(tz, F.lit("UTC"))
+    return F.convert_timezone(zone, F.lit("UTC"), local)
 
 
 # Name -> (pattern, reading of one match). ``extract_dates`` uses the same table.
@@ -221,10 +220,10 @@ def strip_noise_prefix(c: Column) -> Column:
 
 def _shift(local: Column, zone: Column) -> Column:
     """Move a wall-clock time to UTC by a ``Z`` / ``GMT`` / ``+hh:mm`` / ``+hhmm`` offset."""
-    digits = F.replace(zone, F.lit(":"), F.lit(""))
-    minutes = _int(F.substring(digits, 2, 2)) * 60 + _int(F.substring(digits, 4, 2))
-    signed = F.when(F.substring(digits, 1, 1) == "-", -minutes).otherwise(minutes)
-    return F.when(zone.rlike(r"^[+-]"), local - F.make_dt_interval(mins=signed)).otherwise(local)
+    digits = F.regexp_replace(zone, "[^0-9]", "")
+    minutes = _int(F.substring(digits, 1, 2)) * 60 + _int(F.substring(digits, 3, 2))
+    signed = F.when(zone.startswith("-"), -minutes).when(zone.startswith("+"), minutes)
+    return local - F.make_dt_interval(mins=F.coalesce(signed, F.lit(0)))
 
 
 def rfc822(c: Column) -> Column:
@@ -238,8 +237,12 @@ def iso_instant(c: Column, tz: Column | str = "UTC") -> Column:
     """A whole ISO-8601 date or instant; a clock time without an offset is read in ``tz``."""
     g = [F.regexp_extract(c, ISO_INSTANT, i) for i in range(1, 8)]
     local = _at(_int(g[0]), _int(g[1]), _int(g[2]), _int(g[3]), _int(g[4]), _seconds(g[5]))
+    shifted = _shift(local, g[6])
+    if isinstance(tz, str) and tz == "UTC":
+        return shifted
     # A bare date is UTC midnight; only a clock time without an offset depends on the zone.
-    return F.when((g[3] != "") & (g[6] == ""), at_zone(local, tz)).otherwise(_shift(local, g[6]))
+    zone = F.lit(tz) if isinstance(tz, str) else tz
+    return at_zone(shifted, F.when((g[3] != "") & (g[6] == ""), zone))
 
 
 def any_date(c: Column, tz: Column | str = "UTC") -> Column:

@@ -115,9 +115,14 @@ def resolve_url(href: Column, base: Column | str, cut_query: bool = False) -> Co
         .when(href.startswith("?"), F.concat(page, href))
         .otherwise(F.concat(folder, href))
     )
-    path = F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", 2)
-    tail = F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", 3)
-    head = F.regexp_extract(joined, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    # Bound once, so that the long expression above is neither repeated nor evaluated again.
+    out = F.get(F.transform(F.array(joined), _without_dot_segments), 0)
+    return F.split_part(out, F.lit("?"), F.lit(1)) if cut_query else out
+
+
+def _without_dot_segments(url: Column) -> Column:
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+    head, path, tail = (F.regexp_extract(url, parts, i) for i in (1, 2, 3))
     walked = F.aggregate(
         F.split(path, "/"),
         F.array().cast("array<string>"),
@@ -126,6 +131,5 @@ def resolve_url(href: Column, base: Column | str, cut_query: bool = False) -> Co
         .when(part == "..", acc)
         .otherwise(F.concat(acc, F.array(part))),
     )
-    dotted = F.concat(head, F.array_join(walked, "/"), tail)
-    out = F.when(joined.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/\.\.?(?:[/?#]|$)"), dotted).otherwise(joined)
-    return F.split_part(out, F.lit("?"), F.lit(1)) if cut_query else out
+    has_dots = url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/\.\.?(?:[/?#]|$)")
+    return F.when(has_dots, F.concat(head, F.array_join(walked, "/"), tail)).otherwise(url)

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # A selector's parts must all hold; NULL parts are ignored. ``cls_like`` and ``href`` are substrings,
 # ``within`` is the class of some enclosing element.
-SELECTOR = "struct<tag:string,cls:string,cls_like:string,href:string,within:string>"
-SELECTOR_FIELDS = ["tag", "cls", "cls_like", "href", "within"]
+SELECTOR = "struct<tag:string,id:string,cls:string,cls_like:string,href:string,within:string>"
+SELECTOR_FIELDS = ["tag", "id", "cls", "cls_like", "href", "within"]
 PAGE = "#page"
 
 MARK = (
@@ -114,6 +114,8 @@ class _Outline(HTMLParser):
         for s in selectors:
             if s["tag"] is not None and self.tags[node] != s["tag"]:
                 continue
+            if s["id"] is not None and s["id"] != self.attrs[node].get("id"):
+                continue
             if s["cls"] is not None and s["cls"] not in self.classes[node]:
                 continue
             if s["cls_like"] is not None and s["cls_like"] not in self.attrs[node].get("class", ""):
@@ -203,12 +205,14 @@ def _outline_udf():
 
 
 def selector(text: str) -> dict[str, str | None]:
-    """``tag``, ``.class``, ``tag*part``, ``a@href-part`` and ``.outer tag`` as a selector record."""
+    """``tag``, ``#id``, ``.class``, ``tag*part``, ``a@href-part`` and ``.outer tag`` as a selector record."""
     record = dict.fromkeys(SELECTOR_FIELDS)
+    if text == PAGE:
+        return record | {"tag": PAGE}
     if " " in text:
         outer, text = text.split(" ", 1)
         record["within"] = outer.removeprefix(".")
-    for sign, field in (("@", "href"), ("*", "cls_like"), (".", "cls")):
+    for sign, field in (("@", "href"), ("*", "cls_like"), (".", "cls"), ("#", "id")):
         if sign in text:
             text, record[field] = text.split(sign, 1)
             break
