@@ -1,8 +1,16 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from eventboard.plans import boards, datequeries, freshness, observequeries, pagequeries, sourcequeries
+from eventboard.plans import (
+    boards,
+    datequeries,
+    freshness,
+    observequeries,
+    pagequeries,
+    sourcequeries,
+    streamqueries,
+)
 
-_GROUPS = [freshness, boards, pagequeries, datequeries, sourcequeries, observequeries]
+_GROUPS = [freshness, boards, pagequeries, datequeries, sourcequeries, observequeries, streamqueries]
 
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 ORACLES = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}
