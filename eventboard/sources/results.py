@@ -37,7 +37,7 @@ def parse_results(df: DataFrame, json_col: str = "value") -> DataFrame:
 def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Records from JSON files (one each, or one per line); a missing path reads as no records."""
     try:
-        text = spark.read.option("wholetext", not lines).text(path)
+        text = spark.read.text(path, wholetext=not lines)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
