@@ -1,17 +1,21 @@
 """The one Python step: an HTML body becomes an array of selected elements.
 
-Runs as a vectorised UDF inside the scan's own tasks, so no page leaves its row and nothing is
+Runs as an Arrow UDF inside the scan's own tasks, so no page leaves its row and nothing is
 shuffled. It only finds elements and their text; dates, keywords and picks are Spark expressions.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 # A selector's parts must all hold; NULL parts are ignored. ``cls_like`` and ``href`` are substrings,
 # ``within`` is the class of some enclosing element.
@@ -186,7 +190,7 @@ def _elements(body: str | None, selectors, closest, drop_noscript) -> list[dict]
                 grand_at=at.get(above[1]) if len(above) > 1 else None,
                 card_at=at.get(nearest.get(i)),
                 parent_pos=above[0] if above else None,
-                tag=o.tags[i], classes=o.classes[i], attrs=o.attrs[i], text=o.text_of(i),
+                tag=o.tags[i], classes=o.classes[i], attrs=list(o.attrs[i].items()), text=o.text_of(i),
                 href=o.attrs[anchor].get("href"),
                 link_text="".join(o.text_of(k) for k in inner) if inner else o.text_of(i),
                 times=[mark(k) for k in inside(marks, i)],
@@ -196,10 +200,22 @@ def _elements(body: str | None, selectors, closest, drop_noscript) -> list[dict]
     return out
 
 
+@lru_cache(maxsize=4096)
+def _decoded(selectors: str | None) -> list[dict] | None:
+    if selectors is None:
+        return None
+    return [{**dict.fromkeys(SELECTOR_FIELDS), **s} for s in json.loads(selectors)]
+
+
 def _outline_udf():
-    @F.pandas_udf(f"array<{ELEMENT}>")
-    def outline(body: pd.Series, selectors: pd.Series, closest: pd.Series, drop: pd.Series) -> pd.Series:
-        return pd.Series([_elements(*row) for row in zip(body, selectors, closest, drop, strict=True)], dtype=object)
+    returned = f"array<{ELEMENT}>"
+    arrow_type = to_arrow_type(_parse_datatype_string(returned))
+
+    @F.arrow_udf(returned)
+    def outline(body: pa.Array, selectors: pa.Array, closest: pa.Array, drop: pa.Array) -> pa.Array:
+        rows = zip(*(column.to_pylist() for column in (body, selectors, closest, drop)), strict=True)
+        found = [_elements(b, _decoded(s), _decoded(c), d) for b, s, c, d in rows]
+        return pa.array(found, arrow_type)
 
     return outline
 
@@ -221,17 +237,17 @@ def selector(text: str) -> dict[str, str | None]:
 
 
 def selectors_column(texts: list[str]) -> Column:
-    records = [selector(t) for t in texts]
-    return F.array(
-        *[F.struct(*[F.lit(r[f]).cast("string").alias(f) for f in SELECTOR_FIELDS]) for r in records]
-    )
+    return F.lit(json.dumps([selector(t) for t in texts]))
 
 
 def elements(body: Column, selectors: Column, closest: Column | None = None, drop_noscript: Column | None = None) -> Column:
-    """Array of the elements matching ``selectors``, in document order, NULL for a NULL body."""
+    """Array of the elements matching ``selectors``, in document order, NULL for a NULL body.
+
+    ``selectors`` and ``closest`` are JSON lists of selector records, one short string per row.
+    """
     return _outline_udf()(
         body,
         selectors,
-        closest if closest is not None else F.lit(None).cast(f"array<{SELECTOR}>"),
+        closest if closest is not None else F.lit(None).cast("string"),
         drop_noscript if drop_noscript is not None else F.lit(True),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventboard.functions.predicates import instant, matches_any, plausible, upcoming
+from eventboard.operators.sizing import broadcast_if_small
 
 
 def _winner(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -79,7 +80,7 @@ def pick_by_tier(
     """
     dated = cand.filter(F.col(at).isNotNull())
     if rules is not None:
-        guards = rules.select("tier", "guarded")
+        guards = broadcast_if_small(rules.select("tier", "guarded"))
         dated = dated.join(guards, "tier", "left").filter(
             ~F.coalesce("guarded", F.lit(False)) | plausible(F.col(at), as_of)
         )
@@ -109,7 +110,7 @@ def with_confidence(obs: DataFrame, rules: DataFrame, keys: list[str] | None = N
     """Confidence of the rule and channel that produced each observation."""
     keys = keys or ["source_id", "channel"]
     base = obs.drop("confidence")
-    return base.join(rules.select(*keys, "confidence"), keys, "left")
+    return base.join(broadcast_if_small(rules.select(*keys, "confidence")), keys, "left")
 
 
 def relevant_count(cand: DataFrame, relevant: Column, keys: list[str] | None = None, at: str = "event_at") -> DataFrame:

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from eventboard.functions import dates as dt
 from eventboard.functions import predicates as pr
 from eventboard.operators import pick
-from eventboard.plans.tables import table
+from eventboard.plans.tables import spread, table
 
 NOW = "1998-01-01 00:00:00"
 END_NOW = "2024-01-20 00:00:00"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders")
+    return spread(table(spark, sf_dir, "orders"))
 
 
 def _printed(pattern: str, before: str = "Released ", after: str = " as planned") -> Column:

@@ -26,6 +26,7 @@ from eventboard.operators import outline
 from eventboard.operators import pages as pg
 from eventboard.operators.pick import pick_by_channel
 from eventboard.operators.resolve import CRASHED
+from eventboard.operators.sizing import broadcast_if_small
 from eventboard.plans.rules import SOURCE_NAME, WEEKLY_NOTE
 from eventboard.schemas import OBSERVATIONS, columns
 from eventboard.sources.feeds import items_of, status_of
@@ -42,10 +43,13 @@ MARK_CLASSES = ["date", "published-at", "article-date"]
 def bind_rules(snapshots: DataFrame, rules: DataFrame) -> DataFrame:
     """Snapshots with each rule that reads them.
 
-    The rules table is small and local, so Spark's own size check makes this a broadcast join and
-    bodies stay where they were read; a rules table beyond the limit falls back to a shuffle.
+    A rules table of checked size is broadcast, so bodies stay where they were read; a larger one is
+    joined by shuffle on the source, where adaptive skew joins split a hot source.
     """
     r = rules.withColumnsRenamed({"source_id": "_source", "fetch_mode": "_mode"})
+    # Selectors travel to the parser as text, prepared once per rule rather than once per page.
+    r = r.withColumns({"cards": F.to_json("cards"), "closest": F.to_json("closest")})
+    r = broadcast_if_small(r)
     article = F.col("unit") == "article"
     its_page = F.when(
         article, (F.col("requested_url") != F.col("listing_url")) | F.coalesce(F.col("on_missing") == "use_listing", F.lit(False))

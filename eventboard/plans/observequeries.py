@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from eventboard.operators import resolve as rs
 from eventboard.plans.observe import observe
 from eventboard.plans.rules import URLS, registry, rules_table
-from eventboard.plans.tables import table
+from eventboard.plans.tables import spread, table
 from eventboard.schemas import SNAPSHOTS, columns
 
 OUT = ["run_id", "ok", "event_at", "source_url", "notes", "confidence", "http_status", "failure_type", "explanation"]
@@ -153,13 +153,13 @@ PAGES = {
 
 
 def observe_source(source: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = PAGES[source](table(spark, sf_dir, "orders"))
+    pages = PAGES[source](spread(table(spark, sf_dir, "orders")))
     rules = rules_table(spark).filter(F.col("source_id") == source)
     return observe(pages, rules).select(*OUT)
 
 
 def observe_gta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     pages = _fortnite(orders)
     runs = pages.select("run_id", F.col("fetched_at").alias("started_at"))
     rules = rules_table(spark).filter(F.col("source_id").isin("fortnite", "gta"))
@@ -168,7 +168,7 @@ def observe_gta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refresh_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of three sources to observations, resolved history and health per year of runs."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     pages = _fortnite(orders).unionByName(_warzone(orders)).unionByName(_roblox(orders))
     obs = observe(pages, rules_table(spark)).withColumn("seq", F.col("run_id").cast("long"))
     named = obs.join(registry(spark).select("source_id", "event_type", "name"), ["source_id", "event_type"], "left")

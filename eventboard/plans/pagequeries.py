@@ -9,14 +9,14 @@ from eventboard.functions import predicates as pr
 from eventboard.functions import text as tx
 from eventboard.operators import pages as pg
 from eventboard.operators import pick
-from eventboard.plans.tables import table
+from eventboard.plans.tables import spread, table
 
 KEYS = ["page_id"]
 WORDS = ["que", "der", "the"]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", "url", F.col("html").alias("body"))
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from eventboard.operators import pages as pg
 from eventboard.operators import pick
 from eventboard.operators import resolve as rs
 from eventboard.operators.follow import follow_links
-from eventboard.plans.tables import HISTORY_SQL, run_log, table
+from eventboard.plans.tables import HISTORY_SQL, run_log, spread, table
 from eventboard.sources import feeds, results, snapshots
 
 PAGE_STATUS = [200, 403, 404, 503, 204]
@@ -27,7 +27,7 @@ def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.concat(
         F.lit('{"result":{"status_overall":{"status":"'), word, F.lit('","updated":'), updated, F.lit("}}}")
     )
-    docs = table(spark, sf_dir, "events").select("event_id", json.alias("doc"))
+    docs = spread(table(spark, sf_dir, "events")).select("event_id", json.alias("doc"))
     return feeds.status_docs(docs, "doc", ["event_id"])
 
 
@@ -48,7 +48,7 @@ def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
         item(F.lit("Weekend event"), 0), item(second, 3), item(F.lit("Old patch"), 9),
         F.lit("</channel></rss>"),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", xml.alias("doc"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", xml.alias("doc"))
 
 
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def _marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     html = F.concat(F.lit("<html><head>"), data, F.lit("</head><body><h1>Order "), F.col("o_orderkey").cast("string"),
                     F.lit("</h1>"), mark, F.lit("<time datetime='1990-01-01'>later</time></body></html>"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", html.alias("body"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", html.alias("body"))
 
 
 def time_marks(spark: SparkSession, sf_dir: str) -> DataFrame:

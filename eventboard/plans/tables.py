@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores if the scan has fewer splits than cores.
+
+    For work that is heavy per row. A table of ordinary size has more splits than there are cores
+    and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def source_type(number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in TYPES]), (number % len(TYPES) + 1).cast("int"))
 
