@@ -10,6 +10,7 @@ across slices is a window over a few thousand tiny rows per key at most.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -49,13 +50,14 @@ def with_slices(
         return None
     cuts = _cuts(df, _micros(at), parts)
     sliced = _bucket(df, _micros(at), cuts, "_slice")
-    crowded = sorted({c for c in cuts if cuts.count(c) > 1}) if len(set(cuts)) < len(cuts) else []
+    times = Counter(cuts)
+    crowded = sorted(c for c, n in times.items() if n > 1)
     numeric = isinstance(df.schema[tie].dataType, T.NumericType)
     if not crowded or not numeric:
         return sliced.withColumn("_part", F.lit(0.0))
     # Rows at a crowded instant come first in its slice, cut by the tie-break; all others follow.
-    share = sum(cuts.count(c) for c in crowded) + 1
-    number = F.col(tie).cast("double")
+    share = sum(times[c] for c in crowded) + 1
+    number = F.coalesce(F.col(tie).cast("double"), F.lit(-math.inf))
     tie_cuts = _cuts(df.filter(_micros(at).isin(crowded)), number, share)
     parted = _bucket(sliced, number, tie_cuts, "_part")
     after = F.lit(float(len(tie_cuts) + 2))

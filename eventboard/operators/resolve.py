@@ -104,19 +104,25 @@ def resolve_history(
 
     ``lkg`` gives records from before the first run; ``keep`` names extra columns to pass through.
     """
+    rows = obs if lkg is None else _with_seeds(obs, lkg)
     carried = carry_forward(
-        obs, KEY, "fetched_at", tie, F.col("ok"), good_record(), "lkg", rows_per_slice, max_slices
+        rows, KEY, "fetched_at", tie, F.col("ok"), good_record(), "lkg", rows_per_slice, max_slices
     )
-    if lkg is not None:
-        seed = lkg.filter(F.col("status") == "fresh").select(*KEY, good_record().alias("_seed"))
-        carried = carried.join(seed, KEY, "left")
-        # A late row may be older than the seed; it must not inherit from its own future.
-        usable = F.when(F.col("_seed.fetched_at") <= F.col("fetched_at"), F.col("_seed"))
-        newer = F.col("_seed.fetched_at") > F.col("lkg.fetched_at")
-        carried = carried.withColumn(
-            "lkg", F.when(newer & usable.isNotNull(), usable).otherwise(F.coalesce("lkg", usable))
-        )
-    return settle(carried, keep)
+    return settle(carried if lkg is None else carried.filter(~F.col("_seed")), keep)
+
+
+def _with_seeds(obs: DataFrame, lkg: DataFrame) -> DataFrame:
+    """Earlier good records put into the timeline at their own time, marked ``_seed``.
+
+    Being rows like all others, they need no join on a possibly hot source, and a late row cannot
+    inherit from its own future.
+    """
+    known = columns(LIVE)
+    fields = {
+        c: F.col(c) if c in known else F.lit(None).cast(obs.schema[c].dataType) for c in obs.columns
+    } | {"ok": F.lit(True)}
+    seeds = lkg.filter(F.col("status") == "fresh").select(*[fields[c].alias(c) for c in obs.columns])
+    return obs.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)))
 
 
 def resolve_latest(obs: DataFrame, tie: str = "run_id", keep: list[str] | None = None) -> DataFrame:
