@@ -7,11 +7,12 @@ shuffled. It only finds elements and their text; dates, keywords and picks are S
 from __future__ import annotations
 
 import json
+import sys
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -200,21 +201,24 @@ def _elements(body: str | None, selectors, closest, drop_noscript) -> list[dict]
     return out
 
 
-@lru_cache(maxsize=4096)
-def _decoded(selectors: str | None) -> list[dict] | None:
-    if selectors is None:
-        return None
-    return [{**dict.fromkeys(SELECTOR_FIELDS), **s} for s in json.loads(selectors)]
+def _decoded(selectors: str | None, known: dict) -> list[dict] | None:
+    """Selector records of a JSON text; ``known`` remembers the few distinct texts of a batch."""
+    if selectors is not None and selectors not in known:
+        known[selectors] = [{**dict.fromkeys(SELECTOR_FIELDS), **s} for s in json.loads(selectors)]
+    return known.get(selectors)
 
 
 def _outline_udf():
+    # The parser travels with the task, so executors need not have this package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     returned = f"array<{ELEMENT}>"
     arrow_type = to_arrow_type(_parse_datatype_string(returned))
 
     @F.arrow_udf(returned)
     def outline(body: pa.Array, selectors: pa.Array, closest: pa.Array, drop: pa.Array) -> pa.Array:
+        known: dict = {}
         rows = zip(*(column.to_pylist() for column in (body, selectors, closest, drop)), strict=True)
-        found = [_elements(b, _decoded(s), _decoded(c), d) for b, s, c, d in rows]
+        found = [_elements(b, _decoded(s, known), _decoded(c, known), d) for b, s, c, d in rows]
         return pa.array(found, arrow_type)
 
     return outline
