@@ -94,10 +94,8 @@ def _heading_matches(h: Column, wanted: Column) -> Column:
     return F.exists(wanted, one)
 
 
-def _title(e: Column) -> Column:
-    heads = F.transform(
-        F.filter(e["headings"], lambda h: _heading_matches(h, F.col("headings"))), lambda h: h["text"]
-    )
+def _title(e: Column, wanted: str = "headings") -> Column:
+    heads = F.transform(F.filter(e["headings"], lambda h: _heading_matches(h, F.col(wanted))), lambda h: h["text"])
     title = tx.blank_to_null(F.when(F.col("title_all"), F.array_join(heads, "")).otherwise(F.get(heads, 0)))
     spare = F.when(F.col("title_else") == "line", tx.first_line(e["text"])).when(
         F.col("title_else") == "chars", tx.first_chars(e["text"])
@@ -171,7 +169,14 @@ def _card_candidates() -> Column:
         tiers = F.filter("tiers", lambda t: (t["part"] == "body") == whole)
         title = F.when(whole, F.col("fixed_title")).otherwise(_title(e))
         url = F.when(~whole, _link(e))
-        return F.transform(tiers, lambda t: _candidate(whole, i, t, _card_value(e, t["part"]), title, url))
+        # Some rules title a date found in plain text by fewer kinds of heading.
+        plain = F.when(F.col("text_headings").isNull(), title).otherwise(_title(e, "text_headings"))
+
+        def one(t: Column) -> Column:
+            named = F.when(t["part"] == "text", plain).otherwise(title)
+            return _candidate(whole, i, t, _card_value(e, t["part"]), named, url)
+
+        return F.transform(tiers, one)
 
     return F.flatten(F.transform("hits", of_card))
 

@@ -18,7 +18,7 @@ RULES = (
     f" cards array<{SELECTOR}>, closest array<{SELECTOR}>, drop_noscript boolean, first_n int,"
     " keywords array<string>, keyword_in string, version_ok boolean, href_pattern string,"
     " follow boolean, on_missing string, listing_url string, forbidden_query string, listing_status boolean,"
-    " unguarded boolean, headings array<string>, title_all boolean, title_else string, fixed_title string,"
+    " unguarded boolean, headings array<string>, text_headings array<string>, title_all boolean, title_else string, fixed_title string,"
     f" tiers array<{TIER}>, policy string, confidence string, notes_prefix string, public_url string,"
     " link_base string, cut_query boolean, link_as_is boolean, failure_text string, no_link_text string,"
     " source_tz string"
@@ -205,7 +205,7 @@ def default_rules() -> list[dict]:
         of(
             "warzone", "card", [("time_attr", "any_date", False), ("text", "slash_or_month", False)],
             cards=["article", ".patch-note", ".card", "a"], keywords=["warzone"], keyword_in="text", policy="latest",
-            confidence="medium", headings=["h2", "h3", ".title"], public_url=URLS["warzone"],
+            confidence="medium", headings=["h2", "h3", ".title"], text_headings=["h2", "h3"], public_url=URLS["warzone"],
         ),
         of(
             "genshin", "card", [], drop_noscript=True, follow=True, on_missing="fail", confidence="medium",

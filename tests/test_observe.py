@@ -148,3 +148,10 @@ def test_new_source_is_only_rows(spark):
     row = run(spark, ("chess", "https://chess.example/", body), rules=rules)["chess"]
     assert (row.event_at, row.confidence, row.event_type) == (datetime(2026, 2, 8, 23), "low", "next-round")
     assert sources.count() == len(SOURCES) + 1
+
+
+def test_plain_text_dates_use_fewer_headings(spark):
+    plain = "<a href='/x'>Warzone <b class='title'>T</b> 1/7/2026</a>"
+    assert run(spark, ("warzone", URLS["warzone"], plain))["warzone"].notes is None
+    timed = plain.replace("1/7/2026", "<time datetime='2026-01-07'>x</time>")
+    assert run(spark, ("warzone", URLS["warzone"], timed))["warzone"].notes == "T"
