@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventboard.llm import chat, contamination, pieces, pii, quality, secrets, shards, urls
+from eventboard.llm import chat, contamination, near, pieces, pii, quality, secrets, shards, urls
 
 SHARDS = 40
 
@@ -61,6 +61,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_read(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(_read(spark, sf_dir, "documents"))
+
+
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl of ``pages``; the fetch date follows from the page."""
     return _read(spark, sf_dir, "pages").select(
@@ -101,6 +105,7 @@ QUERIES = {
         op6_secrets,
         op7_shards,
         op8_pii,
+        op9_near_duplicates,
         op10_url_list,
     )
 }
@@ -111,6 +116,8 @@ _SHINGLES = r"""
              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
     FROM (SELECT {id}, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM {table})"""
 
+_LOWER_ASCII = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op2_chat_windows": rf"""
     WITH RECURSIVE given AS (
@@ -155,6 +162,21 @@ ORACLES = {
     n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
     SELECT doc_id, item_id, count(*) AS n_shared, n_item
     FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item""",
+    "op9_near_duplicates": f"""
+    WITH RECURSIVE d AS ({_SHINGLES.format(id="doc_id", table="documents").replace("lower(text)", _LOWER_ASCII)}),
+    n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    -- Equal texts first: one of them stands for all in the join of shingles.
+    c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS node FROM documents WHERE doc_id IN (SELECT doc_id FROM n)),
+    r AS (SELECT d.* FROM d WHERE doc_id IN (SELECT node FROM c)),
+    l AS (
+      SELECT x.doc_id AS a, y.doc_id AS b FROM r x JOIN r y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+      HAVING 100 * count(*) >= 75 * (first((SELECT n FROM n WHERE n.doc_id = x.doc_id)) + first((SELECT n FROM n WHERE n.doc_id = y.doc_id)) - count(*))),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    w AS (SELECT DISTINCT node AS v, node AS o FROM c UNION SELECT e.b, w.o FROM w JOIN e ON e.a = w.v),
+    m AS (SELECT v, min(o) AS component_id FROM w GROUP BY v)
+    SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, t.doc_id) AS component_id,
+           coalesce(m.component_id, t.doc_id) = t.doc_id AS kept
+    FROM documents t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.v = c.node""",
     "op10_url_list": rf"""
     WITH p AS (
       SELECT page_id, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') AS host,
