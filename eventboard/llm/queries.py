@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventboard.llm import chat, contamination, near, pieces, pii, quality, secrets, shards, urls
+from eventboard.llm import chat, contamination, near, pieces, pii, quality, secrets, shards, substrings, urls
 
 SHARDS = 40
 
@@ -33,6 +33,10 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(fixed)))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(_read(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -100,6 +104,7 @@ QUERIES = {
     for f in (
         op1_quality_llr,
         op2_chat_windows,
+        op3_repeated_substrings,
         op4_pieces,
         op5_contamination,
         op6_secrets,
