@@ -2,15 +2,15 @@
 
 Texts with equal shingle sets are one node. Every node has ``VALUES`` MinHash values, read in ``TREES`` orders (each
 begins at another value and goes round). Nodes that agree on the first ``BASE`` values of an order form a region of
-that order. A region of more than ``REGION`` nodes is read deeper, each of its nodes to the first depth of ``DEPTHS``
-at which no more than that many agree with it; nodes that still agree on everything are dealt into chunks that share
+that order. A region of more than ``REGION`` nodes is read deeper, depth by depth of ``DEPTHS``, until no more than that
+many agree; nodes that still agree on everything are dealt into chunks that share
 their smallest node.
 
 1. Within each such region the longest common prefixes lie next to each other; the pairs of a spanning tree of the most
    similar signatures are candidates. They are confirmed on full sets, and confirmed links are joined to components.
 2. Components leave few open questions: all pairs of a base region that lie in different components, and whose
-   signatures do not rule out the threshold, are confirmed too. Regions are read in blocks, the nodes outside the
-   largest component against all.
+   signatures do not rule out the threshold, are compared on full sets too. Regions are read in blocks, the nodes outside
+   the largest component against all; the pairs stay inside the task, which hands on links only.
 
 So deeper reading only saves work; no pair that shares a base region is lost by it. Two texts at the threshold share
 one of the 32 regions of depth 4 with probability 1 - 5e-6.
@@ -35,7 +35,7 @@ from eventboard.llm.scratch import arrow_map, stored
 from eventboard.llm.shingles import VALUES, set_keys, shingle_sets, signatures
 
 TREES, BASE = 32, 4
-DEPTHS = (6, 8, 12, 16, 24, 48, VALUES)
+DEPTHS = (8, 16, 32, VALUES)
 REGION = 24
 #: Nodes of a region that one task compares with each other at once.
 BLOCK = 2_048
@@ -82,6 +82,7 @@ def _prefix_key(sig: np.ndarray, tree: np.ndarray, depth: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+_BRANCHES_DDL = "key long, node long, tree int"
 _BRANCHES = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("tree", pa.int32())])
 
 
@@ -95,15 +96,17 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield table(_BRANCHES, [_prefix_key(sig, tree, BASE), node, tree.astype(np.int32)])
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each further depth of a node in an overfull region."""
-    schema = pa.schema([("node", pa.int64()), ("tree", pa.int32()), ("depth", pa.int32()), ("deep", pa.int64())])
-    for batch in batches:
-        if batch.num_rows:
-            sig, tree = _matrix(batch.column("signature")), batch.column("tree").to_numpy().astype(np.int64)
-            for d in DEPTHS:
-                depth = np.full(len(tree), d, dtype=np.int32)
-                yield table(schema, [batch.column("node"), batch.column("tree"), depth, _prefix_key(sig, tree, d)])
+def _at_depth(depth: int) -> Callable:
+    """Regions of one further depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                tree = batch.column("tree").to_numpy().astype(np.int64)
+                key = _prefix_key(_matrix(batch.column("signature")), tree, depth)
+                yield table(_BRANCHES, [key, batch.column("node"), batch.column("tree")])
+
+    return run
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -177,23 +180,55 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _pairs_out(trees())
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block of a region that lie in different components: askers against all."""
+def _partners(group: pa.RecordBatch, sig: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the region in other components than row ``k`` that its signature does not rule out.
+
+    A pair that shares base regions of several orders is looked at in the first of them only.
+    """
+    component, home = group.column("component").to_numpy(), group.column("own_block").to_numpy()
+    asks = group.column("asks").to_numpy(zero_copy_only=False)
+    here = ~asks | (home == group.column("block").to_numpy())
+    other = np.flatnonzero(here & (component != component[k]))
+    equal = sig[other] == sig[k]
+    close = equal.sum(axis=1) >= LEAST_AGREEMENT * VALUES
+    other, equal = other[close], equal[close]
+    first = equal[:, : TREES * BASE].reshape(len(other), TREES, BASE).all(axis=2).argmax(axis=1)
+    return other[first == group.column("tree")[0].as_py()]
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block of a region that are in any open pair."""
+    for group in _by_key(batches, ["key", "block"]):
+        sig = _matrix(group.column("signature"))
+        in_any = np.zeros(group.num_rows, dtype=bool)
+        for k in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
+            partners = _partners(group, sig, k)
+            in_any[partners] = True
+            in_any[k] |= bool(partners.size)
+        if in_any.any():
+            yield group.drop_columns(["signature"]).filter(pa.array(in_any))
+
+
+def _settle(percent: int) -> Callable:
+    """Confirmed links of the open pairs of each block, at most one for each two components."""
+
+    def links(group: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        sig = _matrix(group.column("signature"))
+        sets = [np.frombuffer(v.as_buffer(), dtype=U64) for v in group.column("shingles")]
+        node, name = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
+        for k in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
+            for j in _partners(group, sig, k):
+                if name[j] != name[k] and _linked(sets[k], sets[j], percent):
+                    name[name == name[j]] = name[k]
+                    yield int(node[k]), int(node[j])
 
-    def across() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_key(batches, ["key", "block"]):
-            asks = group.column("asks").to_numpy(zero_copy_only=False)
-            based = ~asks | (group.column("own_block").to_numpy() == group.column("block").to_numpy())
-            node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-            sig = _matrix(group.column("signature"))
-            all_node, all_component, all_sig = node[based], component[based], sig[based]
-            for k in np.flatnonzero(asks):
-                other = np.flatnonzero(all_component != component[k])
-                hit = other[(all_sig[other] == sig[k]).sum(axis=1) >= LEAST_AGREEMENT * VALUES]
-                if hit.size:
-                    yield np.full(len(hit), node[k]), all_node[hit]
+            found = list(links(group))
+            if found:
+                yield table(_PAIRS, map(list, zip(*found, strict=True)))
 
-    yield from _pairs_out(across())
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,16 +240,23 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield table(schema, [batch.column("doc_id").cast(pa.int64())[block.rows], packed])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=U64) for v in (x, y))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                linked.append(_linked(x, y, percent))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return run
@@ -231,32 +273,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _regions(branches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``key, node`` of the regions to span: base regions, deeper ones where a base region is overfull."""
-    over = branches.filter(F.col("n") > REGION).select("node", "tree").join(nodes, "node")
-    deep = stored(arrow_map(over, _deeper, "node long, tree int, depth int, deep long"), "deep")
-    sizes = deep.groupBy("deep").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    chosen = (
-        deep.join(sizes, "deep")
-        .groupBy("node", "tree")
-        .agg(
-            F.min(
-                F.when((F.col("n") <= REGION) | (F.col("depth") == DEPTHS[-1]), F.struct("depth", "deep", "n", "least"))
-            ).alias("at")
-        )
-        .filter("at.n > 1")
-    )
-    chunks = F.ceil(F.col("at.n") / REGION)
-    chunk = F.xxhash64("at.deep", F.pmod(F.xxhash64("node"), chunks))
-    full = F.col("at.n") > REGION
-    own = chosen.select(F.when(full, chunk).otherwise(F.col("at.deep")).alias("key"), "node")
-    shared = chosen.filter(full).select(chunk.alias("key"), F.col("at.least").alias("node")).distinct()
-    return branches.filter(F.col("n") <= REGION).select("key", "node").union(own).union(shared)
+    """``key, node`` of the regions to span: base regions, deeper ones where a region is overfull."""
+    ready = branches.filter(F.col("n") <= REGION).select("key", "node")
+    over = branches.filter(F.col("n") > REGION).withColumn("least", F.col("node"))
+    for depth in DEPTHS:
+        if over.isEmpty():
+            return ready
+        deep = stored(arrow_map(over.select("node", "tree").join(nodes, "node"), _at_depth(depth), _BRANCHES_DDL), "deep")
+        sizes = deep.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+        placed = stored(deep.join(sizes, "key"), "placed")
+        ready = ready.union(placed.filter(F.col("n") <= REGION).select("key", "node"))
+        over = placed.filter(F.col("n") > REGION)
+    # What still agrees on every value is dealt into chunks, each with the smallest node of all.
+    chunk = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION)))
+    shared = over.select(chunk.alias("key"), F.col("least").alias("node")).distinct()
+    return ready.union(over.select(chunk.alias("key"), "node")).union(shared)
 
 
 def _in_regions(rows: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     return rows.join(nodes, "node").repartition(*keys).sortWithinPartitions(*keys)
 
 
+def _across(branches: DataFrame, nodes: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, from all pairs that share a base region."""
+    placed = branches.join(joined, "node", "left").select(
+        "key", "tree", "node", F.coalesce("component", "node").alias("component")
+    )
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = (
+        per.groupBy("key")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds"))
+        .filter("kinds > 1")
+        .select("key", F.col("most.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    dealt = placed.join(mixed, "key").select(
+        "key",
+        "tree",
+        "node",
+        "component",
+        (F.col("component") != F.col("largest")).alias("asks"),
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own_block"),
+        "blocks",
+    )
+    asked = dealt.withColumn(
+        "block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own_block")))
+    ).select("key", "block", "tree", "node", "component", "asks", "own_block")
+    schema = "node long, key long, block int, tree int, component long, asks boolean, own_block int"
+    involved = stored(arrow_map(_in_regions(asked, nodes, "key", "block"), _involved, schema), "open")
+    whole = _in_regions(involved.join(sets, "node"), nodes, "key", "block")
+    return arrow_map(whole, _settle(percent), "a long, b long")
+
+
 def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document."""
     signed = stored(arrow_map(docs.select("doc_id", "text"), _sign, "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
@@ -265,7 +332,7 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
         some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes"
     )
     nodes = classes.select("node", "signature")
-    base = stored(arrow_map(nodes, _branches, "key long, node long, tree int"), "branches")
+    base = stored(arrow_map(nodes, _branches, _BRANCHES_DDL), "branches")
     sizes = base.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     branches = stored(base.join(sizes, "key"), "regions")
 
@@ -279,27 +346,7 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     links = stored(_confirmed(first, sets, percent), "links")
     joined = stored(components(links), "components")
 
-    placed = branches.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = (
-        per.groupBy("key")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds"))
-        .filter("kinds > 1")
-        .select("key", F.col("most.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    dealt = placed.join(mixed, "key").select(
-        "key",
-        "node",
-        "component",
-        (F.col("component") != F.col("largest")).alias("asks"),
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own_block"),
-        "blocks",
-    )
-    asked = dealt.withColumn(
-        "block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own_block")))
-    ).drop("blocks")
-    second = arrow_map(_in_regions(asked, nodes, "key", "block"), _open_pairs, "a long, b long").filter("a <> b").distinct()
-    more = _confirmed(stored(second.join(first, ["a", "b"], "left_anti"), "open"), sets, percent)
+    more = stored(_across(branches, nodes, joined, sets, percent), "more")
     final = stored(
         components(links.union(more).union(_same_document(signed, classes))), "final"
     )
