@@ -29,9 +29,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Rows of an Arrow batch. Rows here hold whole texts or shingle sets, so the default of 10,000 is too many.
+BATCH_ROWS = 1_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` of a function that uses this package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` of a function that uses this package, in batches of at most ``BATCH_ROWS`` rows."""
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 

@@ -36,7 +36,7 @@ from eventboard.llm.suffixes import common_prefixes, packed, suffix_array
 LENGTH = 400
 GRAM = 200
 #: Bytes of open stretches in one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Kinds of stretches of one anchor that are merged in one group.
 KINDS = 4_096
 BROADCAST_ROWS = 200_000
