@@ -3,6 +3,7 @@
 import __spark_entry__ as entry_module
 import pytest
 from compare import compare, database
+from eventboard.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -10,7 +11,7 @@ def con(sf_dir):
     return database(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     oracles = entry_module.oracle_sql()
     assert name in oracles, "every query so far has a SQL equivalent"
