@@ -45,6 +45,20 @@ ISO_INSTANT = (
     r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})"
     r"(?:[T ]\s*(\d{2}):(\d{2})(?::(\d{2}(?:\.\d{1,9})?))?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
 )
+CLOCK = (
+    r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AP]M)?\s*(GMT|UTC|UT|Z)?([+-]\d{2}:?\d{2})?(?:\s*\([^()]*\))?"
+)
+WORDED = (
+    r"(?i)^\s*(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,?\s+)?"
+    r"(?:([a-z]{3,9})\.?\s+(\d{1,2})|(\d{1,2})\s+([a-z]{3,9})\.?),?\s+(\d{4})"
+    rf"(?:,?\s+{CLOCK})?\s*$"
+)
+NUMERIC_CLOCK = (
+    r"(?i)^\s*(?:(\d{4})[-/](\d{1,2})[-/](\d{1,2})|(\d{1,2})/(\d{1,2})/(\d{4})),?\s+" + CLOCK + r"\s*$"
+)
+# The groups of both patterns in one order: year, month, day, hour, minute, second, half, zone name, offset.
+WORDED_PARTS = "$5|$1$4|$2$3|$6|$7|$8|$9|$10|$11"
+NUMERIC_PARTS = "$1$6|$2$4|$3$5|$7|$8|$9|$10|$11|$12"
 LABEL_ZONE = "America/New_York"
 
 
@@ -245,17 +259,48 @@ def iso_instant(c: Column, tz: Column | str = "UTC") -> Column:
     return at_zone(shifted, F.when((g[3] != "") & (g[6] == ""), zone))
 
 
+def _read_parts(parts: Column, tz: Column | str) -> Column:
+    year, month, day, hour, minute, second, half, zone, offset = (F.get(parts, i) for i in range(9))
+    twelve = _int(hour) % 12 + F.when(F.upper(half) == "PM", 12).otherwise(0)
+    # Hour 99 makes the whole reading NULL.
+    h24 = F.when(half == "", _int(hour)).when(_int(hour).between(1, 12), twelve).otherwise(99)
+    local = _at(_int(year), F.coalesce(_int(month), month_number(month)), _int(day), h24, _int(minute), _seconds(second))
+    shifted = _shift(local, offset)
+    if isinstance(tz, str) and tz == "UTC":
+        return shifted
+    named = F.lit(tz) if isinstance(tz, str) else tz
+    return at_zone(shifted, F.when((zone == "") & (offset == ""), named))
+
+
+def clock_date(c: Column, tz: Column | str = "UTC") -> Column:
+    """A whole text that is a worded date, month or day first, or a numeric date with a clock.
+
+    The clock may have seconds, AM/PM, a zone name or an offset; without a zone it is read in ``tz``.
+    """
+
+    def read(pattern: str, order: str) -> Column:
+        parts = F.split(F.regexp_replace(c, pattern, order), r"\|")
+        return F.get(F.transform(F.array(parts), lambda p: _read_parts(p, tz)), 0)
+
+    return F.when(c.rlike(WORDED), read(WORDED, WORDED_PARTS)).when(
+        c.rlike(NUMERIC_CLOCK), read(NUMERIC_CLOCK, NUMERIC_PARTS)
+    )
+
+
 def any_date(c: Column, tz: Column | str = "UTC") -> Column:
-    """A free-form attribute or text: ISO instant, then the date forms, then a feed date."""
-    return F.coalesce(
-        iso_instant(c, tz),
-        rfc822(c),
+    """A free-form attribute or text: ISO instant, feed date, date with a clock, then the date forms.
+
+    An impossible clock makes the date NULL rather than midnight.
+    """
+    forms = F.coalesce(
         at_zone(month_loose(c), tz),
         at_zone(month_abbrev(c), tz),
         at_zone(dotted_date(c), tz),
         at_zone(iso_date(c), tz),
         at_zone(slash_date(c), tz),
     )
+    whole = c.rlike(WORDED) | c.rlike(NUMERIC_CLOCK)
+    return F.coalesce(iso_instant(c, tz), rfc822(c), F.when(whole, clock_date(c, tz)).otherwise(forms))
 
 
 def epoch_or_string(number: Column, text: Column) -> Column:

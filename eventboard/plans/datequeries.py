@@ -16,6 +16,16 @@ from eventboard.plans.tables import spread, table
 
 NOW = "1998-01-01 00:00:00"
 END_NOW = "2024-01-20 00:00:00"
+# Spark's pattern, the same for SQL, its offset in hours and whether that is printed.
+CLOCK_FORMS = [
+    ("MMM d, yyyy h:mm a", "%b %-d, %Y %-I:%M %p", 0, False),
+    ("MMMM d, yyyy HH:mm:ss", "%B %-d, %Y %H:%M:%S", 0, False),
+    ("yyyy-MM-dd hh:mm a", "%Y-%m-%d %I:%M %p", 0, False),
+    ("EEE MMM dd yyyy HH:mm:ss 'GMT+0200'", "%a %b %d %Y %H:%M:%S GMT+0200", 2, True),
+    ("d MMMM yyyy", "%-d %B %Y", 0, False),
+    ("M/d/yyyy h:mm:ss a", "%-m/%-d/%Y %-I:%M:%S %p", 0, False),
+    ("EEEE, d MMM yyyy HH:mm 'UTC'", "%A, %-d %b %Y %H:%M UTC", 0, True),
+]
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +135,20 @@ def dates_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dates_worded_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates with a clock, half of the day or offset, and the day before the month."""
+    kind = F.col("event_id") % len(CLOCK_FORMS)
+    text = F.lit(None).cast("string")
+    for k, (pattern, _, _, _) in enumerate(CLOCK_FORMS):
+        text = F.when(kind == k, F.date_format("ts", pattern)).otherwise(text)
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        text.alias("text"),
+        dt.any_date(text).alias("event_at"),
+        dt.any_date(text, "Asia/Tokyo").alias("tokyo_at"),
+    )
+
+
 def dates_yearless(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _printed("MMMM d", before="Patch Notes ", after="")
     text = dt.yearless(dt.strip_noise_prefix(raw), F.col("o_orderdate"))
@@ -239,6 +263,7 @@ QUERIES = {
     "dates_end_time": dates_end_time,
     "dates_feed": dates_feed,
     "dates_any": dates_any,
+    "dates_worded_clock": dates_worded_clock,
     "dates_yearless": dates_yearless,
     "dates_all": dates_all,
     "latest_per_source": latest_per_source,
@@ -251,7 +276,23 @@ QUERIES = {
     "plausible_dates": plausible_dates,
 }
 
+
+def _clock_sql() -> str:
+    """Each kind printed, read back with its own format and moved by its zone."""
+    kinds = []
+    for k, (_, form, hours, printed) in enumerate(CLOCK_FORMS):
+        read = form.replace("%-", "%")
+        utc = f"strptime(strftime(ts, '{form}'), '{read}') - INTERVAL {hours} HOUR"
+        tokyo = utc if printed else f"{utc} - INTERVAL 9 HOUR"
+        kinds.append(
+            f"SELECT event_id, strftime(ts, '{form}') AS text, {utc} AS event_at, {tokyo} AS tokyo_at"
+            f" FROM events WHERE event_id % {len(CLOCK_FORMS)} = {k}"
+        )
+    return "\nUNION ALL ".join(kinds)
+
+
 ORACLES = {
+    "dates_worded_clock": _clock_sql(),
     "dates_long": f"""SELECT o_orderkey, {_READ_LONG} AS comma, CAST(NULL AS TIMESTAMP) AS comma_missing,
   {_READ_SHORT} AS loose, {_READ_LONG} AS name_any_case, {_READ_LONG} AS name_comma, {_READ_SHORT} AS abbrev,
   {_READ_LONG} AS strict FROM orders""",

@@ -169,3 +169,28 @@ def test_extract_dates_lists_every_match(spark):
     assert [(r.tier, r.pos, r.event_at) for r in rows] == [
         (1, 0, at("2026-05-01")), (1, 1, at("2026-06-02")), (2, 0, at("2026-01-06")),
     ]
+
+
+@pytest.mark.parametrize(
+    ("text", "utc", "tokyo"),
+    [
+        ("Feb 3, 2026 5:30 PM", "2026-02-03 17:30", "2026-02-03 08:30"),
+        ("February 3, 2026 17:30:00", "2026-02-03 17:30", "2026-02-03 08:30"),
+        ("2026-02-03 10:00 AM", "2026-02-03 10:00", "2026-02-03 01:00"),
+        ("2/3/2026, 12:05 am", "2026-02-03 00:05", "2026-02-02 15:05"),
+        ("Tue Feb 03 2026 10:00:00 GMT+0200 (Eastern European Time)", "2026-02-03 08:00", "2026-02-03 08:00"),
+        ("Feb 3, 2026 10:00 -05:00", "2026-02-03 15:00", "2026-02-03 15:00"),
+        ("3 February 2026", "2026-02-03 00:00", "2026-02-02 15:00"),
+        ("3 Feb 2026 12:00 PM UTC", "2026-02-03 12:00", "2026-02-03 12:00"),
+        ("Posted on Feb 3, 2026 by x", "2026-02-03 00:00", "2026-02-02 15:00"),
+        ("Feb 3, 2026 13:00 PM", None, None),
+        ("Feb 3, 2026 25:00", None, None),
+        ("Foo 3, 2026 10:00", None, None),
+        ("", None, None),
+        (None, None, None),
+    ],
+)
+def test_dates_with_a_clock(spark, text, utc, tokyo):
+    df = spark.createDataFrame([(text,)], "s string")
+    row = df.select(dt.any_date(F.col("s")).alias("u"), dt.any_date(F.col("s"), "Asia/Tokyo").alias("t")).first()
+    assert [v and v.strftime("%Y-%m-%d %H:%M") for v in (row.u, row.t)] == [utc, tokyo]
