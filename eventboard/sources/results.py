@@ -116,39 +116,55 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by ``write_live`` / ``write_lkg``; empty if it does not exist yet."""
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"{LIVE}, buckets int, bucket int"
     try:
-        return spark.read.schema(f"{LIVE}, bucket int").parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], f"{LIVE}, bucket int")
+        return spark.createDataFrame([], schema)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``write_live`` / ``write_lkg``; empty if it does not exist yet."""
+    return _stored(spark, path).drop("buckets")
 
 
-def _replace(df: DataFrame, path: str, buckets: int) -> None:
+def _replace(df: DataFrame, path: str, buckets: int | None, newest: bool) -> None:
     """Put one record per key in place of the key's old one; other keys survive.
 
-    Keys are hashed into a fixed number of buckets (one file each), so millions of sources do not
-    become millions of directories. Each touched bucket is rewritten with its untouched keys.
+    ``newest`` keeps the stored record where it is newer than the given one. Keys are hashed into a
+    fixed number of buckets (one file each), so millions of sources do not become millions of
+    directories. The number is stored with the records, and another one is refused, since a key
+    would then have two places. Each touched bucket is rewritten with its untouched keys.
     """
+    old = _stored(df.sparkSession, path)
+    first = old.select("buckets").filter("buckets IS NOT NULL").first()
+    if first and buckets not in (None, first.buckets):
+        raise ValueError(f"{path} has {first.buckets} buckets, not {buckets}")
+    buckets = first.buckets if first else buckets or BUCKETS
     new = newest_per_key(df.select(*columns(LIVE))).withColumn("bucket", _bucket(buckets))
-    old = read_records(df.sparkSession, path)
     touched = new.select("bucket").distinct()
-    kept = old.join(touched, "bucket", "left_semi").join(new.select(*KEY), KEY, "left_anti")
-    merged = kept.unionByName(new).repartition(buckets, "bucket")
+    kept = old.drop("buckets").join(touched, "bucket", "left_semi")
+    if newest:
+        both = kept.withColumn("given", F.lit(0)).unionByName(new.withColumn("given", F.lit(1)))
+        records = newest_per_key(both, tie=["run_id", "given"]).drop("given")
+    else:
+        records = kept.join(new.select(*KEY), KEY, "left_anti").unionByName(new)
+    merged = records.withColumn("buckets", F.lit(buckets)).repartition(buckets, "bucket")
     writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("bucket").parquet(path)
 
 
-def write_live(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def write_live(df: DataFrame, path: str, buckets: int | None = None) -> None:
     """The live table: the newest record of every key in ``df``, whatever its status."""
-    _replace(df, path, buckets)
+    _replace(df, path, buckets, newest=False)
 
 
-def write_lkg(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """The last-known-good table: only fresh records are accepted, nothing else replaces them."""
-    _replace(df.filter(F.col("status") == "fresh"), path, buckets)
+def write_lkg(df: DataFrame, path: str, buckets: int | None = None) -> None:
+    """The last-known-good table: only fresh records are accepted, and an older one never replaces a newer one."""
+    _replace(df.filter(F.col("status") == "fresh"), path, buckets, newest=True)
 
 
 def write_history(df: DataFrame, path: str) -> None:

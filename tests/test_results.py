@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-
+import pytest
 
 from eventboard.operators import resolve as rs
 from eventboard.schemas import SNAPSHOTS
@@ -46,6 +46,25 @@ def test_live_table_keeps_one_record_per_key(spark, tmp_path):
     assert good == {"a": "r1", "b": "r2", "g": "r2", **dict.fromkeys("cdef", "r1")}
 
 
+def test_older_records_do_not_replace_newer_ones(spark, tmp_path):
+    path = str(tmp_path / "lkg")
+    older = rs.resolve_history(frame(spark, [obs("r1", s, True, 1) for s in "ab"]))
+    newer = rs.resolve_history(frame(spark, [obs("r2", "a", True, 2)]))
+    for live in (newer, older, older):
+        results.write_lkg(live, path)
+    assert sorted((r.source_id, r.run_id) for r in results.read_records(spark, path).collect()) == [("a", "r2"), ("b", "r1")]
+
+
+def test_number_of_buckets_belongs_to_the_table(spark, tmp_path):
+    path = str(tmp_path / "live")
+    live = rs.resolve_history(frame(spark, [obs("r1", s, True, 1) for s in "ab"]))
+    results.write_live(live, path, buckets=3)
+    with pytest.raises(ValueError, match="3 buckets"):
+        results.write_live(live, path, buckets=5)
+    results.write_live(live, path)
+    assert results.read_records(spark, path).count() == 2
+
+
 def test_history_is_replaced_by_run(spark, tmp_path):
     path = str(tmp_path / "history")
     live = rs.resolve_history(frame(spark, [obs("r1", "a", True, 1), obs("r2", "a", True, 2)]))
@@ -76,7 +95,9 @@ def test_snapshots_and_quarantine(spark, tmp_path):
     at = datetime(2026, 2, 4, 21, 35, 6, 572000)
     rows = [(1, "r", "s", "u", None, at, 403, "browser", None, "x" * 60000), (2, "r", "s", "u", None, at, 200, "http", None, "ok")]
     spark.createDataFrame(rows, SNAPSHOTS).write.parquet(str(tmp_path / "snaps"))
-    out = snapshots.quarantine(snapshots.read_snapshots(spark, str(tmp_path / "snaps"))).collect()
-    assert [(r.snapshot_id, r.name, len(r.body)) for r in out] == [(1, "s.2026-02-04T21-35-06-572Z.html", 51200)]
+    snaps = snapshots.read_snapshots(spark, str(tmp_path / "snaps"))
+    for kept, size in ((None, 60000), (51200, 51200)):
+        out = snapshots.quarantine(snaps, kept).collect()
+        assert [(r.snapshot_id, r.name, len(r.body)) for r in out] == [(1, "s.2026-02-04T21-35-06-572Z.html", size)]
     stream = snapshots.stream_snapshots(spark, str(tmp_path / "snaps"))
     assert stream.isStreaming and len(stream.columns) == 10
