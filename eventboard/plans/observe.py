@@ -84,7 +84,7 @@ def _marks_text(marks: Column) -> Column:
 
 def _heading_matches(h: Column, wanted: Column) -> Column:
     def one(s: Column) -> Column:
-        name = F.substring(s, 2, 1000)
+        name = F.substr(s, F.lit(2))
         return (
             F.when(s.startswith("."), F.array_contains(h["classes"], name))
             .when(s.startswith("*"), F.exists(h["classes"], lambda c: F.contains(c, name)))

@@ -181,7 +181,7 @@ def default_rules() -> list[dict]:
         of("lol", "row", [("cell", "month_loose", True)], policy="next", notes_prefix="Patch "),
         of(
             "valorant", "card", [("time_attr", "any_date", False), ("text", "iso_or_month", False)],
-            cards=["article", ".article-card", "a@patch-notes"], first_n=10, policy="latest", confidence="medium",
+            cards=["article", ".article-card", "a@patch-notes"], policy="latest", confidence="medium",
             headings=["h2", "h3", ".title"], public_url=URLS["valorant"],
         ),
         of(

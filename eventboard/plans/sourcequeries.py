@@ -209,7 +209,7 @@ ORACLES = {
   ORDER BY CASE WHEN regexp_matches(title, '(?i)update|patch|release notes') THEN 0 ELSE 1 END, pos) = 1""",
     "quarantine": """WITH p AS (SELECT page_id AS snapshot_id, 's' || CAST(page_id % 12 AS VARCHAR) AS source_id, url AS requested_url,
   CAST(([200,403,404,503,204])[page_id % 5 + 1] AS INTEGER) AS http_status,
-  TIMESTAMP '2026-02-04 21:35:06.572' + to_seconds(page_id) AS fetched_at, substr(html, 1, 51200) AS body FROM pages)
+  TIMESTAMP '2026-02-04 21:35:06.572' + to_seconds(page_id) AS fetched_at, html AS body FROM pages)
 SELECT *, source_id || '.' || replace(replace(strftime(fetched_at, '%Y-%m-%dT%H:%M:%S.%gZ'), ':', '-'), '.', '-') || '.html' AS name
 FROM p WHERE http_status NOT BETWEEN 200 AND 299""",
     "result_json": f"""{HISTORY_SQL}, head AS (

@@ -9,9 +9,6 @@ from eventboard.functions.dates import iso_out
 from eventboard.functions.predicates import fetch_ok
 from eventboard.schemas import SNAPSHOTS
 
-# Fixed value: how much of a failed page's body the dead-letter table keeps.
-KEPT_BYTES = 50 * 1024
-
 
 def read_snapshots(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Snapshots with a declared schema; partition the table by run date for pruning."""
@@ -23,8 +20,8 @@ def stream_snapshots(spark: SparkSession, path: str, fmt: str = "parquet", max_f
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(path)
 
 
-def quarantine(df: DataFrame, kept: int = KEPT_BYTES) -> DataFrame:
-    """Failed page loads under a name made of source and time, with the start of their body."""
+def quarantine(df: DataFrame, kept: int | None = None) -> DataFrame:
+    """Failed page loads under a name made of source and time, with their body or its first ``kept`` characters."""
     stamp = F.regexp_replace(iso_out(F.col("fetched_at")), "[:.]", "-")
     return df.filter(~fetch_ok(F.col("http_status"))).select(
         "snapshot_id",
@@ -33,5 +30,5 @@ def quarantine(df: DataFrame, kept: int = KEPT_BYTES) -> DataFrame:
         "requested_url",
         "http_status",
         "fetched_at",
-        F.substring("body", 1, kept).alias("body"),
+        (F.col("body") if kept is None else F.substring("body", 1, kept)).alias("body"),
     )
