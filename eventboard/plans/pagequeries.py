@@ -46,8 +46,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_first_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First ten links of each page, marked where a keyword or a version number occurs."""
-    links = pg.first_n(pg.extract_links(_pages(spark, sf_dir), keys=KEYS), 10, keys=KEYS)
+    """First three links of each page, marked where a keyword or a version number occurs."""
+    links = pg.first_n(pg.extract_links(_pages(spark, sf_dir), keys=KEYS), 3, keys=KEYS)
     return links.select(
         "page_id",
         "pos",
@@ -150,7 +150,7 @@ WHERE absolute IS DISTINCT FROM url AND NOT coalesce(contains(absolute, 'page=')
   AS title FROM pages""",
     "page_first_cards": rf"""WITH {_LINKS_SQL}
 SELECT page_id, pos, text, {_ANY} AS keyword, ({_ANY} OR regexp_matches(text, '\d+\.\d+')) AS release
-FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 10""",
+FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3""",
     "page_first_link": f"""WITH {_LINKS_SQL} SELECT page_id, pos, href, text FROM links
 WHERE href IS NOT NULL AND ({_ANY}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1""",
     "page_relevant": f"""WITH {_LINKS_SQL}, n AS (
