@@ -27,6 +27,8 @@ SHINGLE = 5
 THRESHOLD_PERCENT = 75
 #: Rows of sketches or of candidate ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of item texts whose shingles may be broadcast; the shingles take about ``SHINGLE`` times as much.
+BROADCAST_BYTES = 8 << 20
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -100,9 +102,9 @@ def containments(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PER
     )
     own = suspects.select("doc_id", _strings(F.col("text")).alias("own"))
     theirs = items.select(F.col("item_id").alias("item"), _strings(F.col("text")).alias("theirs"))
-    n_items = items.count()
+    item_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = pairs.withColumnRenamed("doc_id", "hit").join(
-        _small(theirs, n_items), F.col("item_id").eqNullSafe(F.col("item"))
+        F.broadcast(theirs) if item_bytes <= BROADCAST_BYTES else theirs, F.col("item_id").eqNullSafe(F.col("item"))
     )
     return (
         wanted.join(own, F.col("doc_id").eqNullSafe(F.col("hit")))
