@@ -3,13 +3,14 @@
 A window over the key alone would put a hot key's whole history into one task. Here the timeline is
 cut at quantiles of the whole table's time column, so no (key, slice) group can exceed one slice's
 share of all rows, and an instant that fills several slices by itself is cut again by the tie-break
-column. Each slice is scanned on its own; what a slice hands to the next is one row, so the scan
+column, a number or a text. Each slice is scanned on its own; what a slice hands to the next is one row, so the scan
 across slices is a window over a few thousand tiny rows per key at most.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
@@ -20,6 +21,8 @@ from pyspark.sql import Window as W
 
 ROWS_PER_SLICE = 4_000_000
 MAX_SLICES = 16_384
+#: Bytes of a text that decide its place among the cuts of a crowded instant; a double holds six exactly.
+TIE_BYTES = 6
 
 
 def _micros(at: str) -> Column:
@@ -38,6 +41,23 @@ def _bucket(df: DataFrame, number: Column, cuts: list[float], name: str) -> Data
     return cut.transform(df.withColumn(column, number)).drop(column)
 
 
+def _tie_number(crowd: DataFrame, tie: str) -> Column | None:
+    """A number that never falls as the tie-break column rises; None for types without one.
+
+    A text counts by the bytes that follow what all texts of ``crowd`` begin with.
+    """
+    kind = crowd.schema[tie].dataType
+    if isinstance(kind, T.NumericType):
+        number = F.col(tie).cast("double")
+    elif isinstance(kind, T.StringType):
+        ends = [x.encode() for x in crowd.agg(F.min(tie), F.max(tie)).first() if x is not None]
+        tail = F.substring(F.col(tie).cast("binary"), len(os.path.commonprefix(ends)) + 1, TIE_BYTES)
+        number = F.conv(F.rpad(F.hex(tail), 2 * TIE_BYTES, "0"), 16, 10).cast("double")
+    else:
+        return None
+    return F.coalesce(number, F.lit(-math.inf))
+
+
 def with_slices(
     df: DataFrame, at: str, tie: str, rows_per_slice: int = ROWS_PER_SLICE, max_slices: int = MAX_SLICES
 ) -> DataFrame | None:
@@ -52,13 +72,13 @@ def with_slices(
     sliced = _bucket(df, _micros(at), cuts, "_slice")
     times = Counter(cuts)
     crowded = sorted(c for c, n in times.items() if n > 1)
-    numeric = isinstance(df.schema[tie].dataType, T.NumericType)
-    if not crowded or not numeric:
+    crowd = df.filter(_micros(at).isin(crowded))
+    number = _tie_number(crowd, tie) if crowded else None
+    if number is None:
         return sliced.withColumn("_part", F.lit(0.0))
     # Rows at a crowded instant come first in its slice, cut by the tie-break; all others follow.
     share = sum(times[c] for c in crowded) + 1
-    number = F.coalesce(F.col(tie).cast("double"), F.lit(-math.inf))
-    tie_cuts = _cuts(df.filter(_micros(at).isin(crowded)), number, share)
+    tie_cuts = _cuts(crowd, number, share)
     parted = _bucket(sliced, number, tie_cuts, "_part")
     after = F.lit(float(len(tie_cuts) + 2))
     return parted.withColumn("_part", F.when(_micros(at).isin(crowded), F.col("_part")).otherwise(after))

@@ -41,14 +41,33 @@ def every_source(registry: DataFrame, obs: DataFrame, run_id: str | None = None,
 
     ``run_id`` and ``run_at`` fill the rows of entries that reported nothing.
     """
-    reported = newest_per_key(obs)
-    joined = registry.select(*KEY, "name", "ord").join(reported, KEY, "left")
+    joined = registry.select(*KEY, "name", "ord").join(newest_per_key(obs), KEY, "left")
+    at = F.lit(str(run_at) if run_at else None).cast("timestamp_ntz")
+    return _with_missing(joined.withColumn("run_id", F.coalesce("run_id", F.lit(run_id))), at)
+
+
+def every_run(registry: DataFrame, obs: DataFrame, runs: DataFrame | None = None, tie: str = "run_id") -> DataFrame:
+    """One row per run and registry entry, so a source that stops reporting stays visible in every later run.
+
+    ``runs(run_id, run_at)`` are the runs that were due; without it, those that left any observation, at the
+    instant of their last one. A run's newest observation of an entry counts. The result has as many rows as
+    runs times entries, which is what is asked for; observations are combined before they meet them.
+    """
+    if runs is None:
+        runs = obs.groupBy("run_id").agg(F.max("fetched_at").alias("run_at"))
+    due = runs.select("run_id", "run_at").crossJoin(registry.select(*KEY, "name", "ord"))
+    keys = ["run_id", *KEY]
+    joined = due.join(newest_per_key(obs, keys, tie=[tie]), keys, "left")
+    return _with_missing(joined, F.col("run_at")).drop("run_at")
+
+
+def _with_missing(joined: DataFrame, at: Column) -> DataFrame:
+    """Registry entries with their observation; those without one become failures at ``at``."""
     missing = F.col("ok").isNull()
     return joined.withColumns(
         {
-            "run_id": F.coalesce("run_id", F.lit(run_id)),
             "title": F.coalesce("title", "name"),
-            "fetched_at": F.coalesce("fetched_at", F.lit(str(run_at) if run_at else None).cast("timestamp_ntz")),
+            "fetched_at": F.coalesce("fetched_at", at),
             "failure_type": F.when(missing, "unavailable").otherwise(F.col("failure_type")),
             "explanation": F.when(missing, CRASHED + NO_RESULT).otherwise(F.col("explanation")),
             "ok": F.coalesce("ok", F.lit(False)),

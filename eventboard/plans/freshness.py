@@ -81,6 +81,16 @@ def registry_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.every_source(registry, obs).select(*KEY, "name", "title", "ok", "fetched_at", "explanation")
 
 
+def registry_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a source in every run, whether it reported or not."""
+    registry = customer_registry(table(spark, sf_dir, "customer"))
+    due = rs.every_run(registry, _log(spark, sf_dir), tie="event_id")
+    return rs.resolve_history(due, tie="event_id").select(
+        "run_id", "source_id", "event_type", "title", "status", "event_at", "failure_type", "explanation",
+        "fetched_at", "last_success_at", "reason",
+    )
+
+
 def outcome_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     loads = table(spark, sf_dir, "events").select(
         "event_id",
@@ -124,6 +134,7 @@ QUERIES = {
     "unavailable_list": unavailable_list,
     "resolve_run": resolve_run,
     "registry_left": registry_left,
+    "registry_history": registry_history,
     "outcome_class": outcome_class,
     "weekly_slot": weekly_slot,
 }
@@ -171,6 +182,29 @@ SELECT r.source_id, r.event_type, CASE WHEN o.ok THEN o.title ELSE r.name END AS
 FROM registry r
 LEFT JOIN obs o ON o.source_id = r.source_id AND o.event_type = r.event_type
 LEFT JOIN lkg l ON l.source_id = r.source_id AND l.event_type = r.event_type""",
+    "registry_history": f"""WITH {RUN_LOG_SQL}, {REGISTRY_SQL},
+runs AS (SELECT run_id, max(fetched_at) AS run_at FROM run_log GROUP BY run_id),
+reported AS (
+  SELECT * FROM run_log QUALIFY row_number() OVER (
+    PARTITION BY run_id, source_id, event_type ORDER BY fetched_at DESC, event_id DESC) = 1),
+obs AS (
+  SELECT d.run_id, d.source_id, d.event_type, d.name, o.title, o.event_at, o.event_id, coalesce(o.ok, false) AS ok,
+    coalesce(o.fetched_at, d.run_at) AS fetched_at,
+    CASE WHEN o.ok THEN NULL ELSE coalesce(o.failure_type, 'unavailable') END AS failure_type,
+    CASE WHEN o.ok THEN NULL
+         ELSE coalesce(o.explanation, 'Crashed: Provider returned invalid/empty result') END AS explanation
+  FROM (SELECT * FROM runs, registry) d
+  LEFT JOIN reported o ON o.run_id = d.run_id AND o.source_id = d.source_id AND o.event_type = d.event_type),
+marked AS (
+  SELECT *, last_value(CASE WHEN ok THEN event_id END IGNORE NULLS) OVER (
+      PARTITION BY source_id, event_type ORDER BY fetched_at, event_id NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS good_id
+  FROM obs)
+SELECT m.run_id, m.source_id, m.event_type, CASE WHEN m.ok THEN m.title ELSE m.name END AS title,
+  CASE WHEN m.ok THEN 'fresh' WHEN g.event_id IS NOT NULL THEN 'stale' ELSE 'unavailable' END AS status,
+  g.event_at, m.failure_type, m.explanation, m.fetched_at, g.fetched_at AS last_success_at,
+  CASE WHEN NOT m.ok AND g.event_id IS NOT NULL THEN m.explanation END AS reason
+FROM marked m LEFT JOIN run_log g ON g.event_id = m.good_id""",
     "registry_left": f"""WITH {RUN_LOG_SQL}, {REGISTRY_SQL}, obs AS (
   SELECT * FROM run_log QUALIFY row_number() OVER (
     PARTITION BY source_id, event_type ORDER BY fetched_at DESC, event_id DESC) = 1)

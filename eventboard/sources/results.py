@@ -174,5 +174,7 @@ def write_history(df: DataFrame, path: str) -> None:
 
 
 def write_json(live: DataFrame, path: str) -> None:
-    """The records as JSON lines."""
-    to_result_json(live).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+    """The records as JSON lines, each with the ``path`` of its own document as first field."""
+    key = F.regexp_replace(F.to_json(F.struct("path")), r"\}$", ",")
+    lines = to_result_json(live).select(F.concat(key, F.substring("json", 2, 1 << 30)).alias("value"))
+    lines.write.mode("overwrite").text(path)

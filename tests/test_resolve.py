@@ -113,6 +113,30 @@ def test_hot_source_and_hot_instant_are_split(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+@pytest.mark.parametrize("digits", [4, 8])
+def test_hot_instant_is_split_by_a_text_too(spark, digits):
+    log = skewed(spark).withColumn("run_id", F.concat(F.lit("run-2026-"), F.lpad(F.col("seq").cast("string"), digits, "0")))
+    sliced = with_slices(log, "fetched_at", "run_id", rows_per_slice=300)
+    largest = sliced.groupBy(*KEY, "_slice", "_part").count().agg(F.max("count")).first()[0]
+    assert largest <= 2 * 300
+    want = rs.resolve_history(log, keep=["seq"]).drop("extras")
+    got = rs.resolve_history(log, keep=["seq"], rows_per_slice=300).drop("extras")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_every_run_has_every_source(spark):
+    log = frame(spark, [obs("r1", "a", True, 1), obs("r1", "b", True, 1), obs("r2", "a", True, 2), obs("r3", "a", False, 3)])
+    entries = [(s, "status", s.upper(), i) for i, s in enumerate("abc")]
+    registry = spark.createDataFrame(entries, "source_id string, event_type string, name string, ord int")
+    rows = rs.resolve_history(rs.every_run(registry, log)).collect()
+    got = {(r.run_id, r.source_id): (r.status, r.reason, r.failure_type) for r in rows}
+    silent = rs.CRASHED + rs.NO_RESULT
+    assert len(rows) == 9 and got["r1", "a"][0] == got["r1", "b"][0] == got["r2", "a"][0] == "fresh"
+    assert got["r3", "a"][0] == "stale" and got["r2", "b"] == got["r3", "b"] == ("stale", silent, "unavailable")
+    assert all(got[r, "c"] == ("unavailable", None, "unavailable") for r in ("r1", "r2", "r3"))
+    assert rs.every_run(registry, log.limit(0)).count() == 0
+
+
 def test_health_gate(spark):
     def run(down, total):
         rows = [("unavailable" if i < down else "fresh",) for i in range(total)]

@@ -19,6 +19,9 @@ def test_json_round_trip(spark, tmp_path):
     assert stale["reason"] == "Crashed: r2" and stale["last_success_at_utc"] < stale["fetched_at_utc"]
     assert down["nextEventUtc"] is None and down["failure_type"] == "blocked" and "confidence" not in down
     results.write_json(live, str(tmp_path / "out"))
+    written = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert sorted((d.pop("path"), d["status"]) for d in written) == sorted(text)
+    assert all(d in text.values() for d in written)
     back = results.normalize_results(results.read_results(spark, str(tmp_path / "out"), lines=True))
     shared = ["source_id", "event_type", "title", "status", "event_at", "fetched_at", "last_success_at", "reason", "notes"]
     assert back.select(shared).exceptAll(live.select(shared)).count() == 0 and back.count() == 4
