@@ -6,7 +6,12 @@ Plain identifiers are found by fixed patterns. For disguised ones a chain of tra
 the rewritten text is mapped back to source characters. A found span is added only if rewriting changed what it
 covers and no plain span of its kind overlaps it; plain spans always stay.
 
-Only texts with a digit, an ``@`` or a possible disguise are looked at character by character.
+Only texts with a digit, an ``@`` or something that a transducer changes are looked at character by character; which these
+are follows from the transducers' own patterns, so no text is left out that has a span.
+
+A spaced ``at`` stands for ``@`` if another sign of the address is disguised too, if the name before it has a letter and a
+dot, digit, ``_``, ``%`` or ``+``, or if mail is announced just before ("e-mail: jane at example.com"). Else it is prose, as
+in "us at example.com": a bare name before a plain domain is not told from a sentence. ``arroba`` always stands for ``@``.
 
 Defined results: a NULL or empty text has no spans (``redact`` leaves NULL as it is). NULL ids, repeated rows and
 very long texts are handled like any other row. Patterns run in time linear in the text.
@@ -120,10 +125,10 @@ _MAIL = re.compile(
 _SIGNS = re.compile(rf"(?i)({_AT})|{_DOT}")
 _NUMBERS = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
 
-_DISGUISE = re.compile(
-    rb"[\[({<][ \t]*(?:at|arroba|@|dot|punto|punkt|point|\.)[ \t]*[\])}>]|[ \n\t](?:dot|punto|punkt|point)[ \n\t]|"
-    + rf"\b{_NAME}[\s,;-]+{_NAME}\b".encode()
-)
+# A bare word before a spaced "at" and a plainly dotted domain is prose ("us at example.com"), unless mail was announced.
+_SPACED_AT = re.compile(r"(?i)\s+at\s+")
+_ANNOUNCED = re.compile(r"(?i)\b(?:e-?mail|mailto|mail|correo)(?:\s+(?:address|adresse|is|ist|est|es|to|an|a))*\s*[:=]?\s*$")
+_PRONOUNS = frozenset("me us you him her it them".split())
 
 
 @dataclass
@@ -183,12 +188,23 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _is_local(text: str, start: int, end: int) -> bool:
+    """Whether what stands before a spaced "at" names a mailbox, not the last word of a sentence."""
+    local = text[start:end]
+    if any(c in "._%+0123456789" for c in local):
+        return any(c.isalpha() for c in local)
+    return local.lower() not in _PRONOUNS and bool(_ANNOUNCED.search(text, max(0, start - 40), start))
+
+
 def _disguised(text: str) -> list[tuple[int, int, str]]:
     """``@`` and ``.`` for disguises inside what reads as an address or as a dotted number."""
     out: dict[tuple[int, int], str] = {}
     for pattern in (_MAIL, _NUMBERS):
         for whole in pattern.finditer(text):
-            for sign in _SIGNS.finditer(text, *whole.span()):
+            signs = list(_SIGNS.finditer(text, *whole.span()))
+            if len(signs) == 1 and _SPACED_AT.fullmatch(signs[0][0]) and not _is_local(text, whole.start(), signs[0].start()):
+                continue
+            for sign in signs:
                 out[sign.span()] = "@" if sign[1] else "."
     edits, done = [], 0
     for (a, b), new in sorted(out.items()):
@@ -198,6 +214,36 @@ def _disguised(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+# -- what the transducers can change, in lower-cased bytes ---------------------------------------------
+
+_LATIN_END = 0x240
+#: Two-byte characters that stand for ASCII ones, or match ASCII letters where case is ignored.
+_ODD_LATIN = "".join(
+    c for c in map(chr, range(0x80, _LATIN_END)) if _ascii_of(c) is not None or re.fullmatch("(?i)[a-z]", c)
+)
+_GAP = r"(?:[\s\x1c-\x1f]|\xc2[\x85\xa0])"
+_BETWEEN = rf"(?:[\s\x1c-\x1f,;-]|\xc2[\x85\xa0])+"
+
+
+def _in_bytes(*patterns: str) -> re.Pattern[bytes]:
+    """Names hold Latin letters, whose upper case stays upper case when bytes are lower-cased."""
+    joined = "|".join(patterns)
+    for c in {c for c in joined if c > "\x7f"}:
+        joined = joined.replace(c, f"(?:{c}|{c.upper()})")
+    return re.compile(joined.encode())
+
+
+#: Every text that a transducer changes has one of these, or a byte of ``_LATIN_END`` or beyond. What follows is only looked
+#: at, so a match does not reach into the next text.
+_DISGUISE = (
+    re.compile("|".join(_ODD_LATIN).encode()),
+    _in_bytes(rf"[\[({{<](?={_GAP}*(?:at|arroba|@|dot|punto|punkt|point|\.){_GAP}*[\])}}>])"),
+    _in_bytes(rf"{_GAP}(?:dot|punto|punkt|point)(?={_GAP})"),
+    _in_bytes(rf"{_GAP}(?:at|arroba)(?={_GAP}+[a-z0-9-]++\.[a-z0-9-])"),
+    _in_bytes(rf"\b{_NAME}(?={_BETWEEN}(?:{_NAME}\b|[0-9]|dot\b|point\b))"),
+)
+
+
 def rewrite(text: str) -> Rewritten:
     out = Rewritten(text, list(range(len(text))), list(range(1, len(text) + 1)))
     for transducer in (_homoglyphs, _spelled, _disguised):
@@ -237,11 +283,9 @@ def _wanted(block: Block) -> tuple[np.ndarray, np.ndarray]:
     data = block.data
     is_plain = rows(np.flatnonzero((data == ord("@")) | ((data >= ord("0")) & (data <= ord("9")))))
     lower = data.tobytes().lower()
-    hits = [m.start() for m in _DISGUISE.finditer(lower)]
-    # Lead bytes beyond the Latin letters, and the soft hyphen.
-    strange = np.flatnonzero(data >= 0xC9)
-    soft = np.flatnonzero((data[:-1] == 0xC2) & (data[1:] == 0xAD)) if len(data) > 1 else strange[:0]
-    return is_plain, rows(np.concatenate([np.array(hits, dtype=np.int64), strange, soft]))
+    hits = np.array([m.start() for pattern in _DISGUISE for m in pattern.finditer(lower)], dtype=np.int64)
+    strange = np.flatnonzero(data >= chr(_LATIN_END).encode()[0])
+    return is_plain, rows(np.concatenate([hits, strange]))
 
 
 def found(block: Block) -> Iterator[tuple[int, list[Span], list[Span]]]:

@@ -7,8 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from eventboard.llm import chat, pieces, pii, quality, shards
+from eventboard.llm.arrays import blocks
 from eventboard.llm.queries import tokenizer_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,6 +150,43 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert found == ([(kind, source)] if kind else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "source"),
+    [
+        ("write to jane.doe at example.com today", "jane.doe at example.com"),
+        ("x arroba host.com", "x arroba host.com"),
+        ("jane [\n at \n] example.com", "jane [\n at \n] example.com"),
+        ("E-Mail: jane at example.com", "jane at example.com"),
+        ("jane at example dot com", "jane at example dot com"),
+        ("contact us at example.com", None),
+        ("contact us at example.com \u2014 soon", None),
+        ("e-mail us at example.com", None),
+        ("in 2024 at example.com", None),
+        ("jane\u00b2@ex\u00adample.com", "jane\u00b2@ex\u00adample.com"),
+    ],
+)
+def test_disguises_pass_the_prefilter(text, source):
+    (block,) = blocks(pa.array([text]))
+    assert [(text[a:b]) for _, _, more in pii.found(block) for _, a, b in more] == ([source] if source else [])
+
+
+def test_prefilter_equals_whole_search():
+    rnd = random.Random(4)
+    parts = "at AT arroba dot Punto punkt point [at] (dot) {@} <.> [\n at\t] ( dot\n) @ . - , ; [ ] ( ) one Two three FÜNF zéro ZÉRO neun un plus 7 49 10 0 255 jane doe a.b x_1 com example.com host".split(" ")
+    parts += [" "] * 25 + list("\n\t\x1c\x85\xa0\xad²³¹ªéÉüÜıİſK–＠．０оа")
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
+    texts += ["plus four 9 one 5 one 5 two 3 four", "FÜNF ZÉRO un", "1\u00b22.0.0.1 x", "10 dot 0 dot 0 dot 1"]
+    texts += [" ".join(rnd.choice(["one", "5", "two", "ZÉRO", "dot", "plus", "49", "nine"]) for _ in range(12)) for _ in range(2_000)]
+    want = [(base := pii.plain(t), pii.added(t, base)) for t in texts]
+    got = [([], [])] * len(texts)
+    for block in blocks(pa.array(texts), 4_096):
+        for k, base, more in pii.found(block):
+            got[block.rows.start + k] = base, more
+    assert sum(bool(more) for _, more in want) > 200
+    for t, w, g in zip(texts, want, got, strict=True):
+        assert w == g, t
+
+
 def test_pii_rows(spark, docs):
     rows = pii.spans(docs).collect()
     want = Counter()
