@@ -12,8 +12,9 @@ their smallest node.
    signatures do not rule out the threshold, are compared on full sets too. Regions are read in blocks, the nodes outside
    the largest component against all; the pairs stay inside the task, which hands on links only.
 
-So deeper reading only saves work; no pair that shares a base region is lost by it. Two texts at the threshold share
-one of the 32 regions of depth 4 with probability 1 - 5e-6.
+So deeper reading only saves work; no pair that shares a base region is lost by it. Two texts at the threshold share none
+of the 32 regions of depth 4 with probability 5.2e-6, and agree on too few values to be compared with probability 5e-7:
+together a link at the threshold is lost with probability 5.7e-6 at most, one of more similar texts with less.
 
 Defined results: a NULL or empty text, or one without words, has an empty set and is linked with nothing. Rows that
 share a ``doc_id`` are one document; a row without one is linked with nothing, has component NULL and is kept. Repeated
@@ -40,8 +41,9 @@ REGION = 24
 #: Nodes of a region that one task compares with each other at once.
 BLOCK = 2_048
 THRESHOLD_PERCENT = 75
-#: Signatures that agree on less than this cannot belong to sets at the threshold (3.4 standard deviations).
-LEAST_AGREEMENT = 0.62
+#: Pairs whose signatures agree on less than this are not compared: 5e-7 of the pairs at the threshold, a tenth of what
+#: the regions lose.
+LEAST_AGREEMENT = 0.55
 BROADCAST_ROWS = 200_000
 
 _SIGNED = pa.schema(

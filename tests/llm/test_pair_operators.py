@@ -8,9 +8,10 @@ from datetime import date
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import compare, database
-from eventboard.llm import contamination, near, queries, secrets, substrings, suffixes, urls
+from eventboard.llm import arrays, contamination, near, queries, secrets, shingles, substrings, suffixes, urls
 from pyspark.sql import functions as F
 
 LENGTH = substrings.LENGTH
@@ -107,6 +108,29 @@ def test_near_duplicates(spark, monkeypatch):
     assert near.groups(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_unlike_signatures(spark):
+    """Pairs at the threshold that share a base region, but agree on few values of the signature."""
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(12_000):
+        w = [str(rnd.randrange(10**9)) for _ in range(74)]
+        texts += [" ".join(w), " ".join(w[:14] + ["x"] + w[15:44] + ["y"] + w[45:])]
+    sig = []
+    for block in arrays.blocks(pa.array(texts)):
+        sig.append(shingles.signatures(*shingles.shingle_sets(block)))
+    sig = np.concatenate(sig)
+    equal = sig[::2] == sig[1::2]
+    together = equal.reshape(len(equal), near.TREES, near.BASE).all(axis=2).any(axis=1)
+    agree = equal.sum(axis=1)
+    hard = np.flatnonzero(together & (agree < 80) & (agree >= 71))
+    assert hard.size
+    x, y = (shingle_set(texts[2 * hard[0] + k]) for k in (0, 1))
+    assert 4 * len(x & y) >= 3 * len(x | y)
+    rows = [(int(2 * h + k), texts[2 * h + k]) for h in hard for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_containments(spark):
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(4_000)]
