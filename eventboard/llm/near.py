@@ -9,8 +9,9 @@ their smallest node.
 1. Within each such region the longest common prefixes lie next to each other; the pairs of a spanning tree of the most
    similar signatures are candidates. They are confirmed on full sets, and confirmed links are joined to components.
 2. Components leave few open questions: all pairs of a base region that lie in different components, and whose
-   signatures do not rule out the threshold, are compared on full sets too. Regions are read in blocks, the nodes outside
-   the largest component against all; the pairs stay inside the task, which hands on links only.
+   signatures do not rule out the threshold, are compared on full sets too. Regions are read in tiles of two
+   bounded blocks, the nodes outside the largest component against all; the pairs stay inside the task, which hands on
+   links only.
 
 So deeper reading only saves work; no pair that shares a base region is lost by it. Two texts at the threshold share none
 of the 32 regions of depth 4 with probability 5.2e-6, and agree on too few values to be compared with probability 5e-7:
@@ -27,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventboard.llm.arrays import U64, blocks, mix, table
@@ -38,8 +39,9 @@ from eventboard.llm.shingles import VALUES, set_keys, shingle_sets, signatures
 TREES, BASE = 32, 4
 DEPTHS = (8, 16, 32, VALUES)
 REGION = 24
-#: Nodes of a region that one task compares with each other at once.
+#: Nodes of a region, and bytes of their shingle sets, in each of the two blocks that one task compares at once.
 BLOCK = 2_048
+BLOCK_BYTES = 32 << 20
 THRESHOLD_PERCENT = 75
 #: Pairs whose signatures agree on less than this are not compared: 5e-7 of the pairs at the threshold, a tenth of what
 #: the regions lose.
@@ -133,7 +135,12 @@ def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    """One batch with all rows; 64-bit offsets, since binary columns beyond 2 GiB would stay in several chunks."""
+    if len(parts) == 1:
+        return parts[0]
+    wide = [f.with_type(pa.large_binary()) if pa.types.is_binary(f.type) else f for f in parts[0].schema]
+    (whole,) = pa.Table.from_batches(parts).cast(pa.schema(wide)).combine_chunks().to_batches()
+    return whole
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -182,29 +189,34 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _pairs_out(trees())
 
 
-def _partners(group: pa.RecordBatch, sig: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the region in other components than row ``k`` that its signature does not rule out.
+def _open_pairs(group: pa.RecordBatch, sig: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Asking rows of a tile, each with the rows of other components that its signature does not rule out.
 
-    A pair that shares base regions of several orders is looked at in the first of them only.
+    A pair that shares base regions of several orders is looked at in the first of them only, and of two asking nodes the
+    smaller one asks.
     """
-    component, home = group.column("component").to_numpy(), group.column("own_block").to_numpy()
+    node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
     asks = group.column("asks").to_numpy(zero_copy_only=False)
-    here = ~asks | (home == group.column("block").to_numpy())
-    other = np.flatnonzero(here & (component != component[k]))
-    equal = sig[other] == sig[k]
-    close = equal.sum(axis=1) >= LEAST_AGREEMENT * VALUES
-    other, equal = other[close], equal[close]
-    first = equal[:, : TREES * BASE].reshape(len(other), TREES, BASE).all(axis=2).argmax(axis=1)
-    return other[first == group.column("tree")[0].as_py()]
+    asking = asks & (group.column("own_asking").to_numpy() == group.column("asking").to_numpy())
+    asked = group.column("own_block").to_numpy() == group.column("block").to_numpy()
+    tree = group.column("tree")[0].as_py()
+    for k in np.flatnonzero(asking):
+        other = np.flatnonzero(asked & (component != component[k]) & (~asks | (node > node[k])))
+        equal = sig[other] == sig[k]
+        close = equal.sum(axis=1) >= LEAST_AGREEMENT * VALUES
+        other, equal = other[close], equal[close]
+        first = equal[:, : TREES * BASE].reshape(len(other), TREES, BASE).all(axis=2).argmax(axis=1)
+        yield int(k), other[first == tree]
+
+
+_TILE = ["key", "asking", "block"]
 
 
 def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each block of a region that are in any open pair."""
-    for group in _by_key(batches, ["key", "block"]):
-        sig = _matrix(group.column("signature"))
+    """The rows of each tile that are in any open pair."""
+    for group in _by_key(batches, _TILE):
         in_any = np.zeros(group.num_rows, dtype=bool)
-        for k in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
-            partners = _partners(group, sig, k)
+        for k, partners in _open_pairs(group, _matrix(group.column("signature"))):
             in_any[partners] = True
             in_any[k] |= bool(partners.size)
         if in_any.any():
@@ -212,20 +224,19 @@ def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(percent: int) -> Callable:
-    """Confirmed links of the open pairs of each block, at most one for each two components."""
+    """Confirmed links of the open pairs of each tile, at most one for each two components."""
 
     def links(group: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-        sig = _matrix(group.column("signature"))
         sets = [np.frombuffer(v.as_buffer(), dtype=U64) for v in group.column("shingles")]
         node, name = group.column("node").to_numpy(), group.column("component").to_numpy().copy()
-        for k in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
-            for j in _partners(group, sig, k):
+        for k, partners in _open_pairs(group, _matrix(group.column("signature"))):
+            for j in partners:
                 if name[j] != name[k] and _linked(sets[k], sets[j], percent):
                     name[name == name[j]] = name[k]
                     yield int(node[k]), int(node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_key(batches, ["key", "block"]):
+        for group in _by_key(batches, _TILE):
             found = list(links(group))
             if found:
                 yield table(_PAIRS, map(list, zip(*found, strict=True)))
@@ -296,17 +307,25 @@ def _in_regions(rows: DataFrame, nodes: DataFrame, *keys: str) -> DataFrame:
     return rows.join(nodes, "node").repartition(*keys).sortWithinPartitions(*keys)
 
 
-def _across(branches: DataFrame, nodes: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from all pairs that share a base region."""
-    placed = branches.join(joined, "node", "left").select(
-        "key", "tree", "node", F.coalesce("component", "node").alias("component")
-    )
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+def _blocks(n: Column, size: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+
+def _tiles(placed: DataFrame) -> DataFrame:
+    """``placed`` (``key, tree, node, component, size``) dealt into tiles of each region: a block of asking nodes, those outside
+    the largest component, against a block of all nodes. Every pair of two components lies in a tile."""
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    n, size, most = F.sum("n"), F.sum("size"), F.max(F.struct("n", "component", "size"))
     mixed = (
         per.groupBy("key")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("kinds"))
+        .agg(n.alias("n"), size.alias("size"), most.alias("most"), F.count("*").alias("kinds"))
         .filter("kinds > 1")
-        .select("key", F.col("most.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select(
+            "key",
+            F.col("most.component").alias("largest"),
+            _blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("askings"),
+            _blocks(F.col("n"), F.col("size")).alias("blocks"),
+        )
     )
     dealt = placed.join(mixed, "key").select(
         "key",
@@ -314,15 +333,26 @@ def _across(branches: DataFrame, nodes: DataFrame, joined: DataFrame, sets: Data
         "node",
         "component",
         (F.col("component") != F.col("largest")).alias("asks"),
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own_block"),
+        *(F.pmod(F.xxhash64("node"), F.col(c)).cast("int").alias(own) for c, own in (("askings", "own_asking"), ("blocks", "own_block"))),
+        "askings",
         "blocks",
     )
-    asked = dealt.withColumn(
-        "block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own_block")))
-    ).select("key", "block", "tree", "node", "component", "asks", "own_block")
-    schema = "node long, key long, block int, tree int, component long, asks boolean, own_block int"
-    involved = stored(arrow_map(_in_regions(asked, nodes, "key", "block"), _involved, schema), "open")
-    whole = _in_regions(involved.join(sets, "node"), nodes, "key", "block")
+    tile = F.expr(
+        """explode(array_distinct(concat(
+             transform(sequence(0, askings - 1), i -> struct(i AS asking, own_block AS block)),
+             transform(slice(sequence(0, blocks - 1), 1, IF(asks, blocks, 0)), i -> struct(own_asking AS asking, i AS block)))))"""
+    )
+    return dealt.withColumn("tile", tile).select(
+        "key", "tile.asking", "tile.block", "tree", "node", "component", "asks", "own_asking", "own_block"
+    )
+
+
+def _across(branches: DataFrame, nodes: DataFrame, homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, from all pairs that share a base region; ``homes`` has each node's component and bytes."""
+    tiles = _tiles(branches.select("key", "tree", "node").join(homes, "node"))
+    schema = "node long, key long, asking int, block int, tree int, component long, asks boolean, own_asking int, own_block int"
+    involved = stored(arrow_map(_in_regions(tiles, nodes, *_TILE), _involved, schema), "open")
+    whole = _in_regions(involved.join(sets, "node"), nodes, *_TILE)
     return arrow_map(whole, _settle(percent), "a long, b long")
 
 
@@ -331,7 +361,10 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     signed = stored(arrow_map(docs.select("doc_id", "text"), _sign, "doc_id long, n_shingles long, set_key binary, signature binary"), "signed")
     some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(
-        some.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "classes"
+        some.groupBy("set_key").agg(
+            F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")
+        ),
+        "classes",
     )
     nodes = classes.select("node", "signature")
     base = stored(arrow_map(nodes, _branches, _BRANCHES_DDL), "branches")
@@ -348,7 +381,9 @@ def groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     links = stored(_confirmed(first, sets, percent), "links")
     joined = stored(components(links), "components")
 
-    more = stored(_across(branches, nodes, joined, sets, percent), "more")
+    sizes = classes.groupBy("node").agg((F.max("n_shingles") * 8).alias("size"))
+    homes = sizes.join(ids, "node", "left_semi").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = stored(_across(branches, nodes, homes, sets, percent), "more")
     final = stored(
         components(links.union(more).union(_same_document(signed, classes))), "final"
     )

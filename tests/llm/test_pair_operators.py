@@ -131,6 +131,29 @@ def test_near_duplicates_with_unlike_signatures(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+def test_region_tiles_are_bounded_and_whole(spark, monkeypatch):
+    """One region of many small components: no tile holds more than two blocks, and each pair lies in one tile."""
+    monkeypatch.setattr(near, "BLOCK", 50)
+    rows = [(7, 3, k, k // 2 if k < 400 else 999, 80) for k in range(600)] + [(8, 0, k, 5, 80) for k in range(3)]
+    tiles = {}
+    for r in near._tiles(spark.createDataFrame(rows, "key long, tree int, node long, component long, size long")).collect():
+        tiles.setdefault((r.key, r.asking, r.block), []).append(r)
+    assert max(map(len, tiles.values())) < 2 * 50 * 1.6
+    pairs = Counter()
+    for rows_ in tiles.values():
+        columns = {c: [r[c] for r in rows_] for c in ("tree", "node", "component", "asks", "asking", "block", "own_asking", "own_block")}
+        columns["tree"] = [0] * len(rows_)
+        same = np.zeros((len(rows_), near.VALUES), np.uint32)
+        for k, others in near._open_pairs(pa.RecordBatch.from_pydict(columns), same):
+            pairs.update(tuple(sorted((rows_[k].node, rows_[j].node))) for j in others)
+    home = {r[2]: r[3] for r in rows if r[0] == 7}
+    assert pairs == Counter((a, b) for a in home for b in home if a < b and home[a] != home[b])
+    monkeypatch.setattr(near, "BLOCK", 2_048)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 80 * 50)
+    by_bytes = near._tiles(spark.createDataFrame(rows, "key long, tree int, node long, component long, size long"))
+    assert by_bytes.groupBy("key", "asking", "block").count().agg(F.max("count")).first()[0] < 2 * 50 * 1.6
+
+
 def test_containments(spark):
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(4_000)]
