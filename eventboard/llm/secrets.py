@@ -1,6 +1,8 @@
 """Secret scans: a random forest drops false positives among candidate strings, in DataFrame functions only.
 
-Candidates are long runs of key-like characters that hold a digit, or are very long. A forest over the candidate's
+Candidates are long runs of key-like characters that hold a digit, or are very long, and whatever is assigned to a word that
+announces a credential: all that stands between quotes, or up to the next blank, of at least ``LEAST_ASSIGNED`` characters.
+A forest over the candidate's
 length, its character transitions, its dictionary coverage, its path and its neighbouring words is trained from
 labelled findings and scores every distinct candidate.
 
@@ -26,6 +28,14 @@ from eventboard.llm.scratch import stored
 
 KEYISH = "A-Za-z0-9+/_-"
 CANDIDATE = rf"(?<![{KEYISH}])(?:(?=[{KEYISH}]*[0-9])[{KEYISH}]{{16,}}+|[{KEYISH}]{{28,}}+)"
+#: Words that announce a credential: fixed values.
+TELLING_WORDS = r"(?:pass(?:word|wd)?|secret|token|api_?key|access_?key|auth|credential)"
+LEAST_ASSIGNED = 6
+#: What is assigned to a telling word: quoted, or up to a blank, less the signs that close a statement.
+ASSIGNED = (
+    rf"(?<![A-Za-z_])(?=[A-Za-z_]{{0,30}}?(?i:{TELLING_WORDS}))([A-Za-z_]{{1,30}})[\"']?[ \t]{{0,3}}[:=]>?[ \t]{{0,3}}"
+    rf"(?:\"([^\"\r\n]{{{LEAST_ASSIGNED},}}+)\"|'([^'\r\n]{{{LEAST_ASSIGNED},}}+)'|([^\s\"']\S{{{LEAST_ASSIGNED - 2},}}[^\s\"',;)\]}}>]))"
+)
 #: A candidate with the word before it, an assignment between them, and the character after it.
 IN_CONTEXT = rf"(?:([A-Za-z_]{{1,30}})[ \t\"']{{0,3}}([:=]?)[ \t\"']{{0,3}})?({CANDIDATE})(=*+)"
 DICTIONARY = 20_000
@@ -34,7 +44,7 @@ TREES, DEPTH, SEED = 20, 6, 7
 PIECES = (3, 4, 5, 6, 7, 8)
 #: Path patterns where findings are likely noise, and words that announce a credential: fixed values.
 NOISY_PATH = r"(?i)(test|example|sample|mock|fixture|doc)"
-TELLING = r"(?i)(pass(word|wd)?|secret|token|api_?key|access_?key|auth|credential)"
+TELLING = rf"(?i){TELLING_WORDS}"
 FEATURES = (
     "length", "classes", "transitions", "digit_share", "upper_share", "distinct_share",
     "surprise", "coverage", "noisy_path", "telling_word", "assigned", "word_before",
@@ -44,19 +54,33 @@ FEATURES = (
 def found(docs: DataFrame, path: Column) -> DataFrame:
     """``doc_id, path, candidate, before, assigned, n``: candidates of every whole text."""
     per_text = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), "text").filter(
-        F.regexp_like("text", F.lit(CANDIDATE))
+        F.regexp_like("text", F.lit(CANDIDATE)) | F.regexp_like("text", F.lit(ASSIGNED))
     )
-    hit = per_text.select("doc_id", "path", F.explode(F.regexp_extract_all("text", F.lit(IN_CONTEXT), 0)).alias("hit"))
-    return (
-        hit.select(
-            "doc_id",
-            "path",
-            F.regexp_extract("hit", IN_CONTEXT, 3).alias("candidate"),
-            F.lower(F.regexp_extract("hit", IN_CONTEXT, 1)).alias("before"),
-            (F.regexp_extract("hit", IN_CONTEXT, 2) != "").alias("assigned"),
-        )
-        .groupBy("doc_id", "path", "candidate", "before", "assigned")
-        .agg(F.count("*").alias("n"))
+    either = F.concat(
+        F.transform(F.regexp_extract_all("text", F.lit(IN_CONTEXT), 0), lambda h: _parts(h)),
+        # A key-like run that is found as such is not listed again.
+        F.filter(
+            F.transform(F.regexp_extract_all("text", F.lit(ASSIGNED), 0), lambda h: _assigned_parts(h)),
+            lambda c: ~F.regexp_like(c["candidate"], F.lit(rf"^(?:{CANDIDATE})=*$")),
+        ),
+    )
+    hit = per_text.select("doc_id", "path", F.explode(either).alias("hit")).select("doc_id", "path", "hit.*")
+    return hit.groupBy("doc_id", "path", "candidate", "before", "assigned").agg(F.count("*").alias("n"))
+
+
+def _parts(hit: Column) -> Column:
+    return F.struct(
+        F.regexp_extract(hit, IN_CONTEXT, 3).alias("candidate"),
+        F.lower(F.regexp_extract(hit, IN_CONTEXT, 1)).alias("before"),
+        (F.regexp_extract(hit, IN_CONTEXT, 2) != "").alias("assigned"),
+    )
+
+
+def _assigned_parts(hit: Column) -> Column:
+    return F.struct(
+        F.concat(*(F.regexp_extract(hit, ASSIGNED, k) for k in (2, 3, 4))).alias("candidate"),
+        F.lower(F.regexp_extract(hit, ASSIGNED, 1)).alias("before"),
+        F.lit(True).alias("assigned"),
     )
 
 
@@ -85,7 +109,7 @@ def features(candidates: DataFrame, counts: DataFrame, dictionary: int = DICTION
     strings = candidates.select("candidate").distinct().withColumn("low", F.lower("candidate"))
     moves = F.broadcast(transitions(counts))  # at most 26 * 26 rows
     words = F.broadcast(  # at most ``dictionary`` rows
-        counts.filter(F.length("word").between(min(PIECES), max(PIECES))).orderBy(F.desc("n"), "word").limit(dictionary).select("word")
+        counts.filter("n > 1").filter(F.length("word").between(min(PIECES), max(PIECES))).orderBy(F.desc("n"), "word").limit(dictionary).select("word")
     )
     surprise = (
         strings.select("candidate", F.explode(F.expr("transform(sequence(1, length(low) - 1), i -> substr(low, i, 2))")).alias("pair"))
@@ -163,6 +187,6 @@ def scan(docs: DataFrame, path: Column, label: Column, dictionary: int = DICTION
     ``label`` is an expression over the columns of ``features`` that says what is known of a finding.
     """
     candidates = stored(found(docs, path), "candidates")
-    counts = stored(word_counts(docs).filter("n > 1"), "words")
+    counts = stored(word_counts(docs), "words")
     rows = stored(features(candidates, counts, dictionary), "features")
     return scored(rows, train(rows, label, limit)).select("doc_id", "path", "candidate", "before", "n", "probability", "is_secret")

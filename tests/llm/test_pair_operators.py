@@ -207,6 +207,22 @@ def test_secrets_drop_false_positives(spark):
     assert secrets.scan(docs.limit(0), F.col("source"), known).count() == 0
 
 
+def test_assigned_credentials_are_candidates(spark):
+    texts = {
+        'password = "S3cr3t-Pa55wd"': "S3cr3t-Pa55wd",
+        "db_password: hunter2hunter2": "hunter2hunter2",
+        'api_key = "QwErTyUiOpAsDfGhJkLzXcVb"': "QwErTyUiOpAsDfGhJkLzXcVb",
+        "x\npassword=Tr0ub4dor&3!xQz9;": "Tr0ub4dor&3!xQz9",
+        "{'Auth': 'two words'}": "two words",
+        f'token = "{"0a" * 20}"': "0a" * 20,
+        "password = short": None if secrets.LEAST_ASSIGNED > 5 else "short",
+        "the password is hunter2hunter2": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r.doc_id, r.candidate, r.assigned, r.n) for r in secrets.found(docs, F.lit(None)).collect())
+    assert got == Counter((k, c, True, 1) for k, c in enumerate(texts.values()) if c)
+
+
 def test_list_entries_hold_until_the_next(spark):
     entries = spark.createDataFrame(
         [("a.example", "block", date(2024, 1, 10)), ("a.example", "allow", date(2024, 2, 1)), ("b.a.example", "block", date(2024, 2, 5)),
