@@ -2,7 +2,8 @@
 
 Words are lower-cased runs of characters other than blank and ``\\x09``-``\\x0D``; an item or document is the set of its
 five-word shingles (the whole sequence as one shingle when it has fewer words). A document is contaminated by an
-item when it holds at least ``threshold`` of the item's shingles.
+item when it holds at least ``threshold`` of the item's shingles. So an item of one to four words is found only where a
+document is the item itself: a document of five words or more has no shingle of fewer, here as in the query's SQL.
 
 Candidates come from MinHash sketches of the items, partitioned by size: all items whose shingle count lies in one
 doubling share an upper bound ``u`` and a sketch of the ``u - ceil(threshold * u) + 1`` smallest shingle hashes. A
