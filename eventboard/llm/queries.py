@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventboard.llm import chat, contamination, near, pieces, pii, quality, secrets, shards, substrings, urls
+from eventboard.llm import align, chat, contamination, near, pieces, pii, quality, secrets, shards, substrings, urls
 
 SHARDS = 40
 
@@ -99,6 +99,10 @@ def op10_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(captures(spark, sf_dir), list_entries(_read(spark, sf_dir, "pages")))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -112,6 +116,7 @@ QUERIES = {
         op8_pii,
         op9_near_duplicates,
         op10_url_list,
+        op13_token_alignment,
     )
 }
 
