@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventboard.llm import align, chat, contamination, near, pieces, pii, quality, secrets, shards, substrings, urls
+from eventboard.llm import align, chat, contamination, gnat, near, pieces, pii, quality, secrets, shards, substrings, urls
 
 SHARDS = 40
 
@@ -99,6 +99,14 @@ def op10_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(captures(spark, sf_dir), list_entries(_read(spark, sf_dir, "pages")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    rows = _read(spark, sf_dir, "embeddings").select(
+        "vec_id", label.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")
+    )
+    return gnat.mine(rows)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
 
@@ -116,6 +124,7 @@ QUERIES = {
         op8_pii,
         op9_near_duplicates,
         op10_url_list,
+        op12_hard_negatives,
         op13_token_alignment,
     )
 }
@@ -209,4 +218,23 @@ ORACLES = {
       QUALIFY row_number() OVER (PARTITION BY p.page_id ORDER BY length(v.domain) DESC) = 1)
     SELECT p.page_id, p.host, p.fetched_on, m.domain AS matched, m.action, m.listed_on, coalesce(m.action, '') <> 'block' AS kept
     FROM p LEFT JOIN m USING (page_id)""",
+    "op12_hard_negatives": """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+      FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (
+      SELECT anchor_id, positive_id, s.vec_id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE label <> own AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
