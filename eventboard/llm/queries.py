@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventboard.llm import align, chat, contamination, gnat, near, pieces, pii, quality, secrets, shards, substrings, urls
+from eventboard.llm import align, chat, contamination, gnat, near, pieces, pii, quality, secrets, shards, substrings, toxicity, urls
 
 SHARDS = 40
 
@@ -99,6 +99,10 @@ def op10_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(captures(spark, sf_dir), list_entries(_read(spark, sf_dir, "pages")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
     rows = _read(spark, sf_dir, "embeddings").select(
@@ -124,6 +128,7 @@ QUERIES = {
         op8_pii,
         op9_near_duplicates,
         op10_url_list,
+        op11_toxicity,
         op12_hard_negatives,
         op13_token_alignment,
     )
