@@ -11,8 +11,8 @@ How often two ids are linked is counted over the whole corpus: each task sums it
 links, so what is shuffled is far smaller than the links are, and a pair that occurs in every document is one row per
 chunk.
 
-Texts longer than ``CUT_CHARS`` are encoded in parts, cut at single blanks between word characters, where neither
-tokenizer joins anything; a text without such a place is encoded whole.
+Neither tokenizer joins anything across a single blank between two characters that are none, so texts are cut there into
+units, each distinct unit is encoded once, and a worker remembers a bounded number of them (forgetting costs time only).
 
 Defined results: a NULL or empty text, one that either tokenizer does not spell byte for byte (such as one with the
 blank mark U+2581), and one that is no valid UTF-8 have no tokens: zeros and an empty ``groups_sha256``. A NULL
@@ -33,18 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventboard.llm.arrays import Block, blocks, owners
+from eventboard.llm.arrays import Block, blocks, owners, ragged
 from eventboard.llm.scratch import arrow_map, ship, stored
 
 #: Merged token ends of a piece.
 PIECE = 1 << 15
 #: Text bytes and rows of a chunk, the unit over which a task sums its links. A longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 20_000
-#: Texts encoded at once, in bytes, and the length beyond which a text is encoded in parts.
-BLOCK, CUT_CHARS = 1 << 18, 1 << 16
+#: Bytes of texts aligned at once, characters given to a tokenizer at once, and units a worker remembers.
+BLOCK, ENCODED_CHARS, REMEMBERED = 1 << 20, 1 << 18, 300_000
 
 MARK = "▁"
-_SAFE = re.compile(r"(?<=\w) (?=\w)")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 PART = (
     "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -72,26 +72,13 @@ class _Side:
         self.last = np.array([f"{i}{close}" for i in range(len(spelled))], dtype=object)
 
     def lists(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part."""
         raise NotImplementedError
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            cut = cut_text(text) if self.cuttable else [text]
-            parts += cut
-            owner += [k] * len(cut)
-        lists = self.lists(parts) if parts else []
-        n = np.bincount(owner, [len(x) for x in lists], minlength=len(texts)).astype(np.int64)
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(n.sum()))
-        return flat, np.concatenate([[0], np.cumsum(n)])
-
 
 class ByteLevel(_Side):
     """A byte-level vocabulary; every part is encoded after a blank."""
 
-    cuttable = True
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -118,18 +105,14 @@ class Pieces(_Side):
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         byte = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else None for i, p in enumerate(pieces)]
-        self.cuttable = not any(MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if byte[i] is None)
+        if any(MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if byte[i] is None):
+            raise ValueError("a piece holds the blank mark after another character")
         super().__init__([b or p.replace(MARK, " ").encode() for p, b in zip(pieces, byte, strict=True)], ";")
 
     def lists(self, parts: list[str]) -> list[list[int]]:
         return self.library.encode(parts, num_threads=1)
 
 
-@lru_cache(maxsize=2)
-def _sides(path_a: str, path_b: str) -> tuple[_Side, _Side]:
-    return ByteLevel(path_a), Pieces(path_b)
-
-
 def byte_letters() -> dict[str, int]:
     """The byte behind each letter of a byte-level vocabulary: printable ones stand for themselves, others follow 255."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -137,13 +120,64 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def cut_text(text: str, limit: int = CUT_CHARS) -> list[str]:
-    """Parts of some ``limit`` characters; the blank between two parts is in neither."""
-    parts, start = [], 0
-    while len(text) - start > limit and (found := _SAFE.search(text, start + limit)):
-        parts.append(text[start : found.start()])
-        start = found.end()
-    return [*parts, text[start:]]
+class Units:
+    """Ids of the units met so far, on both sides, and whether both spell the unit byte for byte."""
+
+    def __init__(self, a: _Side, b: _Side):
+        self.sides = a, b
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.good = np.zeros(0, dtype=bool)
+        self.flat = [np.zeros(0, dtype=np.int64) for _ in self.sides]
+        self.at = [np.zeros(1, dtype=np.int64) for _ in self.sides]
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts, one after the other, and where each text's begin."""
+        units = [_BETWEEN.split(t) for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64)
+        new = {u for of_text in units for u in of_text if u not in self.known}
+        if new and len(self.known) + len(new) > REMEMBERED:
+            self.forget()
+            new = {u for of_text in units for u in of_text}
+        self._learn(sorted(new))
+        known = self.known
+        return np.fromiter((known[u] for of_text in units for u in of_text), dtype=np.int64, count=int(at[-1])), at
+
+    def _learn(self, units: list[str]) -> None:
+        found: tuple[list, list] = ([], [])
+        k = 0
+        while k < len(units):
+            stop, size = k + 1, len(units[k])
+            while stop < len(units) and size + len(units[stop]) <= ENCODED_CHARS:
+                size += len(units[stop])
+                stop += 1
+            for side, lists in zip(self.sides, found, strict=True):
+                lists += side.lists(units[k:stop])
+            k = stop
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        good = [
+            all(b"".join(map(side.spelled.__getitem__, ids)) == whole for side, ids in zip(self.sides, both, strict=True))
+            for both, whole in zip(zip(*found, strict=True), ((" " + u).encode() for u in units), strict=True)
+        ]
+        self.good = np.concatenate([self.good, np.array(good, dtype=bool)])
+        for side, lists in enumerate(found):
+            n = np.array([len(x) for x in lists], dtype=np.int64)
+            ids = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(n.sum()))
+            self.flat[side] = np.concatenate([self.flat[side], ids])
+            self.at[side] = np.concatenate([self.at[side], self.at[side][-1] + np.cumsum(n)])
+
+    def ids(self, side: int, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after the other, and where each unit's begin."""
+        start = self.at[side][units]
+        n = self.at[side][units + 1] - start
+        return self.flat[side][ragged(start, n)], np.concatenate([[0], np.cumsum(n)])
+
+
+@lru_cache(maxsize=2)
+def worker_units(path_a: str, path_b: str) -> Units:
+    return Units(ByteLevel(path_a), Pieces(path_b))
 
 
 def diagonals(x: np.ndarray, y: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
@@ -200,17 +234,6 @@ def merge_links(x: np.ndarray, y: np.ndarray, piece: int = PIECE) -> Links:
     return Links(*(map(np.concatenate, zip(*found, strict=True)) if found else (none, none, none)), closed)
 
 
-def _spelled(block: Block, side: _Side, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which texts the ids spell byte for byte, after a blank."""
-    upto = np.concatenate([[0], np.cumsum(side.width[ids])])
-    fits = upto[at[1:]] - upto[at[:-1]] == np.diff(block.at) + 1
-    listed = ids.tolist()
-    for k in np.flatnonzero(fits):
-        whole = b"".join(map(side.spelled.__getitem__, listed[at[k] : at[k + 1]]))
-        fits[k] = whole == b" " + block.data[block.at[k] : block.at[k + 1]].tobytes()
-    return fits
-
-
 @dataclass
 class Alignment:
     """Tokens, links and groups of the texts of one block; ``*_at`` tell where each text's begin."""
@@ -244,21 +267,26 @@ class Alignment:
         return hashlib.sha256("".join(out.tolist())[:-1].encode()).hexdigest()
 
 
-def align_block(block: Block, side_a: _Side, side_b: _Side, piece: int = PIECE) -> Alignment:
+def align_block(block: Block, known: Units, piece: int = PIECE) -> Alignment:
     texts = [block.text(k) for k in range(len(block))]
-    (a, a_at), (b, b_at) = side_a.encode(texts), side_b.encode(texts)
-    good = (np.diff(block.at) > 0) & _spelled(block, side_a, a, a_at) & _spelled(block, side_b, b, b_at)
-    a_of, b_of = owners(a_at), owners(b_at)
-    a, a_of, b, b_of = a[good[a_of]], a_of[good[a_of]], b[good[b_of]], b_of[good[b_of]]
-    rows = np.arange(len(block) + 1)
+    units, at = known.of(texts)
+    good = np.diff(block.at) > 0
+    good[owners(at)[~known.good[units]]] = False
+    for k, text in enumerate(texts):  # bytes that are no text
+        if "\ufffd" in text:
+            good[k] &= text.encode() == block.data[block.at[k] : block.at[k + 1]].tobytes()
+    n = np.where(good, np.diff(at), 0)
+    units = units[np.repeat(good, np.diff(at))]
+    unit_at = np.concatenate([[0], np.cumsum(n)])
+    (a, a_unit), (b, b_unit) = known.ids(0, units), known.ids(1, units)
+    a_at, b_at = a_unit[unit_at], b_unit[unit_at]
     # Kept texts lie end to end on both sides, so every text's end closes a group.
-    x, y = np.cumsum(side_a.width[a]), np.cumsum(side_b.width[b])
+    x, y = np.cumsum(known.sides[0].width[a]), np.cumsum(known.sides[1].width[b])
     links = merge_links(x, y, piece)
     shared = np.intersect1d(x, y, assume_unique=True)
-    a_at = np.searchsorted(a_of, rows)
     text_end = np.concatenate([[0], x])[a_at]
     return Alignment(
-        a, a_at, b, np.searchsorted(b_of, rows), links, np.searchsorted(a_of[links.left], rows),
+        a, a_at, b, b_at, links, np.searchsorted(links.left, a_at),
         np.searchsorted(shared, x), np.searchsorted(shared, y), np.searchsorted(shared, text_end, "right"),
     )
 
@@ -314,7 +342,7 @@ def parts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``PART``: the rows of every text, and a row of id pairs for every chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side_a, side_b = _sides(path_a, path_b)
+        known = worker_units(path_a, path_b)
         # A task that is run again numbers its chunks the same.
         number = TaskContext.get().partitionId() << 32
         chunk = _Chunk(number)
@@ -325,7 +353,7 @@ def parts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     yield chunk.batch()
                     number += 1
                     chunk = _Chunk(number)
-                chunk.add(ids[block.rows], block, align_block(block, side_a, side_b), side_a, side_b)
+                chunk.add(ids[block.rows], block, align_block(block, known), *known.sides)
         if chunk.rows:
             yield chunk.batch()
 

@@ -79,15 +79,15 @@ def test_alignment_equals_a_walk(spark, sf_dir):
     assert rows_of(align.align(docs, A, B)) == want
 
 
-def test_small_chunks_and_pieces_change_nothing(spark, sf_dir, monkeypatch):
+def test_small_pieces_change_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).cache()
     want = rows_of(align.align(docs, A, B))
-    side_a, side_b = align._sides(A, B)
+    known = align.worker_units(A, B)
     text = " ".join(r.text or "" for r in docs.collect())
     block = next(align.blocks(align.pa.array([text]), 1 << 30))
-    whole = align.align_block(block, side_a, side_b, 1 << 40)
+    whole = align.align_block(block, known, 1 << 40)
     for piece in (1, 3, 64, 1_000):
-        cut = align.align_block(block, side_a, side_b, piece)
+        cut = align.align_block(block, known, piece)
         for one, other in ((whole.links.left, cut.links.left), (whole.links.right, cut.links.right), (whole.links.group, cut.links.group)):
             assert np.array_equal(one, other)
         assert whole.links.closed == cut.links.closed
@@ -112,11 +112,20 @@ def test_links_are_the_overlapping_ranges(x, y, piece):
     assert links.group.tolist() == [int(np.searchsorted(shared, min(x[i], y[j]))) for i, j in want]
 
 
-@pytest.mark.parametrize("limit", [10, 64, 1_000])
-def test_parts_are_encoded_like_the_whole(spark, sf_dir, limit, monkeypatch):
-    side_a, side_b = align._sides(A, B)
-    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).collect()] + [t or "" for t in ODD]
-    whole = [s.encode(texts)[0] for s in (side_a, side_b)]
-    cut = align.cut_text
-    monkeypatch.setattr(align, "cut_text", lambda text: cut(text, limit))
-    assert all(np.array_equal(w, s.encode(texts)[0]) for w, s in zip(whole, (side_a, side_b), strict=True))
+@pytest.mark.parametrize("remembered", [1, 500, 300_000])
+def test_units_are_encoded_like_the_whole(spark, sf_dir, remembered, monkeypatch):
+    monkeypatch.setattr(align, "REMEMBERED", remembered)
+    monkeypatch.setattr(align, "ENCODED_CHARS", 300)
+    known = align.Units(align.ByteLevel(A), align.Pieces(B))
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(80).collect()]
+    texts += [t or "" for t in ODD if _mark_free(t)] + ["a\u00a0b c\u2028 d", "x\x1c y \x85 z", "1 2 3,4 's 't", "a  b   c \n d"]
+    for few in (texts[k : k + 9] for k in range(0, len(texts), 9)):
+        units, at = known.of(few)
+        for side in (0, 1):
+            ids, unit_at = known.ids(side, units)
+            for k, text in enumerate(few):
+                assert ids[unit_at[at[k]] : unit_at[at[k + 1]]].tolist() == known.sides[side].lists([text])[0]
+
+
+def _mark_free(text):
+    return "\u2581" not in (text or "")
