@@ -335,15 +335,16 @@ def season_fields(df: DataFrame, end: str = "event_at", zone: str = "tz_label")
     )
 
 
-def next_weekly(ts: Column, dow: int = 4, time: str = "10:00", boundary: str = "strict") -> Column:
-    """Next weekly slot (``dow`` 1 = Monday) after ``ts``, a timestamp_ntz in UTC.
+def next_weekly(ts: Column, dow: int | Column = 4, time: str | Column = "10:00", boundary: str = "strict") -> Column:
+    """Next weekly slot (``dow`` 1 = Monday, ``time`` as ``hh:mm``) after ``ts``, a timestamp_ntz in UTC.
 
     ``boundary='strict'`` returns a slot later than ``ts``; ``'minute'`` keeps the current slot
     during its whole first minute.
     """
-    hours, minutes = (int(p) for p in time.split(":"))
+    day, clock = (F.lit(v) if not isinstance(v, Column) else v for v in (dow, time))
+    hours, minutes = (_int(F.split_part(clock, F.lit(":"), F.lit(k))) for k in (1, 2))
     monday = F.date_sub(F.to_date(ts), F.weekday(ts)).cast("timestamp_ntz")
-    slot = monday + F.make_dt_interval(days=F.lit(dow - 1), hours=F.lit(hours), mins=F.lit(minutes))
+    slot = monday + F.make_dt_interval(days=day - 1, hours=hours, mins=minutes)
     grace = F.make_dt_interval(mins=F.lit(1)) if boundary == "minute" else F.make_dt_interval()
     return F.when(slot + grace > ts, slot).otherwise(slot + F.make_dt_interval(days=F.lit(7)))
 

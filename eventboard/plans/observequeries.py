@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventboard.operators import resolve as rs
 from eventboard.plans.observe import observe
-from eventboard.plans.rules import URLS, registry, rules_table
+from eventboard.plans.rules import FAILURES, NO_LINK, URLS, registry, rules_table
 from eventboard.plans.tables import spread, table
 from eventboard.schemas import SNAPSHOTS, columns
 
@@ -40,14 +40,14 @@ def _key() -> Column:
     return _n().cast("string")
 
 
-def _snapshots(orders: DataFrame, source: str, body: Column, url: Column | str, mode: str = "http", number: int = 0) -> DataFrame:
-    """One snapshot per order; ``number`` tells several pages of one run apart."""
+def _snapshots(orders: DataFrame, source: str, body: Column, url: Column | str, mode: str = "http", number: int = 0, final: Column | None = None) -> DataFrame:
+    """One snapshot per order; ``number`` tells several pages of one run apart, ``final`` is where a redirect led."""
     fields = {
         "snapshot_id": _n() * 4 + number,
         "run_id": _key(),
         "source_id": F.lit(source),
         "requested_url": F.lit(url) if isinstance(url, str) else url,
-        "final_url": F.lit(None).cast("string"),
+        "final_url": final if final is not None else F.lit(None).cast("string"),
         "fetched_at": _day(20),
         "http_status": F.when(_n() % 10 == 9, 403).otherwise(200),
         "fetch_mode": F.lit(mode),
@@ -68,7 +68,7 @@ def _lol(o: DataFrame) -> DataFrame:
 
     body = _cat("<html><table><tr><th>Patch</th><th>Date</th></tr>", row(F.lit("old"), -30),
                 row(F.lit("far"), 50), row(_cat("26.", _key()), 25), "</table></html>")
-    return _snapshots(o, "lol", body, URLS["lol"])
+    return _snapshots(o, "lol", body, URLS["lol"], final=F.when(_n() % 2 == 1, URLS["lol"] + "?from=schedule"))
 
 
 def _valorant(o: DataFrame) -> DataFrame:
@@ -83,20 +83,27 @@ def _cs2(o: DataFrame) -> DataFrame:
                 "</div><a href='/news/entry/", _key(), "'>more</a></div>")
     loose = _cat("<p>Release notes for ", _print("MMMM d, yyyy", 1), "</p>")
     body = F.when(_n() % 3 == 0, post).when(_n() % 3 == 1, loose).otherwise("<p>empty</p>")
-    feed = _cat("<rss><channel><item><title>Event</title><pubDate>Thu, 1 Jan 1970 00:00:00 +0000</pubDate></item><item><title>Update ",
+    # Every sixth feed has a single item, which is no list.
+    event = "<item><title>Event</title><pubDate>Thu, 1 Jan 1970 00:00:00 +0000</pubDate></item>"
+    feed = _cat("<rss><channel>", F.when(_n() % 6 == 5, "").otherwise(event), "<item><title>Update ",
                 _key(), "</title><pubDate>", _print("EEE, dd MMM yyyy 22:00:00", 2), " +0000</pubDate><link>https://feed.example/",
                 _key(), "</link></item></channel></rss>")
     page = _snapshots(o, "cs2", _cat("<html><body>", body, "</body></html>"), URLS["cs2"], "browser")
     return page.unionByName(_snapshots(o, "cs2", feed, URLS["cs2-feed"], number=1))
 
 
+def _elsewhere(url: Column) -> Column:
+    """Every third article was moved: its page is there, but not where the listing says."""
+    return F.when(_n() % 3 == 2, _cat(url, "/moved")).otherwise(url)
+
+
 def _minecraft(o: DataFrame) -> DataFrame:
     listing = _cat("<html><body><ul><li class='blocks-item'><a href='#top'>Changelog</a></li><li class='blocks-item'><a href='/hc/articles/",
                    _key(), "'>Version 1.", _key(), "</a></li></ul><p>Listed ", _print("MMMM d, yyyy", 3), "</p></body></html>")
     article = _cat("<html><body><h1>Minecraft 1.", _key(), "</h1><time datetime='", _print("yyyy-MM-dd"), "'>x</time></body></html>")
     url = _cat("https://feedback.minecraft.net/hc/articles/", _key())
     pages = _snapshots(o, "minecraft", listing, URLS["minecraft"])
-    return pages.unionByName(_snapshots(o.filter(_n() % 3 != 2), "minecraft", article, url, number=1))
+    return pages.unionByName(_snapshots(o, "minecraft", article, _elsewhere(url), number=1))
 
 
 def _roblox(o: DataFrame) -> DataFrame:
@@ -116,7 +123,7 @@ def _genshin(o: DataFrame) -> DataFrame:
     article = _cat("<html><main>Start ", _print("yyyy/MM/dd 10:00:00"), " End Time: ", _print("yyyy/MM/dd 14:59:59", 40), "</main></html>")
     url = _cat("https://genshin.hoyoverse.com/en/news/", _key())
     pages = _snapshots(o, "genshin", listing, URLS["genshin"])
-    return pages.unionByName(_snapshots(o.filter(_n() % 3 != 2), "genshin", article, url, number=1))
+    return pages.unionByName(_snapshots(o, "genshin", article, _elsewhere(url), number=1))
 
 
 def _pubg(o: DataFrame) -> DataFrame:
@@ -180,12 +187,12 @@ _D = "o_orderdate"
 _K = "CAST(o_orderkey AS VARCHAR)"
 
 
-def _expect(source: str, at: str, url: str, notes: str, confidence: str, missing: str, extra: str = "", lost: str = "false", lost_text: str = "NULL", lost_status: str = "200") -> str:
-    """Expected rows: ``lost`` marks runs whose article is absent although the listing was fine."""
+def _expect(source: str, at: str, url: str, notes: str, confidence: str, missing: str, extra: str = "", lost: str = "false", lost_text: str = "NULL", lost_status: str = "200", bare: str = "false") -> str:
+    """Expected rows: ``lost`` marks runs whose article is absent although the listing was fine, ``bare`` more without a date."""
     blocked = "o_orderkey % 10 = 9"
     return f"""WITH e AS (SELECT o_orderkey, {_K} AS run_id, {at} AS made, {url} AS url, {notes} AS notes, {confidence} AS conf,
-  CASE WHEN {blocked} THEN 'blocked' WHEN o_orderkey % 10 = 8 THEN 'parse_failed' WHEN {lost} THEN 'unavailable' END AS failure,
-  CASE WHEN {blocked} THEN 'HTTP 403' WHEN o_orderkey % 10 = 8 THEN {missing} WHEN {lost} THEN {lost_text} END AS text
+  CASE WHEN {blocked} THEN 'blocked' WHEN o_orderkey % 10 = 8 OR {bare} THEN 'parse_failed' WHEN {lost} THEN 'unavailable' END AS failure,
+  CASE WHEN {blocked} THEN 'HTTP 403' WHEN o_orderkey % 10 = 8 OR {bare} THEN {missing} WHEN {lost} THEN {lost_text} END AS text
   FROM orders{extra})
 SELECT run_id, failure IS NULL AS ok, CASE WHEN failure IS NULL THEN CAST(made AS TIMESTAMP) END AS event_at,
   CASE WHEN failure IS NULL THEN url END AS source_url, CASE WHEN failure IS NULL THEN notes END AS notes,
@@ -194,6 +201,12 @@ SELECT run_id, failure IS NULL AS ok, CASE WHEN failure IS NULL THEN CAST(made A
   failure AS failure_type, 'Crashed: ' || text AS explanation FROM e"""
 
 
+def _missing(source: str) -> str:
+    """The rule's own failure text as a SQL literal."""
+    text = FAILURES[source].replace("{url}", URLS.get(source, ""))
+    return f"'{text}'"
+
+
 _MC = "https://feedback.minecraft.net/hc/articles/"
 
 QUERIES = {
@@ -202,67 +215,67 @@ QUERIES = {
     "refresh_health": refresh_health,
 }
 
-_FORTNITE_SQL = _expect("fortnite", _D, f"'{URLS['fortnite']}'", "CAST(NULL AS VARCHAR)", "'high'", "'No explicit end date found on page'")
+_FORTNITE_SQL = _expect("fortnite", _D, f"'{URLS['fortnite']}'", "CAST(NULL AS VARCHAR)", "'high'", _missing("fortnite"))
 
 ORACLES = {
     "observe_fortnite": _FORTNITE_SQL,
     "observe_lol": _expect(
-        "lol", f"{_D} + INTERVAL 25 DAY", f"'{URLS['lol']}'", f"'Patch 26.' || {_K}", "'high'",
-        f"'Could not find upcoming patch date in schedule table. Source: {URLS['lol']}'",
+        "lol", f"{_D} + INTERVAL 25 DAY", f"'{URLS['lol']}' || CASE WHEN o_orderkey % 2 = 1 THEN '?from=schedule' ELSE '' END", f"'Patch 26.' || {_K}", "'high'",
+        _missing("lol"),
     ),
     "observe_valorant": _expect(
         "valorant", f"CASE WHEN o_orderkey % 2 = 0 THEN {_D} + INTERVAL 5 DAY ELSE {_D} + INTERVAL 14 HOUR END",
         f"'{URLS['valorant']}'", f"CASE WHEN o_orderkey % 2 = 0 THEN 'Worded' ELSE 'Timed ' || {_K} END", "'medium'",
-        "'Could not extract patch date from VALORANT news page'",
+        _missing("valorant"),
     ),
     "observe_cs2": _expect(
         "cs2", f"CASE o_orderkey % 3 WHEN 0 THEN {_D} WHEN 1 THEN {_D} + INTERVAL 1 DAY ELSE {_D} + INTERVAL 70 HOUR END",
         f"CASE o_orderkey % 3 WHEN 0 THEN '/news/entry/' || {_K} WHEN 1 THEN '{URLS['cs2']}' ELSE 'https://feed.example/' || {_K} END",
         f"CASE o_orderkey % 3 WHEN 0 THEN 'Notes ' || {_K} WHEN 1 THEN 'Counter-Strike 2 Update' ELSE 'Update ' || {_K} END",
-        "'high'", "'Invalid RSS feed format'",
+        "'high'", _missing("cs2-feed"), bare="o_orderkey % 6 = 5",
     ),
     "observe_minecraft": _expect(
         "minecraft", f"CASE WHEN o_orderkey % 3 = 2 THEN {_D} + INTERVAL 3 DAY ELSE {_D} END",
         f"CASE WHEN o_orderkey % 3 = 2 THEN '{URLS['minecraft']}' ELSE '{_MC}' || {_K} END",
         f"CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'Minecraft 1.' || {_K} END", "'high'",
-        f"'Could not extract valid release date from Minecraft article. Source: {URLS['minecraft']}'",
+        _missing("minecraft"),
     ),
     "observe_roblox": _expect(
         "roblox", _D, f"'{URLS['roblox-public']}'", f"'Current status: S' || {_K}", "'high'",
-        "'No updated timestamp found in Roblox status JSON'",
+        _missing("roblox"),
     ),
     "observe_warzone": _expect(
         "warzone", _D, f"'{URLS['warzone']}'", f"'Warzone ' || {_K}", "'medium'",
-        "'Could not extract Warzone patch date from CoD patch notes'",
+        _missing("warzone"),
     ),
     "observe_genshin": _expect(
         "genshin", f"{_D} + to_seconds(40 * 86400 + 53999)",
         f"'https://genshin.hoyoverse.com/en/news/' || {_K}", f"'Event Wish ' || {_K}", "'medium'",
-        f"'Could not extract explicit banner end date from Genshin news. Source: {URLS['genshin']}'",
+        _missing("genshin"),
         lost="o_orderkey % 3 = 2", lost_text=f"'Article fetch failed: https://genshin.hoyoverse.com/en/news/' || {_K} || ' (0)'",
     ),
     "observe_pubg": _expect(
         "pubg", f"CASE o_orderkey % 3 WHEN 0 THEN make_timestamp(year({_D} + INTERVAL 20 DAY), month({_D}), day({_D}), 0, 0, 0) "
         f"WHEN 1 THEN {_D} + INTERVAL 1 DAY ELSE {_D} END",
         f"'https://pubg.com/en/news/' || {_K}", f"CASE o_orderkey % 3 WHEN 1 THEN NULL ELSE 'Patch ' || {_K} END", "'high'",
-        "'No article URL extracted from listing.'",
+        f"'{NO_LINK}'",
     ),
     "observe_red_dead_redemption_2": _expect(
         "rdr2", _D, f"'https://www.rockstargames.com/newswire/article/2/' || {_K}", f"'Crime ' || {_K}",
         "CASE WHEN o_orderkey % 2 = 0 THEN 'medium' ELSE 'high' END",
-        "'Could not find any ''Red Dead'' articles with dates on Newswire (Browser)'",
+        _missing("red-dead-redemption-2"),
     ),
     "observe_ea_sports_fc": _expect(
         "eafc", f"CASE o_orderkey % 3 WHEN 0 THEN {_D} WHEN 1 THEN {_D} + INTERVAL 2 DAY "
         f"ELSE {_D} + INTERVAL 20 DAY - to_weeks(CAST(o_orderkey % 5 + 1 AS INTEGER)) END",
         f"'https://forums.ea.com/b/' || {_K}", f"'Title Update v' || {_K}", "'medium'",
-        "'Could not find any ''Title Update'' articles with dates on EA Forums'",
+        _missing("ea-sports-fc"),
     ),
     "observe_gta": f"""SELECT 'fortnite' AS source_id, 'next-season' AS event_type, * FROM ({_FORTNITE_SQL})
 UNION ALL SELECT 'gta', 'weekly-reset', {_K}, true,
   CASE WHEN date_trunc('week', t) + INTERVAL 82 HOUR > t THEN date_trunc('week', t) + INTERVAL 82 HOUR
        ELSE date_trunc('week', t) + INTERVAL 250 HOUR END,
-  '{URLS['gta']}', 'Weekly reset occurs every Thursday at 10:00 UTC', 'high', NULL, NULL, NULL
+  '{URLS['gta']}', 'new week every Thursday, 10:00 UTC', 'high', NULL, NULL, NULL
 FROM (SELECT *, {_D} + INTERVAL 20 DAY AS t FROM orders)""",
     "refresh_health": f"""WITH runs AS (SELECT o_orderkey, {_D} + INTERVAL 20 DAY AS t, o_orderkey % 10 < 8 AS ok FROM orders),
 resolved AS (SELECT t, CASE WHEN ok THEN 'fresh' WHEN max(CASE WHEN ok THEN 1 END) OVER (

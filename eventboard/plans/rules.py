@@ -21,7 +21,7 @@ RULES = (
     " unguarded boolean, headings array<string>, text_headings array<string>, title_all boolean, title_else string, fixed_title string,"
     f" tiers array<{TIER}>, policy string, confidence string, notes_prefix string, public_url string,"
     " link_base string, cut_query boolean, link_as_is boolean, failure_text string, no_link_text string,"
-    " source_tz string"
+    " source_tz string, source_label string, slot_dow int, slot_time string, slot_note string"
 )
 
 # The registered sources in their order.
@@ -69,23 +69,24 @@ URLS = {
     "red-dead-redemption-2": "https://www.rockstargames.com/newswire",
     "ea-sports-fc": "https://forums.ea.com/category/ea-sports-fc-en/blog/ea-sports-fc-game-info-hub-en",
 }
+# What a good page without a date is reported as; ``{url}`` is the page.
 FAILURES = {
-    "fortnite": "No explicit end date found on page",
-    "lol": "Could not find upcoming patch date in schedule table. Source: {url}",
-    "valorant": "Could not extract patch date from VALORANT news page",
-    "cs2": "Could not find any dated articles on CS2 official page",
-    "cs2-feed": "Invalid RSS feed format",
-    "minecraft": "Could not extract valid release date from Minecraft article. Source: {url}",
-    "roblox": "No updated timestamp found in Roblox status JSON",
-    "warzone": "Could not extract Warzone patch date from CoD patch notes",
-    "genshin": "Could not extract explicit banner end date from Genshin news. Source: {url}",
-    "pubg": "Could not extract valid patch date from PUBG article. Source: {url}",
-    "red-dead-redemption-2": "Could not find any 'Red Dead' articles with dates on Newswire (Browser)",
-    "ea-sports-fc": "Could not find any 'Title Update' articles with dates on EA Forums",
+    "fortnite": "the page names no season end",
+    "lol": "no upcoming patch in the schedule at {url}",
+    "valorant": "no dated patch article in the list",
+    "cs2": "no dated post on the updates page",
+    "cs2-feed": "the feed is not a list of items",
+    "minecraft": "no release date at {url}",
+    "roblox": "the status document has no update time",
+    "warzone": "no dated patch notes in the list",
+    "genshin": "no banner end at {url}",
+    "pubg": "no patch date at {url}",
+    "red-dead-redemption-2": "no dated article about the game in the list",
+    "ea-sports-fc": "no dated title update in the hub",
 }
-WEEKLY_NOTE = "Weekly reset occurs every Thursday at 10:00 UTC"
+NO_LINK = "the list has no link to an article"
 BODY_TITLE = "Counter-Strike 2 Update"
-SOURCE_NAME = "Fortnite Battle Pass (Official)"
+SEASON_LABEL = "Fortnite Battle Pass (Official)"
 
 
 def registry(spark: SparkSession, sources: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -174,10 +175,10 @@ def default_rules() -> list[dict]:
     news = dict(
         cards=["a"], closest=["article", ".news-item", ".card", "div"], href_pattern=r"/en/news/\d+", follow=True,
         on_missing="fail", cut_query=True, forbidden_query="category=patch_notes", link_base="https://pubg.com",
-        no_link_text="No article URL extracted from listing.",
+        no_link_text=NO_LINK,
     )
     return [
-        of("fortnite", "page", [("page_text", "ends_on", False)]),
+        of("fortnite", "page", [("page_text", "ends_on", False)], source_label=SEASON_LABEL),
         of("lol", "row", [("cell", "month_loose", True)], policy="next", notes_prefix="Patch "),
         of(
             "valorant", "card", [("time_attr", "any_date", False), ("text", "iso_or_month", False)],
@@ -201,7 +202,10 @@ def default_rules() -> list[dict]:
             cards=[PAGE], drop_noscript=True, headings=["h1", "h2", ".article-title", ".title"], on_missing="use_listing",
         ),
         of("roblox", "status", [("status", "status", False)], public_url=URLS["roblox-public"], notes_prefix="Current status: "),
-        of("gta", "weekly", [("weekly", "weekly", False)]),
+        of(
+            "gta", "weekly", [("weekly", "weekly", False)], slot_dow=4, slot_time="10:00",
+            slot_note="new week every Thursday, 10:00 UTC",
+        ),
         of(
             "warzone", "card", [("time_attr", "any_date", False), ("text", "slash_or_month", False)],
             cards=["article", ".patch-note", ".card", "a"], keywords=["warzone"], keyword_in="text", policy="latest",

@@ -151,7 +151,7 @@ def structured_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def followed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer's newest order is the link; large orders have an article page, others have none."""
+    """Every customer's newest order is the link; large order lines are its article page, others are drafts under another url."""
     orders = table(spark, sf_dir, "orders")
     url = F.concat(F.lit("https://example.org/o/"), F.col("o_orderkey").cast("string"))
     links = pick.pick_latest(
@@ -159,9 +159,10 @@ def followed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("o_orderdate").alias("event_at"), url.alias("url")),
         keys=["source"],
     )
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 30)
+    lines = table(spark, sf_dir, "lineitem")
+    page = F.concat(F.lit("https://example.org/o/"), F.col("l_orderkey").cast("string"))
     pages = lines.select(
-        F.concat(F.lit("https://example.org/o/"), F.col("l_orderkey").cast("string")).alias("requested_url"),
+        F.when(F.col("l_quantity") > 30, page).otherwise(F.concat(page, F.lit("/draft"))).alias("requested_url"),
         F.col("l_linenumber").alias("snapshot_id"),
         F.col("l_shipdate").alias("fetched_at"),
     )
@@ -243,9 +244,10 @@ UNION ALL SELECT o_orderkey, 1, strftime(o_orderdate, '%Y-%m-%dT10:30:00Z'), o_o
   SELECT o_custkey AS source, o_orderkey AS pos, o_orderdate AS event_at, 'https://example.org/o/' || CAST(o_orderkey AS VARCHAR) AS url
   FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1
 ), articles AS (
-  SELECT 'https://example.org/o/' || CAST(l_orderkey AS VARCHAR) AS url, l_linenumber AS article_snapshot_id, l_shipdate AS article_fetched_at
-  FROM lineitem WHERE l_quantity > 30
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)
+  SELECT 'https://example.org/o/' || CAST(l_orderkey AS VARCHAR) || CASE WHEN l_quantity > 30 THEN '' ELSE '/draft' END AS url,
+    l_linenumber AS article_snapshot_id, l_shipdate AS article_fetched_at
+  FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_quantity > 30 ORDER BY l_shipdate DESC, l_linenumber DESC) = 1)
 SELECT l.*, a.article_snapshot_id, a.article_fetched_at, a.url IS NOT NULL AS found, a.url IS NULL AS use_listing
 FROM links l LEFT JOIN articles a ON a.url = l.url""",
 }

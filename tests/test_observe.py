@@ -3,9 +3,11 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from eventboard.plans.observe import observe
-from eventboard.plans.rules import SOURCES, URLS, register, registry, rule, rules_table
+from eventboard.plans import observe as observing
+from eventboard.plans.observe import Kinds, observe
+from eventboard.plans.rules import FAILURES, NO_LINK, SOURCES, URLS, register, registry, rule, rules_table
 from eventboard.schemas import SNAPSHOTS
 
 NOW = datetime(2026, 2, 4, 21, 0)
@@ -37,7 +39,7 @@ def good(spark):
         ("valorant", URLS["valorant"], "<article><h2>P1</h2>January 20, 2026</article><article><time datetime='2026-02-03T14:00:00.000Z'>"
          "x</time><h3> P2 </h3></article>"),
         ("cs2", URLS["cs2"], "<p>Release Notes January 29, 2026</p>", "browser"),
-        ("cs2", URLS["cs2-feed"], "<rss><channel><item><title>Update</title><pubDate>Thu, 1 Jan 2026 22:00:00 +0000</pubDate></item></channel></rss>"),
+        ("cs2", URLS["cs2-feed"], "<rss><channel><item><title>Update</title><pubDate>Thu, 1 Jan 2026 22:00:00 +0000</pubDate></item><item/></channel></rss>"),
         ("minecraft", URLS["minecraft"], "<li class='blocks-item'><a href='#x'>Changelog</a></li><li class='blocks-item'><a href='/hc/articles/1'>"
          "Minecraft 1.21.4</a></li>"),
         ("minecraft", MINECRAFT, "<h1>Minecraft 1.21.4</h1><time datetime='2026-01-20T10:00:00Z'>x</time>"),
@@ -101,9 +103,9 @@ def test_failures_are_rows(spark):
         "roblox": (False, "parse_failed"), "pubg": (False, "parse_failed"), "genshin": (False, "unavailable"),
         "warzone": (False, "parse_failed"),
     }
-    assert out["fortnite"].explanation == "Crashed: No explicit end date found on page"
+    assert out["fortnite"].explanation == f"Crashed: {FAILURES['fortnite']}"
     assert out["lol"].explanation == "Crashed: HTTP 429"
-    assert out["pubg"].explanation == "Crashed: No article URL extracted from listing."
+    assert out["pubg"].explanation == f"Crashed: {NO_LINK}"
     assert out["genshin"].explanation == f"Crashed: Article fetch failed: {GENSHIN} (0)"
 
 
@@ -153,3 +155,58 @@ def test_plain_text_dates_use_fewer_headings(spark):
     assert run(spark, ("warzone", URLS["warzone"], plain))["warzone"].notes is None
     timed = plain.replace("1/7/2026", "<time datetime='2026-01-07'>x</time>")
     assert run(spark, ("warzone", URLS["warzone"], timed))["warzone"].notes == "T"
+
+
+def test_one_item_is_no_feed(spark):
+    feed = "<rss><channel><item><title>Update</title><pubDate>Thu, 1 Jan 2026 22:00:00 +0000</pubDate></item></channel></rss>"
+    row = run(spark, ("cs2", URLS["cs2-feed"], feed))["cs2"]
+    assert (row.ok, row.failure_type, row.explanation) == (False, "parse_failed", f"Crashed: {FAILURES['cs2-feed']}")
+
+
+def test_rendered_listing_asks_for_time_elements_first(spark):
+    listing = "<article><a href='/hc/articles/1'>Patch</a></article>"
+    article = "<p class='date'>January 5, 2026</p><time title='2026-01-09'></time>"
+    for mode, day in (("http", 5), ("browser", 9)):
+        row = run(spark, ("minecraft", URLS["minecraft"], listing, mode), ("minecraft", MINECRAFT, article, mode))["minecraft"]
+        assert row.event_at == datetime(2026, 1, day), mode
+
+
+def test_parser_sees_one_article_per_run_and_source(spark, monkeypatch):
+    """Of many loads of many articles, linked from both channels, bodies of the chosen ones alone are parsed."""
+    parsed = spark.sparkContext.accumulator(0)
+    plain = observing.outline.elements
+
+    def counted(body, *rest):
+        @F.udf("string")
+        def tell(text):
+            parsed.add(text is not None)
+            return text
+
+        return plain(tell(body), *rest)
+
+    pages = []
+    for i in range(6):
+        listing = f"<div><a href='/en/news/{100 + i}'>Notes</a></div>"
+        pages += [("pubg", URLS["pubg"], listing), ("pubg", URLS["pubg"], listing.replace("/1", "/2"), "browser")]
+        pages += [("pubg", f"https://pubg.com/en/news/{k}00{i}", "<p>January 5, 2026</p>") for k in (1, 3, 4, 5)]
+        pages += [("pubg", f"https://pubg.com/en/news/{h}0{i}", f"<header><time datetime='2026-01-0{h}'>x</time></header>") for h in (1, 2, 1)]
+    rows = [(n, f"r{n // 9}", s, u, None, NOW, 200, (m or ["http"])[0], None, b) for n, (s, u, b, *m) in enumerate(pages)]
+    monkeypatch.setattr(observing.outline, "elements", counted)
+    snapshots = spark.createDataFrame(rows, SNAPSHOTS)
+    out = observe(snapshots, rules_table(spark).filter("source_id = 'pubg'"))
+    listings = parsed.value
+    assert listings == 12  # both channels of six runs
+    assert {(r.run_id, r.event_at, r.source_url) for r in out.collect()} == {
+        (f"r{i}", datetime(2026, 1, 1), f"https://pubg.com/en/news/10{i}") for i in range(6)
+    }
+    assert parsed.value - listings == 6
+
+
+def test_plans_hold_only_what_the_rules_use(spark):
+    rules = rules_table(spark)
+    assert Kinds.of(rules.filter("source_id = 'warzone'")) == Kinds(
+        frozenset(["card"]), frozenset(["time_attr", "text"]), frozenset(["any_date", "slash_or_month"]), frozenset(["latest"]), False, False
+    )
+    page = snapshots(spark, ("roblox", URLS["roblox"], "{}"))
+    plan = observe(page, rules.filter("source_id = 'roblox'"))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan and "Bloom" not in plan
