@@ -1,87 +1,33 @@
-"""Carry the newest good row forward along every key's timeline, whatever the skew.
+"""Carry the newest good row forward along every key's timeline: a parallel prefix scan.
 
-A window over the key alone would put a hot key's whole history into one task. Here the timeline is
-cut at quantiles of the whole table's time column, so no (key, slice) group can exceed one slice's
-share of all rows, and an instant that fills several slices by itself is cut again by the tie-break
-column, a number or a text. Each slice is scanned on its own; what a slice hands to the next is one row, so the scan
-across slices is a window over a few thousand tiny rows per key at most.
+A window over the key alone would put a hot key's whole history into one task. Here the rows are dealt by ranges of
+(key, time, tie-break), so that a hot key, and an instant that is hot by itself, lie in as many slices as their rows
+need. Each slice is scanned on its own and hands on one summary per key, its last good row; summaries compose by
+keeping the later one, so an exclusive prefix over the few summaries of a key tells each slice what enters it.
+
+There is one plan for every size. The input is read twice, once to sample the ranges and once to deal the rows; the
+dealt rows are stored, so ranges and slice numbers hold even if a task is run again.
 """
 
 from __future__ import annotations
 
-import math
-import os
-from collections import Counter
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-ROWS_PER_SLICE = 4_000_000
-MAX_SLICES = 16_384
-#: Bytes of a text that decide its place among the cuts of a crowded instant; a double holds six exactly.
-TIE_BYTES = 6
-
-
-def _micros(at: str) -> Column:
-    return F.unix_micros(F.col(at).cast("timestamp")).cast("double")
-
-
-def _cuts(df: DataFrame, number: Column, parts: int) -> list[float]:
-    points = [i / parts for i in range(1, parts)]
-    return df.select(number.alias("n")).approxQuantile("n", points, 1 / (4 * parts)) if points else []
-
-
-def _bucket(df: DataFrame, number: Column, cuts: list[float], name: str) -> DataFrame:
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    column = f"_{name}_number"
-    cut = Bucketizer(splits=splits, inputCol=column, outputCol=name, handleInvalid="keep")
-    return cut.transform(df.withColumn(column, number)).drop(column)
-
-
-def _tie_number(crowd: DataFrame, tie: str) -> Column | None:
-    """A number that never falls as the tie-break column rises; None for types without one.
-
-    A text counts by the bytes that follow what all texts of ``crowd`` begin with.
-    """
-    kind = crowd.schema[tie].dataType
-    if isinstance(kind, T.NumericType):
-        number = F.col(tie).cast("double")
-    elif isinstance(kind, T.StringType):
-        ends = [x.encode() for x in crowd.agg(F.min(tie), F.max(tie)).first() if x is not None]
-        tail = F.substring(F.col(tie).cast("binary"), len(os.path.commonprefix(ends)) + 1, TIE_BYTES)
-        number = F.conv(F.rpad(F.hex(tail), 2 * TIE_BYTES, "0"), 16, 10).cast("double")
-    else:
-        return None
-    return F.coalesce(number, F.lit(-math.inf))
+from eventboard.session import stored
 
 
-def with_slices(
-    df: DataFrame, at: str, tie: str, rows_per_slice: int = ROWS_PER_SLICE, max_slices: int = MAX_SLICES
-) -> DataFrame | None:
-    """``df`` with order-preserving ``_slice`` and ``_part`` numbers; None if one slice would do.
+def with_slices(df: DataFrame, keys: list[str], at: str, tie: str, slices: int | None = None) -> DataFrame:
+    """``df`` with ``_slice``, a number that never falls along (key, at, tie); stored.
 
-    Reads the time column twice (row count, quantile sketch); only the cut points reach the driver.
+    ``slices`` asks for that many; otherwise Spark's shuffle partitions and adaptive coalescing decide.
     """
-    parts = min(math.ceil(df.count() / rows_per_slice), max_slices)
-    if parts <= 1:
-        return None
-    cuts = _cuts(df, _micros(at), parts)
-    sliced = _bucket(df, _micros(at), cuts, "_slice")
-    times = Counter(cuts)
-    crowded = sorted(c for c, n in times.items() if n > 1)
-    crowd = df.filter(_micros(at).isin(crowded))
-    number = _tie_number(crowd, tie) if crowded else None
-    if number is None:
-        return sliced.withColumn("_part", F.lit(0.0))
-    # Rows at a crowded instant come first in its slice, cut by the tie-break; all others follow.
-    share = sum(times[c] for c in crowded) + 1
-    tie_cuts = _cuts(crowd, number, share)
-    parted = _bucket(sliced, number, tie_cuts, "_part")
-    after = F.lit(float(len(tie_cuts) + 2))
-    return parted.withColumn("_part", F.when(_micros(at).isin(crowded), F.col("_part")).otherwise(after))
+    order = [*keys, at, tie]
+    ranged = df.repartitionByRange(*([slices] if slices else []), *order)
+    return stored(ranged.withColumn("_slice", F.spark_partition_id()), "timeline")
 
 
 def carry_forward(
@@ -92,22 +38,18 @@ def carry_forward(
     good: Column,
     payload: Column,
     name: str = "carried",
-    rows_per_slice: int = ROWS_PER_SLICE,
-    max_slices: int = MAX_SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``name``: ``payload`` of the newest good row at or before each row, in (at, tie) order."""
-    seen = F.when(good, payload)
-    sliced = with_slices(df, at, tie, rows_per_slice, max_slices)
-    if sliced is None:
-        line = W.partitionBy(*keys).orderBy(at, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(name, F.last(seen, ignorenulls=True).over(line))
-    cell = [*keys, "_slice", "_part"]
+    sliced = with_slices(df, keys, at, tie, slices)
+    cell = [*keys, "_slice"]
     within = W.partitionBy(*cell).orderBy(at, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy(*keys).orderBy("_slice", "_part").rowsBetween(W.unboundedPreceding, -1)
-    local = sliced.withColumn("_local", F.last(seen, ignorenulls=True).over(within))
-    handed = sliced.groupBy(*cell).agg(
-        F.max_by(payload, F.when(good, F.struct(at, tie))).alias("_hand")
-    )
-    entering = handed.withColumn("_enter", F.last("_hand", ignorenulls=True).over(before)).drop("_hand")
-    joined = local.join(entering, cell, "left")
+    local = sliced.withColumn("_local", F.last(F.when(good, payload), ignorenulls=True).over(within))
+    summary = sliced.groupBy(*cell).agg(F.max_by(payload, F.when(good, F.struct(at, tie))).alias("_hand"))
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    entering = summary.select(
+        *[F.col(c).alias(f"_{c}") for c in cell], F.last("_hand", ignorenulls=True).over(before).alias("_enter")
+    ).filter(F.col("_enter").isNotNull())
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell])
+    joined = local.join(entering, same, "left")
     return joined.withColumn(name, F.coalesce("_local", "_enter")).select(*df.columns, name)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventboard.functions.predicates import failure_type, fetch_ok
-from eventboard.operators.carry import MAX_SLICES, ROWS_PER_SLICE, carry_forward
+from eventboard.operators.carry import carry_forward
 from eventboard.schemas import CARRIED, KEY, LIVE, columns
 
 # Explanations of a failed run.
@@ -116,17 +116,14 @@ def resolve_history(
     lkg: DataFrame | None = None,
     tie: str = "run_id",
     keep: list[str] | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
-    max_slices: int = MAX_SLICES,
+    slices: int | None = None,
 ) -> DataFrame:
     """Every run of every source at once: the last good record before each failed run is carried.
 
     ``lkg`` gives records from before the first run; ``keep`` names extra columns to pass through.
     """
     rows = obs if lkg is None else _with_seeds(obs, lkg)
-    carried = carry_forward(
-        rows, KEY, "fetched_at", tie, F.col("ok"), good_record(), "lkg", rows_per_slice, max_slices
-    )
+    carried = carry_forward(rows, KEY, "fetched_at", tie, F.col("ok"), good_record(), "lkg", slices)
     return settle(carried if lkg is None else carried.filter(~F.col("_seed")), keep)
 
 
@@ -159,9 +156,9 @@ def resolve_latest(obs: DataFrame, tie: str = "run_id", keep: list[str] | None =
     return settle(newest.select(*KEY, "_now.*", "lkg"), keep)
 
 
-def lkg_as_of(obs: DataFrame, tie: str = "run_id", **slicing: int) -> DataFrame:
+def lkg_as_of(obs: DataFrame, tie: str = "run_id", slices: int | None = None) -> DataFrame:
     """Observations with the record that was last known good when each of them was made."""
-    return carry_forward(obs, KEY, "fetched_at", tie, F.col("ok"), good_record(), "lkg", **slicing)
+    return carry_forward(obs, KEY, "fetched_at", tie, F.col("ok"), good_record(), "lkg", slices)
 
 
 def fresh_records(obs: DataFrame) -> DataFrame:

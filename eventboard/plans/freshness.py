@@ -25,8 +25,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_log(table(spark, sf_dir, "events"))
 
 
-def history(spark: SparkSession, sf_dir: str, **slicing: int) -> DataFrame:
-    return rs.resolve_history(_log(spark, sf_dir), tie="event_id", keep=["event_id"], **slicing)
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rs.resolve_history(_log(spark, sf_dir), tie="event_id", keep=["event_id"])
 
 
 def freshness_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventboard.operators import pick
@@ -80,14 +82,27 @@ def test_late_rows_do_not_inherit_from_their_future(spark):
     assert {r.run_id: r.status for r in out.collect()} == {"r3": "unavailable", "r6": "stale"}
 
 
-@pytest.mark.parametrize("rows_per_slice", [7, 50, 400])
-def test_sliced_history_equals_the_plain_window(spark, sf_dir, rows_per_slice):
+def by_window(log, tie, keep):
+    """The same history by one plain window over each source."""
+    line = W.partitionBy(*KEY).orderBy("fetched_at", tie).rowsBetween(W.unboundedPreceding, W.currentRow)
+    good = F.last(F.when(F.col("ok"), rs.good_record()), ignorenulls=True).over(line)
+    return rs.settle(log.withColumn("lkg", good), keep)
+
+
+@pytest.mark.parametrize("slices", [None, 1, 3, 60])
+def test_history_in_slices_equals_the_plain_window(spark, sf_dir, slices):
     log = run_log(table(spark, sf_dir, "events"))
-    plain = rs.resolve_history(log, tie="event_id", keep=["event_id"]).select(*HISTORY_COLUMNS)
-    sliced = rs.resolve_history(log, tie="event_id", keep=["event_id"], rows_per_slice=rows_per_slice).select(*HISTORY_COLUMNS)
+    plain = by_window(log, "event_id", ["event_id"]).select(*HISTORY_COLUMNS)
+    sliced = rs.resolve_history(log, tie="event_id", keep=["event_id"], slices=slices).select(*HISTORY_COLUMNS)
     assert sliced.exceptAll(plain).count() == 0 and sliced.count() == plain.count()
 
 
+def test_sources_without_a_name_have_a_history_too(spark):
+    rows = [obs("r1", None, True, 1), *[obs(f"r{i}", None, False, i) for i in range(2, 40)]]
+    out = rs.resolve_history(frame(spark, rows), slices=8).collect()
+    assert Counter(r.status for r in out) == {"fresh": 1, "stale": 38}
+
+
 def skewed(spark, n=6000):
     """Two thirds of the rows belong to one source, half of those to a single instant."""
     i = F.col("id")
@@ -103,25 +118,40 @@ def skewed(spark, n=6000):
     return rows
 
 
+def in_slices(log, tie, keep):
+    """Rows of the largest piece of a timeline, and differences to the plain window."""
+    cut = with_slices(log, KEY, "fetched_at", tie, 20)
+    largest = cut.groupBy(*KEY, "_slice").count().agg(F.max("count")).first()[0]
+    want = by_window(log, tie, keep).drop("extras")
+    got = rs.resolve_history(log, tie=tie, keep=keep, slices=20).drop("extras")
+    return largest, got.exceptAll(want).count() + abs(got.count() - want.count())
+
+
 def test_hot_source_and_hot_instant_are_split(spark):
-    log = skewed(spark)
-    sliced = with_slices(log, "fetched_at", "seq", rows_per_slice=300)
-    largest = sliced.groupBy(*KEY, "_slice", "_part").count().agg(F.max("count")).first()[0]
-    assert largest <= 2 * 300
-    want = rs.resolve_history(log, tie="seq", keep=["seq"]).drop("extras")
-    got = rs.resolve_history(log, tie="seq", keep=["seq"], rows_per_slice=300).drop("extras")
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    largest, differences = in_slices(skewed(spark), "seq", ["seq"])
+    assert largest <= 2 * 300 and not differences
 
 
 @pytest.mark.parametrize("digits", [4, 8])
 def test_hot_instant_is_split_by_a_text_too(spark, digits):
     log = skewed(spark).withColumn("run_id", F.concat(F.lit("run-2026-"), F.lpad(F.col("seq").cast("string"), digits, "0")))
-    sliced = with_slices(log, "fetched_at", "run_id", rows_per_slice=300)
-    largest = sliced.groupBy(*KEY, "_slice", "_part").count().agg(F.max("count")).first()[0]
-    assert largest <= 2 * 300
-    want = rs.resolve_history(log, keep=["seq"]).drop("extras")
-    got = rs.resolve_history(log, keep=["seq"], rows_per_slice=300).drop("extras")
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    largest, differences = in_slices(log, "run_id", ["seq"])
+    assert largest <= 2 * 300 and not differences
+
+
+def test_input_is_read_twice(spark, tmp_path):
+    """Once to sample the ranges, once to deal the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def told(ok):
+        seen.add(1)
+        return ok
+
+    skewed(spark).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log")).withColumn("ok", told("ok"))
+    rs.resolve_history(log, tie="seq", slices=6).write.format("noop").mode("overwrite").save()
+    assert seen.value <= 2 * 6000
 
 
 def test_every_run_has_every_source(spark):
