@@ -177,32 +177,26 @@ def update_lkg(lkg: DataFrame, live: DataFrame) -> DataFrame:
     return newest_per_key(lkg.select(*columns(LIVE)).unionByName(fresh))
 
 
-def run_summary(live: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def status_counts() -> list[Column]:
+    """Rows of a run, all and by status."""
     status = F.col("status")
-    return live.groupBy(*(keys or ["run_id"])).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(status == "fresh").alias("fresh"),
-        F.count_if(status == "stale").alias("stale"),
-        F.count_if(status == "unavailable").alias("unavailable"),
-    )
+    by = [F.count_if(status == s).alias(s) for s in ("fresh", "stale", "unavailable")]
+    return [F.count(F.lit(1)).alias("total"), *by]
 
 
-def health_gate(live: DataFrame, limit: float = 0.5, keys: list[str] | None = None) -> DataFrame:
-    """Run summary with the failure ratio and verdict; ``keys=[]`` judges the table as one run."""
-    keys = ["run_id"] if keys is None else keys
-    summary = run_summary(live, keys) if keys else _whole_summary(live)
+def with_verdict(summary: DataFrame, limit: float) -> DataFrame:
     ratio = F.coalesce(F.try_divide(F.col("unavailable"), F.col("total")), F.lit(0.0))
     return summary.withColumn("failure_ratio", ratio).withColumn("failed", F.col("failure_ratio") > limit)
 
 
-def _whole_summary(live: DataFrame) -> DataFrame:
-    status = F.col("status")
-    return live.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(status == "fresh").alias("fresh"),
-        F.count_if(status == "stale").alias("stale"),
-        F.count_if(status == "unavailable").alias("unavailable"),
-    )
+def run_summary(live: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return live.groupBy(*(keys or ["run_id"])).agg(*status_counts())
+
+
+def health_gate(live: DataFrame, limit: float = 0.5, keys: list[str] | None = None) -> DataFrame:
+    """Run summary with the failure ratio and verdict; ``keys=[]`` judges the table as one run."""
+    keys = ["run_id"] if keys is None else keys
+    return with_verdict(run_summary(live, keys) if keys else live.agg(*status_counts()), limit)
 
 
 def unavailable_list(live: DataFrame, registry: DataFrame) -> DataFrame:
