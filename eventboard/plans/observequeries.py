@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from eventboard.operators import resolve as rs
 from eventboard.plans.observe import observe
-from eventboard.plans.rules import FAILURES, NO_LINK, URLS, registry, rules_table
+from eventboard.plans.rules import FAILURES, NO_LINK, URLS, register, registry, rule, rules_table
 from eventboard.plans.tables import spread, table
 from eventboard.schemas import SNAPSHOTS, columns
 
@@ -173,6 +173,25 @@ def observe_gta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe(pages, rules, runs).select("source_id", "event_type", *OUT)
 
 
+def observe_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is only a registry row and rule rows: two weekly slots and a page of its own, beside a known one."""
+    orders = spread(table(spark, sf_dir, "orders"))
+    items = _cat("<html><ul><li>Party ", _print("MMM d, yyyy", 21), "</li><li>Round ", _key(), " on ", _print("MMM d, yyyy", 23),
+                 "</li><li>Round late ", _print("MMM d, yyyy", 30), "</li></ul></html>")
+    pages = _snapshots(orders, "chess", items, "https://chess.example/").unionByName(_fortnite(orders))
+    rows = [
+        rule("chess", "next-round", "card", [("text", "month_loose", True)], url="https://chess.example/", cards=["li"], policy="next",
+             keywords=["round"], keyword_in="text", confidence="low", failure_text="no round is announced"),
+        rule("club", "meeting", "weekly", [], url="https://club.example/", slot_dow=1, slot_time="18:30", slot_note="every Monday evening"),
+    ]
+    rules, sources = rules_table(spark).filter("source_id = 'fortnite'"), registry(spark)
+    for row in rows:
+        rules, sources = register(rules, sources, [row], row["source_id"].title())
+    runs = pages.filter("source_id = 'chess'").select("run_id", F.col("fetched_at").alias("started_at"))
+    obs = observe(pages, rules, runs)
+    return obs.join(sources.select("source_id", "name"), "source_id").select("source_id", "name", "event_type", *OUT)
+
+
 def refresh_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of three sources to observations, resolved history and health per year of runs."""
     orders = spread(table(spark, sf_dir, "orders"))
@@ -212,6 +231,7 @@ _MC = "https://feedback.minecraft.net/hc/articles/"
 QUERIES = {
     **{f"observe_{s.replace('-', '_')}": partial(observe_source, s) for s in PAGES},
     "observe_gta": observe_gta,
+    "observe_registered": observe_registered,
     "refresh_health": refresh_health,
 }
 
@@ -276,6 +296,15 @@ UNION ALL SELECT 'gta', 'weekly-reset', {_K}, true,
   CASE WHEN date_trunc('week', t) + INTERVAL 82 HOUR > t THEN date_trunc('week', t) + INTERVAL 82 HOUR
        ELSE date_trunc('week', t) + INTERVAL 250 HOUR END,
   '{URLS['gta']}', 'new week every Thursday, 10:00 UTC', 'high', NULL, NULL, NULL
+FROM (SELECT *, {_D} + INTERVAL 20 DAY AS t FROM orders)""",
+    "observe_registered": f"""SELECT 'fortnite' AS source_id, 'Fortnite' AS name, 'next-season' AS event_type, * FROM ({_FORTNITE_SQL})
+UNION ALL SELECT 'chess', 'Chess', 'next-round', * FROM ({_expect(
+        "chess", f"{_D} + INTERVAL 23 DAY", "'https://chess.example/'", f"'Round ' || {_K} || ' on ' || strftime({_D} + INTERVAL 23 DAY, '%b %-d, %Y')",
+        "'low'", "'no round is announced'",
+    )})
+UNION ALL SELECT 'club', 'Club', 'meeting', {_K}, true,
+  CASE WHEN date_trunc('week', t) + to_seconds(66600) > t THEN date_trunc('week', t) + to_seconds(66600) ELSE date_trunc('week', t) + to_seconds(671400) END,
+  'https://club.example/', 'every Monday evening', 'high', NULL, NULL, NULL
 FROM (SELECT *, {_D} + INTERVAL 20 DAY AS t FROM orders)""",
     "refresh_health": f"""WITH runs AS (SELECT o_orderkey, {_D} + INTERVAL 20 DAY AS t, o_orderkey % 10 < 8 AS ok FROM orders),
 resolved AS (SELECT t, CASE WHEN ok THEN 'fresh' WHEN max(CASE WHEN ok THEN 1 END) OVER (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventboard.functions.dates import any_date, iso_out
 from eventboard.operators.resolve import newest_per_key
 from eventboard.schemas import KEY, LIVE, columns
+from eventboard.sources import versions as vs
 
 # The fields of a result record; every other field is an extra.
 RECORD = (
@@ -34,10 +35,13 @@ def parse_results(df: DataFrame, json_col: str = "value") -> DataFrame:
     return parsed.filter(F.col("r.status").isNotNull()).select(*rest, "r.*", "extras")
 
 
-def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Records from JSON files (one each, or one per line); a missing path reads as no records."""
+def read_results(spark: SparkSession, path: str, lines: bool = False, nested: bool = False) -> DataFrame:
+    """Records from JSON files (one each, or one per line); a missing path reads as no records.
+
+    ``nested`` looks into folders, as ``write_documents`` leaves them.
+    """
     try:
-        text = spark.read.text(path, wholetext=not lines)
+        text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=nested)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -116,45 +120,49 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"{LIVE}, buckets int, bucket int"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+def read_records(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A table written by ``write_live`` / ``write_lkg``, as it is now or was at a version; empty if it does not exist.
+
+    The rows stay those of that version, however often the table is written meanwhile.
+    """
+    return vs.read(spark, path, LIVE, vs.manifest(spark, path, version))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by ``write_live`` / ``write_lkg``; empty if it does not exist yet."""
-    return _stored(spark, path).drop("buckets")
+#: How often a write starts again because another one was published first.
+ATTEMPTS = 5
 
 
 def _replace(df: DataFrame, path: str, buckets: int | None, newest: bool) -> None:
     """Put one record per key in place of the key's old one; other keys survive.
 
     ``newest`` keeps the stored record where it is newer than the given one. Keys are hashed into a
-    fixed number of buckets (one file each), so millions of sources do not become millions of
-    directories. The number is stored with the records, and another one is refused, since a key
-    would then have two places. Each touched bucket is rewritten with its untouched keys.
+    fixed number of buckets, so millions of sources do not become millions of directories. The number
+    belongs to the table, and another one is refused, since a key would then have two places. Each
+    touched bucket is written anew with its untouched keys, as the next version of the table.
     """
-    old = _stored(df.sparkSession, path)
-    first = old.select("buckets").filter("buckets IS NOT NULL").first()
-    if first and buckets not in (None, first.buckets):
-        raise ValueError(f"{path} has {first.buckets} buckets, not {buckets}")
-    buckets = first.buckets if first else buckets or BUCKETS
-    new = newest_per_key(df.select(*columns(LIVE))).withColumn("bucket", _bucket(buckets))
-    touched = new.select("bucket").distinct()
-    kept = old.drop("buckets").join(touched, "bucket", "left_semi")
-    if newest:
-        both = kept.withColumn("given", F.lit(0)).unionByName(new.withColumn("given", F.lit(1)))
-        records = newest_per_key(both, tie=["run_id", "given"]).drop("given")
-    else:
-        records = kept.join(new.select(*KEY), KEY, "left_anti").unionByName(new)
-    merged = records.withColumn("buckets", F.lit(buckets)).repartition(buckets, "bucket")
-    writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("bucket").parquet(path)
+    spark = df.sparkSession
+    given = newest_per_key(df.select(*columns(LIVE)))
+    for attempt in range(1, ATTEMPTS + 1):
+        of = vs.manifest(spark, path)
+        if of.buckets and buckets not in (None, of.buckets):
+            raise ValueError(f"{path} has {of.buckets} buckets, not {buckets}")
+        number = of.buckets or buckets or BUCKETS
+        new = given.withColumn("bucket", _bucket(number))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # the table's number of buckets at most
+        if not touched:
+            return
+        kept = vs.read(spark, path, LIVE, of, touched)
+        if newest:
+            both = kept.withColumn("given", F.lit(0)).unionByName(new.withColumn("given", F.lit(1)))
+            records = newest_per_key(both, tie=["run_id", "given"]).drop("given")
+        else:
+            records = kept.join(new.select(*KEY), KEY, "left_anti").unionByName(new)
+        try:
+            vs.write(records, path, of, number, touched)
+            return
+        except vs.VersionConflict:
+            if attempt == ATTEMPTS:
+                raise
 
 
 def write_live(df: DataFrame, path: str, buckets: int | None = None) -> None:

@@ -1,11 +1,14 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventboard.operators import resolve as rs
 from eventboard.schemas import SNAPSHOTS
-from eventboard.sources import feeds, results, snapshots
+from eventboard.sources import feeds, results, snapshots, versions
+from eventboard.sources.documents import write_documents
 from test_resolve import frame, obs
 
 
@@ -68,6 +71,82 @@ def test_number_of_buckets_belongs_to_the_table(spark, tmp_path):
     assert results.read_records(spark, path).count() == 2
 
 
+def test_a_write_that_dies_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "live")
+    first = rs.resolve_history(frame(spark, [obs("r1", s, True, 1) for s in "abcd"]))
+    results.write_live(first, path, buckets=2)
+
+    def killed(*_):
+        raise RuntimeError("killed after the files, before the manifest")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "publish", killed)
+        with pytest.raises(RuntimeError):
+            results.write_live(rs.resolve_history(frame(spark, [obs("r2", "a", True, 2)])), path)
+    assert {(r.source_id, r.run_id) for r in results.read_records(spark, path).collect()} == {(s, "r1") for s in "abcd"}
+    results.write_live(rs.resolve_history(frame(spark, [obs("r3", "b", True, 3)])), path)
+    assert {(r.source_id, r.run_id) for r in results.read_records(spark, path).collect()} == {("a", "r1"), ("b", "r3"), ("c", "r1"), ("d", "r1")}
+
+
+def test_readers_keep_their_version(spark, tmp_path):
+    path = str(tmp_path / "live")
+    runs = [rs.resolve_history(frame(spark, [obs(f"r{i}", "a", True, i)])) for i in range(1, 5)]
+    results.write_live(runs[0], path)
+    early = results.read_records(spark, path)
+    for live in runs[1:]:
+        results.write_live(live, path)
+    assert early.first().run_id == "r1" and results.read_records(spark, path).first().run_id == "r4"
+    assert versions.versions(spark, path) == [1, 2, 3, 4] and results.read_records(spark, path, 3).first().run_id == "r3"
+    assert versions.expire(spark, path, keep=2) == 2 and versions.versions(spark, path) == [3, 4]
+    assert results.read_records(spark, path).first().run_id == "r4" and results.read_records(spark, path, 3).first().run_id == "r3"
+
+
+def test_second_writer_starts_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "live")
+    a, b = (rs.resolve_history(frame(spark, [obs("r1", s, True, 1)])) for s in "ab")
+    write, raced = versions.write, []
+
+    def slow(df, *rest):
+        if not raced:
+            raced.append(1)
+            results.write_live(b, path, buckets=1)
+        return write(df, *rest)
+
+    monkeypatch.setattr(versions, "write", slow)
+    results.write_live(a, path, buckets=1)
+    assert {r.source_id for r in results.read_records(spark, path).collect()} == {"a", "b"}
+
+
+def test_documents_are_written_whole_or_not_at_all(spark, tmp_path):
+    path = tmp_path / "documents"
+    rows = spark.createDataFrame([(f"g{i}.status.json", f'{{"status":"fresh","game":"g{i}"}}') for i in range(20)], "path string, json string").repartition(4)
+    write_documents(rows, str(path))
+
+    def names():
+        return sorted(p.name for p in path.rglob("*.json"))
+
+    assert names() == sorted(f"g{i}.status.json" for i in range(20)) and results.read_results(spark, str(path), nested=True).count() == 20
+
+    @F.udf("string")
+    def broken(text):
+        if "g7" in text:
+            raise ValueError("no document")
+        return text
+
+    before = names()
+    with pytest.raises(Exception, match="no document"):
+        write_documents(rows.withColumn("json", broken("json")), str(path))
+    for _ in range(100):  # tasks that still ran when the job failed take their own files away
+        if names() == before:
+            break
+        time.sleep(0.1)
+    assert names() == before and results.read_results(spark, str(path), nested=True).count() == 20
+    write_documents(rows.filter("path < 'g1'").limit(3), str(path))
+    assert len(names()) == rows.filter("path < 'g1'").limit(3).count()
+    write_documents(rows.limit(0), str(path))
+    assert names() == [] and not [p for p in path.iterdir() if p.name.startswith("_")]
+
+
 def test_history_is_replaced_by_run(spark, tmp_path):
     path = str(tmp_path / "history")
     live = rs.resolve_history(frame(spark, [obs("r1", "a", True, 1), obs("r2", "a", True, 2)]))
