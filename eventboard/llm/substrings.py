@@ -222,9 +222,10 @@ _CUT = pa.schema(
         ("n_removed", pa.int64()),
         ("n_spans", pa.int64()),
         ("kept_sha256", pa.string()),
+        ("n_kept", pa.int64()),
     ]
 )
-_CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long"
 
 
 def _union(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -249,7 +250,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             spans = _union(ranges.as_py())
             kept = kept_bytes(data, spans) if spans else data
-            rows.append((doc.as_py(), len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+            rows.append((doc.as_py(), len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept)))
         if rows:
             yield table(_CUT, map(list, zip(*rows, strict=True)))
 
@@ -258,19 +259,21 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``uid, ranges``: repeated byte ranges of each text that has any; ``uid`` is the digest of the text."""
     keyed = docs.select(_uid().alias("uid"), "text").filter(F.octet_length("text") >= LENGTH)
     found = stored(arrow_map(keyed, _scan, "uid binary, anchor long, whole long, low long, n int"), "stretches")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n_all")).filter("n_all > 1").select("anchor")
+    # Stored before the join: an aggregate between shuffle and join would keep Spark from splitting a hot anchor.
+    counts = stored(found.groupBy("anchor").agg(F.count("*").alias("n_all")).filter("n_all > 1").select("anchor"), "anchors")
     shared = stored(found.join(counts, "anchor"), "shared")
     kinds = stored(
         shared.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "low", "n")).alias("one")), "kinds"
     )
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).filter("kinds > 1 AND least = 1")
+    mixed = stored(mixed.select("anchor", "kinds"), "mixed")
     entire = (
         shared.join(kinds.filter("copies > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
         .select("uid", "low", (F.col("low") + F.col("n") - 1 + LENGTH).alias("high"))
         .distinct()
     )
     opened = stored(
-        kinds.join(mixed.select("anchor", "kinds"), "anchor")
+        kinds.join(mixed, "anchor")
         .groupBy("one.uid")
         .agg(F.collect_list(F.struct("anchor", F.col("one.low").alias("low"), F.col("one.n").alias("n"), "kinds")).alias("open")),
         "open",
@@ -292,7 +295,7 @@ def _uid():
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept`` of every document."""
     ranges = stored(repeated_ranges(docs), "ranges")
     whole = docs.select("doc_id", "text", _uid().alias("uid")).join(ranges, "uid", "left")
     return arrow_map(whole.select("doc_id", "text", "ranges"), _cut, _CUT_DDL)

@@ -48,7 +48,7 @@ def brute_substrings(texts):
                 covered[i + LENGTH] -= 1
         gone = np.cumsum(covered)[: len(t)] > 0
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        yield len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()
+        yield len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest(), int((~gone).sum())
 
 
 @pytest.mark.parametrize("kinds", [4_096, 4])
@@ -171,11 +171,16 @@ def test_containments(spark):
     for d, t in rows:
         for i, u in items:
             a, b = shingle_set((t or "").lower()), shingle_set((u or "").lower())
+            few, own = (u or "").lower().split(), (t or "").lower().split()
+            if 0 < len(few) < 5:  # looked for among all windows of its own length
+                a = {" ".join(own[k : k + len(few)]) for k in range(len(own) - len(few) + 1)}
+                b = {" ".join(few)}
             if b and 100 * len(a & b) >= 75 * len(b):
                 want.add((d, i, len(a & b), len(b)))
-    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, item_id int")
+    docs = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, item_id int, hit int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r) for r in contamination.containments(docs, bench).collect()} == want
+    assert any(i == 1 and d not in (4,) for d, i, *_ in want)  # three words inside a longer document
     left = contamination.clean(docs, bench)
     assert left.columns == docs.columns
     assert Counter(r.doc_id for r in left.collect()) == Counter(d for d, _ in rows if d not in {w[0] for w in want})
