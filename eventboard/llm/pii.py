@@ -117,8 +117,11 @@ _NAME = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _RUN = re.compile(rf"(?i)\b(?:plus\s+)?{_NAME}(?:[\s,;-]+(?:{_NAME}\b|[0-9]+\b|dot\b|point\b))*[\s,;-]+{_NAME}\b")
 _TOKEN = re.compile(r"(?i)plus\s+|[\s,;-]+|[^\s,;-]+")
 
-_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|\s+(?:at|arroba)\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punto|punkt|point|\.)\s*[\])}>]\s*|\s+(?:dot|punto|punkt|point)\s+)"
+_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|@)\s*[\])}>]\s*|\s+(?:at|arroba|[_-](?:at|arroba)[_-])\s+|&(?:#0*64|#x0*40|commat);)"
+_DOT = (
+    r"(?:\s*[\[({<]\s*(?:dot|punto|punkt|point|\.)\s*[\])}>]\s*"
+    r"|\s+(?:dot|punto|punkt|point|[_-](?:dot|punto|punkt|point)[_-])\s+|&(?:#0*46|#x0*2e|period);)"
+)
 _MAIL = re.compile(
     rf"(?i)(?<![a-z0-9._%+-])[a-z0-9_%+-]+(?:(?:\.|{_DOT})[a-z0-9_%+-]+)*(?:{_AT}|@)[a-z0-9-]+(?:(?:\.|{_DOT})[a-z0-9-]+)+"
 )
@@ -240,6 +243,8 @@ _DISGUISE = (
     _in_bytes(rf"[\[({{<](?={_GAP}*(?:at|arroba|@|dot|punto|punkt|point|\.){_GAP}*[\])}}>])"),
     _in_bytes(rf"{_GAP}(?:dot|punto|punkt|point)(?={_GAP})"),
     _in_bytes(rf"{_GAP}(?:at|arroba)(?={_GAP}+[a-z0-9-]++\.[a-z0-9-])"),
+    _in_bytes(rf"{_GAP}[_-](?=(?:at|arroba|dot|punto|punkt|point)[_-]{_GAP})"),
+    _in_bytes(r"&(?=#0*(?:64|46);|#x0*(?:40|2e);|commat;|period;)"),
     _in_bytes(rf"\b{_NAME}(?={_BETWEEN}(?:{_NAME}\b|[0-9]|dot\b|point\b))"),
 )
 
@@ -252,7 +257,7 @@ def rewrite(text: str) -> Rewritten:
 
 
 def added(text: str, base: list[Span]) -> list[Span]:
-    """Spans of disguised identifiers, by kind, then start."""
+    """Spans of disguised identifiers, by kind, then start; a plain span inside a longer one does not hide it."""
     new = rewrite(text)
     if new.text == text:
         return []
@@ -260,7 +265,7 @@ def added(text: str, base: list[Span]) -> list[Span]:
     for kind, a, b in plain(new.text):
         start, end = new.start[a], new.end[b - 1]
         disguised = text[start:end] != new.text[a:b]
-        if disguised and not any(k == kind and s < end and start < e for k, s, e in base):
+        if disguised and (kind, start, end) not in base:
             out.append((kind, start, end))
     return out
 
@@ -351,7 +356,8 @@ def redact(docs: DataFrame) -> DataFrame:
                     values[k] = text
                 place = batch.schema.get_field_index("text")
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(values, texts.type))
-                if (place := batch.schema.get_field_index("n_chars")) >= 0:
+                place = batch.schema.get_field_index("n_chars")
+                if place >= 0 and pa.types.is_integer(batch.schema.field(place).type):
                     lengths = batch.column(place).to_pylist()
                     for k, text in changed.items():
                         lengths[k] = len(text)

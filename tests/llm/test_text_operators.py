@@ -170,9 +170,25 @@ def test_disguises_pass_the_prefilter(text, source):
     assert [(text[a:b]) for _, _, more in pii.found(block) for _, a, b in more] == ([source] if source else [])
 
 
+@pytest.mark.parametrize("where", ["jаne.roe@example.com", "j​ane@example.com", "jane@mail.exam​ple.com", "jane@example.c​om", "janе@example.com", "jane.ro​e@example.com"])
+def test_disguises_around_a_plain_span_are_listed_and_masked_whole(spark, where):
+    text = f"write {where} now"
+    base = pii.plain(text)
+    assert ("email", 6, 6 + len(where)) in pii.added(text, base)
+    docs = spark.createDataFrame([(1, text, "long")], "doc_id long, text string, n_chars string")
+    assert [(r.text, r.n_chars) for r in pii.redact(docs).collect()] == [("write [EMAIL] now", "long")]
+
+
+@pytest.mark.parametrize("disguised", ["jane _at_ example _dot_ com", "jane.d -at- example.com", "jane&#64;example&#46;com", "jane&commat;example.com"])
+def test_more_disguises(disguised):
+    text = f"mail: {disguised}."
+    (block,) = blocks(pa.array([text]))
+    assert [text[a:b] for _, _, more in pii.found(block) for _, a, b in more] == [disguised]
+
+
 def test_prefilter_equals_whole_search():
     rnd = random.Random(4)
-    parts = "at AT arroba dot Punto punkt point [at] (dot) {@} <.> [\n at\t] ( dot\n) @ . - , ; [ ] ( ) one Two three FÜNF zéro ZÉRO neun un plus 7 49 10 0 255 jane doe a.b x_1 com example.com host".split(" ")
+    parts = "at AT arroba dot Punto punkt point [at] (dot) {@} <.> [\n at\t] ( dot\n) @ . - , ; [ ] ( ) one Two three FÜNF zéro ZÉRO neun un plus 7 49 10 0 255 jane doe a.b x_1 com example.com host _at_ -dot- &#64; &#x40; &period; &commat;".split(" ")
     parts += [" "] * 25 + list("\n\t\x1c\x85\xa0\xad²³¹ªéÉüÜıİſK–＠．０оа")
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(20_000)]
     texts += ["plus four 9 one 5 one 5 two 3 four", "FÜNF ZÉRO un", "1\u00b22.0.0.1 x", "10 dot 0 dot 0 dot 1"]
