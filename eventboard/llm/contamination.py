@@ -2,8 +2,8 @@
 
 Words are lower-cased runs of characters other than blank and ``\\x09``-``\\x0D``; an item or document is the set of its
 five-word shingles (the whole sequence as one shingle when it has fewer words). A document is contaminated by an
-item when it holds at least ``threshold`` of the item's shingles. So an item of one to four words is found only where a
-document is the item itself: a document of five words or more has no shingle of fewer, here as in the query's SQL.
+item when it holds at least ``threshold`` of the item's shingles. An item of one to four words is a single shingle, which
+is looked for among all windows of as many words; documents have those only for lengths that occur among the items.
 
 Candidates come from MinHash sketches of the items, partitioned by size: all items whose shingle count lies in one
 doubling share an upper bound ``u`` and a sketch of the ``u - ceil(threshold * u) + 1`` smallest shingle hashes. A
@@ -19,6 +19,8 @@ contaminated.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +40,58 @@ def _words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def _shingles(text: Column, of) -> Column:
-    """Values of ``of(five words)`` over a text's shingles; a short text has a single shingle.
+def short_lengths(items: DataFrame) -> list[int]:
+    """Numbers of words under five that occur among the items."""
+    n = items.select(F.size(_words(F.col("text"))).alias("n")).filter(f"n BETWEEN 1 AND {SHINGLE - 1}")
+    return sorted(r.n for r in n.distinct().collect())
+
+
+def _shingles(text: Column, of, short: list[int]) -> Column:
+    """Values of ``of(words)`` over a text's shingles and its windows of the ``short`` lengths.
 
-    The words are bound to a lambda variable, so they are split once per text and not once per shingle.
+    A short text has a single shingle, its words joined; so have windows. The words are bound to a lambda variable, so
+    they are split once per text and not once per shingle.
     """
 
     def per_text(words: Column) -> Column:
         n = F.size(words)
-        return F.when(
+        whole = F.when(
             n >= SHINGLE,
             F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: of([F.get(words, i + k) for k in range(SHINGLE)])),
         ).when(n > 0, F.array(of([F.array_join(words, " ")])))
+        if not short:
+            return whole
+
+        def windows(size: int) -> Column:
+            def at(i: Column) -> Column:
+                return of([F.array_join(F.slice(words, i + 1, size), " ")])
+
+            return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), at))
+
+        parts = [F.coalesce(p, F.array().cast(of_type)) for of_type in [_type_of(of)] for p in (whole, *map(windows, short))]
+        return F.when(n > 0, F.concat(*parts))
 
     return F.get(F.transform(F.array(_words(text)), per_text), 0)
 
 
-def _hashes(text: Column) -> Column:
-    return _shingles(text, lambda w: F.xxhash64(*w))
+def _hashed(words: list[Column]) -> Column:
+    return F.xxhash64(*words)
+
+
+def _joined(words: list[Column]) -> Column:
+    return F.concat_ws(" ", *words)
+
+
+def _type_of(of) -> str:
+    return "array<long>" if of is _hashed else "array<string>"
+
+
+def _hashes(text: Column, short: list[int] | None = None) -> Column:
+    return _shingles(text, _hashed, short or [])
 
 
-def _strings(text: Column) -> Column:
-    return F.array_distinct(_shingles(text, lambda w: F.concat_ws(" ", *w)))
+def _strings(text: Column, short: list[int] | None = None) -> Column:
+    return F.array_distinct(_shingles(text, _joined, short or []))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -84,7 +116,7 @@ def sketches(items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
 def candidates(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """``doc_id, item_id`` of all pairs that can reach the threshold."""
     sketch = stored(sketches(items, percent), "sketches")
-    shingles = docs.select("doc_id", F.explode(_hashes(F.col("text"))).alias("hash"))
+    shingles = docs.select("doc_id", F.explode(_hashes(F.col("text"), short_lengths(items))).alias("hash"))
     return (
         shingles.join(_small(sketch, sketch.count()), "hash")
         .groupBy("doc_id", "item_id", "least")
@@ -101,7 +133,7 @@ def containments(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PER
     suspects = docs.select("doc_id", "text").join(
         _small(ids, pairs.count()), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi"
     )
-    own = suspects.select("doc_id", _strings(F.col("text")).alias("own"))
+    own = suspects.select("doc_id", _strings(F.col("text"), short_lengths(items)).alias("own"))
     theirs = items.select(F.col("item_id").alias("item"), _strings(F.col("text")).alias("theirs"))
     item_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = pairs.withColumnRenamed("doc_id", "hit").join(
@@ -124,5 +156,6 @@ def containments(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PER
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document no item contaminates."""
-    hits = stored(containments(docs, items, percent).select(F.col("doc_id").alias("hit")).distinct(), "contaminated")
-    return docs.join(_small(hits, hits.count()), F.col("doc_id").eqNullSafe(F.col("hit")), "left_anti")
+    hit = f"hit_{uuid.uuid4().hex}"  # no column of the documents has this name
+    hits = stored(containments(docs, items, percent).select(F.col("doc_id").alias(hit)).distinct(), "contaminated")
+    return docs.join(_small(hits, hits.count()), F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")
