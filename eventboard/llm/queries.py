@@ -38,7 +38,7 @@ def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.digests(_read(spark, sf_dir, "documents"), tokenizer_path(), verify=True)
 
 
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +180,13 @@ ORACLES = {
            CAST(d.chars + (coalesce(windows, 1) - 1) * c.s_chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars,
            CAST(coalesce(windows, 1) AS BIGINT) AS n_windows
     FROM d JOIN c USING (conv_id) LEFT JOIN n USING (conv_id) LEFT JOIN again USING (conv_id)""",
-    "op5_contamination": f"""
+    "op5_contamination": rf"""
     WITH i AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
-    d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+    -- Items of fewer than five words are looked for among all windows of their own length.
+    short AS (SELECT DISTINCT len(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS k FROM benchmark WHERE len(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) BETWEEN 1 AND 4),
+    v AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    d AS ({_SHINGLES.format(id="doc_id", table="documents")}
+      UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) FROM v, short WHERE len(w) >= k),
     n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
     SELECT doc_id, item_id, count(*) AS n_shared, n_item
     FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 75 * n_item""",
