@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventboard.functions import boardtext as bt
 from eventboard.functions.predicates import instant
+from eventboard.operators.carry import with_next
 from eventboard.schemas import KEY
 
 # The one source whose open season is announced in its notes.
@@ -75,3 +76,27 @@ def board_many(live: DataFrame, instants: list[str]) -> DataFrame:
     return dated.withColumn("diff_ms", ms).withColumn(
         "countdown_text", bt.countdown_text(F.lit(False), F.col("diff_ms"), F.col("event_type"))
     )
+
+
+def board_at(history: DataFrame, instants: DataFrame, tie: str = "run_id", width: int = 86_400) -> DataFrame:
+    """What a resolved history showed at each instant (``as_of``): the row of every source that was newest then.
+
+    A row is valid until the source's next one. Validity intervals and instants meet in buckets of ``width`` seconds, an
+    equi-join that Spark may broadcast, split or sort as it sees fit; an interval lies in the buckets between the first
+    and the last instant only. Choose ``width`` near the distance of the instants.
+    """
+    bounds = instants.agg(F.min("as_of").alias("first"), F.max("as_of").alias("last")).first()
+    if bounds.first is None:
+        return history.withColumn("as_of", F.lit(None).cast("timestamp_ntz")).limit(0)
+    first, last = F.lit(bounds.first), F.lit(bounds.last)
+
+    def bucket(c: Column) -> Column:
+        return F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+
+    valid = with_next(history, KEY, "fetched_at", tie, "_until")
+    valid = valid.filter((F.col("fetched_at") <= last) & (F.col("_until").isNull() | (F.col("_until") > first)))
+    covered = F.sequence(bucket(F.greatest("fetched_at", first)), bucket(F.least("_until", last)))
+    cells = valid.withColumn("_bucket", F.explode(covered))
+    asked = instants.select("as_of", bucket(F.col("as_of")).alias("_bucket"))
+    inside = (F.col("as_of") >= F.col("fetched_at")) & (F.col("_until").isNull() | (F.col("as_of") < F.col("_until")))
+    return cells.join(asked, "_bucket").filter(inside).select(*history.columns, "as_of")

@@ -53,3 +53,17 @@ def carry_forward(
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell])
     joined = local.join(entering, same, "left")
     return joined.withColumn(name, F.coalesce("_local", "_enter")).select(*df.columns, name)
+
+
+def with_next(df: DataFrame, keys: list[str], at: str, tie: str, name: str = "until", slices: int | None = None) -> DataFrame:
+    """Add ``name``: the time of the key's next row in (at, tie) order, NULL for its last; the same scan, backwards."""
+    sliced = with_slices(df, keys, at, tie, slices)
+    cell = [*keys, "_slice"]
+    local = sliced.withColumn("_local", F.lead(at).over(W.partitionBy(*cell).orderBy(at, tie)))
+    summary = sliced.groupBy(*cell).agg(F.min(at).alias("_first"))
+    following = summary.select(
+        *[F.col(c).alias(f"_{c}") for c in cell], F.lead("_first").over(W.partitionBy(*keys).orderBy("_slice")).alias("_enter")
+    ).filter(F.col("_enter").isNotNull())
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell])
+    joined = local.join(following, same, "left")
+    return joined.withColumn(name, F.coalesce("_local", "_enter")).select(*df.columns, name)

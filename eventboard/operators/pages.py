@@ -26,6 +26,20 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def links_of(body: Column) -> Column:
+    """The anchors of a page in document order, as an array (pos, href, text) inside the page's own row."""
+
+    def link(anchor: Column, pos: Column) -> Column:
+        opening = F.regexp_extract(anchor, tx.OPENING_TAG, 0)
+        return F.struct(
+            pos.alias("pos"),
+            tx.attribute(opening, "href").alias("href"),
+            tx.strip(tx.html_to_text(anchor, sep="")).alias("text"),
+        )
+
+    return F.transform(all_matches(body, tx.ANCHOR), link)
+
+
 def extract_links(df: DataFrame, body: str = "body", keys: list[str] | None = None) -> DataFrame:
     """(keys, pos, href, text) per anchor in document order; the body is not carried along."""
     keys = keys or ["snapshot_id"]

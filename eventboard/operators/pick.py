@@ -67,6 +67,23 @@ def pick_first_link(links: DataFrame, words: list[str], text: str = "text", keys
     return _winner(links.filter(has_link & matches_any(F.col(text), words)), _keys(keys), F.struct(pos))
 
 
+def first_in(items: Column, wanted) -> Column:
+    """First item of an array that ``wanted`` accepts, NULL without one: a pick inside the row, without a shuffle."""
+    return F.get(F.filter(items, wanted), 0)
+
+
+def match_or_first_in(items: Column, wanted) -> Column:
+    """``pick_match_or_first`` inside the row."""
+    return F.coalesce(first_in(items, wanted), F.get(items, 0))
+
+
+def relevant_in(items: Column, relevant, dated) -> list[Column]:
+    """``relevant_count`` inside the row: relevant items, dated ones among them, and whether the next channel is due."""
+    hits = F.filter(items, lambda i: F.coalesce(relevant(i), F.lit(False)))
+    with_date = F.size(F.filter(hits, dated)).cast("long")
+    return [F.size(hits).cast("long").alias("relevant"), with_date.alias("dated"), (with_date == 0).alias("next_channel")]
+
+
 def pick_by_tier(
     cand: DataFrame,
     rules: DataFrame | None = None,

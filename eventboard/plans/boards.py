@@ -60,6 +60,23 @@ def board_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Instants at which the whole history is shown, spread evenly over the table's time.
+MOMENTS = 1_000
+
+
+def board_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the board read at a thousand instants of the history."""
+    log = run_log(table(spark, sf_dir, "events"))
+    ends = log.agg(F.min("fetched_at").alias("a"), F.max("fetched_at").alias("b"))
+    start, stop = (F.unix_seconds(F.col(c).cast("timestamp")) for c in "ab")
+    second = start + F.floor((stop - start) * F.col("k") / F.lit(MOMENTS - 1))
+    moments = ends.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(MOMENTS - 1))).alias("k"))
+    instants = moments.select(F.timestamp_seconds(second).cast("timestamp_ntz").alias("as_of"))
+    live = rs.resolve_history(log, tie="event_id", keep=["event_id"])
+    shown = bd.with_board(bd.board_at(live, instants, "event_id", 3_600), F.col("as_of"))
+    return shown.select("source_id", "event_type", "as_of", "event_id", "badge", "countdown_text", "diff_ms")
+
+
 def _two(n: str) -> str:
     return f"(CASE WHEN {n} < 10 THEN '0' ELSE '' END || CAST({n} AS VARCHAR))"
 
@@ -118,6 +135,7 @@ QUERIES = {
     "board_page": board_page,
     "board_history": board_history,
     "board_many": board_many,
+    "board_timeline": board_timeline,
     "age_text": age_text,
 }
 
@@ -142,6 +160,16 @@ SELECT event_id, {_STATE} AS state, upper({_STATE}) AS badge, {_COUNT} AS countd
   FROM live, (VALUES {', '.join(f"(TIMESTAMP '{t}')" for t in INSTANTS)}) v(as_of) WHERE event_at IS NOT NULL)
 SELECT source_id, event_type, as_of, ms AS diff_ms,
   CASE WHEN ms <= 0 AND {_UP} THEN 'Updating...' ELSE {card_sql('ms')} END AS countdown_text FROM timed""",
+    "board_timeline": f"""{HISTORY_SQL}, valid AS (
+  SELECT *, lead(fetched_at) OVER (PARTITION BY source_id, event_type ORDER BY fetched_at, event_id) AS until FROM history
+), moments AS (
+  SELECT make_timestamp((a + (b - a) * k // {MOMENTS - 1}) * 1000000) AS as_of
+  FROM (SELECT epoch_us(min(fetched_at)) // 1000000 AS a, epoch_us(max(fetched_at)) // 1000000 AS b FROM history),
+    (SELECT unnest(range({MOMENTS})) AS k)
+), cards AS (
+  SELECT v.*, as_of, epoch_us(event_at) // 1000 - epoch_us(as_of) // 1000 AS ms
+  FROM valid v JOIN moments m ON m.as_of >= v.fetched_at AND (v.until IS NULL OR m.as_of < v.until))
+SELECT source_id, event_type, as_of, event_id, upper({_STATE}) AS badge, {_COUNT} AS countdown_text, ms AS diff_ms FROM cards""",
     "age_text": f"""WITH t AS (SELECT event_id, epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '{AS_OF}') // 1000 AS ms FROM events)
 SELECT event_id, {age_sql('ms')} AS age, {long_sql('ms')} AS long_text, {card_sql('ms')} AS card_text FROM t""",
 }

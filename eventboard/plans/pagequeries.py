@@ -47,7 +47,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_first_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First three links of each page, marked where a keyword or a version number occurs."""
-    links = pg.first_n(pg.extract_links(_pages(spark, sf_dir), keys=KEYS), 3, keys=KEYS)
+    first = F.slice(pg.links_of(F.col("body")), 1, 3)
+    links = _pages(spark, sf_dir).select("page_id", F.inline(first))
     return links.select(
         "page_id",
         "pos",
@@ -58,13 +59,20 @@ def page_first_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_first_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = pg.extract_links(_pages(spark, sf_dir), keys=KEYS)
-    return pick.pick_first_link(links, WORDS, keys=KEYS).select("page_id", "pos", "href", "text")
+    def wanted(link):
+        return link["href"].isNotNull() & (link["href"] != "") & pr.matches_any(link["text"], WORDS)
+
+    first = pick.first_in(pg.links_of(F.col("body")), wanted)
+    links = _pages(spark, sf_dir).select("page_id", first.alias("link")).filter("link IS NOT NULL")
+    return links.select("page_id", "link.*")
 
 
 def page_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = pg.extract_links(_pages(spark, sf_dir), keys=KEYS).withColumn("event_at", F.nullif("href", F.lit("/The")))
-    return pick.relevant_count(links, pr.matches_any(F.col("text"), WORDS), keys=KEYS)
+    pages = _pages(spark, sf_dir).select("page_id", pg.links_of(F.col("body")).alias("links")).filter(F.size("links") > 0)
+    counts = pick.relevant_in(
+        F.col("links"), lambda i: pr.matches_any(i["text"], WORDS), lambda i: F.nullif(i["href"], F.lit("/The")).isNotNull()
+    )
+    return pages.select("page_id", *counts)
 
 
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:

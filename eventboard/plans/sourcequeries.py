@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventboard.functions.dates import rfc822
 from eventboard.functions.predicates import matches_any
 from eventboard.operators import pages as pg
 from eventboard.operators import pick
@@ -56,8 +57,15 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = feed_items(spark, sf_dir)
-    return pick.pick_match_or_first(items, matches_any(F.col("title"), FEED_WORDS), ["o_orderkey"])
+    """The feed's first matching item, picked inside the document's row."""
+
+    def placed(item, pos):
+        return F.struct(pos.alias("pos"), item["title"].alias("title"), item["link"].alias("link"), item["pubDate"].alias("pub_date"))
+
+    docs = _feeds(spark, sf_dir).select("o_orderkey", F.transform(feeds.items_of(F.col("doc")), placed).alias("items"))
+    best = pick.match_or_first_in(F.col("items"), lambda i: matches_any(i["title"], FEED_WORDS))
+    picked = docs.select("o_orderkey", best.alias("i")).filter("i IS NOT NULL").select("o_orderkey", "i.*")
+    return picked.select("o_orderkey", "pos", "title", "link", rfc822(F.col("pub_date")).alias("event_at"))
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:

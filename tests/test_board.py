@@ -1,10 +1,14 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventboard.functions import boardtext as bt
+from eventboard.operators import board as bd
+from eventboard.operators import resolve as rs
 from eventboard.operators.board import board, board_many
+from eventboard.plans.tables import run_log, table
 from eventboard.schemas import LIVE, REGISTRY
 
 NOW = "2026-02-04 21:00:00"
@@ -99,3 +103,20 @@ def test_board_many_skips_blank_events(spark):
 def test_card_text_is_never_empty(spark):
     df = spark.range(-3000, 3000).select(bt.duration_card(F.col("id") * 987_654).alias("t"))
     assert df.filter(F.col("t").isNull() | (F.length("t") < 3)).count() == 0
+
+
+def test_board_at_equals_the_range_condition(spark, sf_dir):
+    log = run_log(table(spark, sf_dir, "events"))
+    live = rs.resolve_history(log, tie="event_id", keep=["event_id"]).cache()
+    instants = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'2023-12-30', TIMESTAMP_NTZ'2024-03-02', INTERVAL 7 HOURS)) AS as_of")
+    line = W.partitionBy("source_id", "event_type").orderBy("fetched_at", "event_id")
+    spans = live.withColumn("until", F.lead("fetched_at").over(line))
+    inside = (F.col("as_of") >= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until")))
+    want = spans.crossJoin(instants).filter(inside).select("event_id", "as_of")
+    for width in (3_600, 86_400, 10_000_000):
+        got = bd.board_at(live, instants, "event_id", width)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        got = got.select("event_id", "as_of")
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    assert bd.board_at(live, instants.limit(0), "event_id").count() == 0

@@ -1,10 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from eventboard.functions import predicates as pr
 from eventboard.functions import text as tx
 from eventboard.operators import pages as pg
+from eventboard.operators import pick
 from eventboard.operators.follow import follow_links
 from eventboard.operators.outline import selector
+from eventboard.plans.tables import table
 
 PAGE = """<html><head><title>Tab</title><script>var a="<a href='/no'>no</a>";</script></head><body>
 <!-- <a href='/commented'>x</a> -->
@@ -107,3 +110,23 @@ def test_follow_links_is_one_to_one(spark):
     out = {r.source: r for r in follow_links(links, pages, "use_listing").collect()}
     assert len(out) == 2 and out["s1"].article_fact == "new"
     assert (out["s2"].found, out["s2"].use_listing) == (False, True)
+
+
+def test_picks_inside_the_row_equal_those_over_rows(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("body"))
+    rows = pg.extract_links(pages, keys=["page_id"])
+    inside = pages.select("page_id", pg.links_of(F.col("body")).alias("links"))
+    assert inside.select("page_id", F.inline("links")).exceptAll(rows).count() == 0
+    words = ["que", "der", "the"]
+
+    def same(got, want):
+        assert got.select(*want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+    match = pr.matches_any(F.col("text"), words)
+    first = inside.select("page_id", F.inline(F.slice("links", 1, 3)))
+    same(first, pg.first_n(rows, 3, keys=["page_id"]))
+    best = pick.match_or_first_in(F.col("links"), lambda i: pr.matches_any(i["text"], words))
+    same(inside.select("page_id", best.alias("i")).filter("i IS NOT NULL").select("page_id", "i.*"), pick.pick_match_or_first(rows, match, ["page_id"]))
+    counts = pick.relevant_in(F.col("links"), lambda i: pr.matches_any(i["text"], words), lambda i: i["href"].isNotNull())
+    want = pick.relevant_count(rows.withColumn("event_at", F.col("href")), match, ["page_id"])
+    same(inside.filter(F.size("links") > 0).select("page_id", *counts), want)
