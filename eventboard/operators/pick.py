@@ -73,8 +73,12 @@ def first_in(items: Column, wanted) -> Column:
 
 
 def match_or_first_in(items: Column, wanted) -> Column:
-    """``pick_match_or_first`` inside the row."""
-    return F.coalesce(first_in(items, wanted), F.get(items, 0))
+    """``pick_match_or_first`` inside the row. ``items`` is named once, so what makes them is not evaluated twice."""
+
+    def ranked(item: Column, pos: Column) -> Column:
+        return F.struct((~F.coalesce(wanted(item), F.lit(False))).alias("miss"), pos.alias("pos"), item.alias("item"))
+
+    return F.array_min(F.transform(items, ranked))["item"]
 
 
 def relevant_in(items: Column, relevant, dated) -> list[Column]:

@@ -6,12 +6,13 @@ from eventboard.plans import (
     freshness,
     observequeries,
     pagequeries,
+    rulequeries,
     sourcequeries,
     storequeries,
     streamqueries,
 )
 
-_GROUPS = [freshness, boards, pagequeries, datequeries, sourcequeries, observequeries, storequeries, streamqueries]
+_GROUPS = [freshness, boards, pagequeries, rulequeries, datequeries, sourcequeries, observequeries, storequeries, streamqueries]
 
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 ORACLES = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}

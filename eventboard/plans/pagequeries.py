@@ -111,7 +111,7 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"
 
 
-_LINKS_SQL = rf"""anchors AS (
+LINKS_SQL = rf"""anchors AS (
   SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>')) AS anchor,
     generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a>'), 1) - 1 AS pos
   FROM pages
@@ -150,25 +150,25 @@ ORACLES = {
     "page_text": rf"""SELECT page_id, trim(regexp_replace(regexp_replace({_NOISE.format(c='html')}, '<[^>]*>?', ' ', 'g'),
   '{_SPACE}', ' ', 'g')) AS text FROM pages""",
     "page_text_joined": f"SELECT page_id, {_joined('html')} AS text FROM pages",
-    "page_links": f"WITH {_LINKS_SQL} SELECT page_id, pos, href, text FROM links",
-    "page_links_resolved": f"""WITH {_LINKS_SQL}, resolved AS (SELECT page_id, url, pos, {_ABSOLUTE} AS absolute FROM links)
+    "page_links": f"WITH {LINKS_SQL} SELECT page_id, pos, href, text FROM links",
+    "page_links_resolved": f"""WITH {LINKS_SQL}, resolved AS (SELECT page_id, url, pos, {_ABSOLUTE} AS absolute FROM links)
 SELECT page_id, pos, absolute, regexp_matches(absolute, '/[a-z]+$') AS lower_path FROM resolved
 WHERE absolute IS DISTINCT FROM url AND NOT coalesce(contains(absolute, 'page='), false)""",
     "page_titles": rf"""SELECT page_id, nullif({_strip(_joined(_HEADING))}, '')
   AS title FROM pages""",
-    "page_first_cards": rf"""WITH {_LINKS_SQL}
+    "page_first_cards": rf"""WITH {LINKS_SQL}
 SELECT page_id, pos, text, {_ANY} AS keyword, ({_ANY} OR regexp_matches(text, '\d+\.\d+')) AS release
 FROM links QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 3""",
-    "page_first_link": f"""WITH {_LINKS_SQL} SELECT page_id, pos, href, text FROM links
+    "page_first_link": f"""WITH {LINKS_SQL} SELECT page_id, pos, href, text FROM links
 WHERE href IS NOT NULL AND ({_ANY}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) = 1""",
-    "page_relevant": f"""WITH {_LINKS_SQL}, n AS (
+    "page_relevant": f"""WITH {LINKS_SQL}, n AS (
   SELECT page_id, count(*) FILTER (WHERE {_ANY}) AS relevant,
     count(*) FILTER (WHERE ({_ANY}) AND nullif(href, '/The') IS NOT NULL) AS dated FROM links GROUP BY page_id)
 SELECT *, dated = 0 AS next_channel FROM n""",
-    "page_elements": rf"""WITH {_LINKS_SQL}, heads AS (
+    "page_elements": rf"""WITH {LINKS_SQL}, heads AS (
   SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h1\b[^>]*>.*?</h1>')) AS h FROM pages)
 SELECT page_id, 'a' AS tag, text, href FROM links
 UNION ALL SELECT page_id, 'h1', {_strip(_joined('h'))}, NULL FROM heads""",
-    "page_cards": f"""WITH {_LINKS_SQL} SELECT page_id, count(*) AS links, count(*) AS alone_in_item,
+    "page_cards": f"""WITH {LINKS_SQL} SELECT page_id, count(*) AS links, count(*) AS alone_in_item,
   count(*) AS in_context FROM links GROUP BY page_id""",
 }
