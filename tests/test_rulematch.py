@@ -28,7 +28,7 @@ def test_ten_thousand_rules_equal_matches_any(spark, sf_dir):
     assert rm.match_keywords(texts, table.limit(0), ["page_id"]).count() == 0
 
 
-def test_longest_prefix_wins_and_the_rest_has_a_reason(spark):
+def test_longest_prefix_wins_and_the_rest_has_a_reason(spark, tmp_path):
     rules = spark.createDataFrame(
         [(1, "https://a.example", None), (2, "http://A.example/news/", None), (3, "a.example/news", "browser"), (4, "https://b.example/x", "browser"), (5, None, None)],
         "rule_id long, url_prefix string, fetch_mode string",
@@ -43,4 +43,7 @@ def test_longest_prefix_wins_and_the_rest_has_a_reason(spark):
     df = spark.createDataFrame([r[:4] + ("a body",) for r in loads], "snapshot_id long, requested_url string, final_url string, fetch_mode string, body string")
     got = rm.bind_by_prefix(df, rules, ["snapshot_id"])
     assert {(r.snapshot_id, r.rule_id, r.reason) for r in got.collect()} == {(r[0], r[4], r[5]) for r in loads}
-    assert "body" not in got._jdf.queryExecution().optimizedPlan().toString()
+    df.write.parquet(str(tmp_path / "loads"))
+    stored = rm.bind_by_prefix(spark.read.parquet(str(tmp_path / "loads")), rules, ["snapshot_id"])
+    scans = [line for line in stored._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in line]
+    assert scans and not any("body" in line.split("ReadSchema")[1] for line in scans)
