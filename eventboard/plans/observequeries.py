@@ -100,7 +100,10 @@ def _elsewhere(url: Column) -> Column:
 def _minecraft(o: DataFrame) -> DataFrame:
     listing = _cat("<html><body><ul><li class='blocks-item'><a href='#top'>Changelog</a></li><li class='blocks-item'><a href='/hc/articles/",
                    _key(), "'>Version 1.", _key(), "</a></li></ul><p>Listed ", _print("MMMM d, yyyy", 3), "</p></body></html>")
-    article = _cat("<html><body><h1>Minecraft 1.", _key(), "</h1><time datetime='", _print("yyyy-MM-dd"), "'>x</time></body></html>")
+    # Every third article has an impossible mark, its structured data tells the date.
+    marked = _cat("<time datetime='", _print("yyyy-MM-dd"), "'>x</time>")
+    data = _cat('<script type="application/ld+json">{"datePublished":"', _print("yyyy-MM-dd"), '"}</script><time datetime="1990-01-01">x</time>')
+    article = _cat("<html><body><h1>Minecraft 1.", _key(), "</h1>", F.when(_n() % 3 == 1, data).otherwise(marked), "</body></html>")
     url = _cat("https://feedback.minecraft.net/hc/articles/", _key())
     pages = _snapshots(o, "minecraft", listing, URLS["minecraft"])
     return pages.unionByName(_snapshots(o, "minecraft", article, _elsewhere(url), number=1))
@@ -257,7 +260,7 @@ ORACLES = {
     "observe_minecraft": _expect(
         "minecraft", f"CASE WHEN o_orderkey % 3 = 2 THEN {_D} + INTERVAL 3 DAY ELSE {_D} END",
         f"CASE WHEN o_orderkey % 3 = 2 THEN '{URLS['minecraft']}' ELSE '{_MC}' || {_K} END",
-        f"CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'Minecraft 1.' || {_K} END", "'high'",
+        f"CASE WHEN o_orderkey % 3 = 0 THEN 'Minecraft 1.' || {_K} END", "'high'",
         _missing("minecraft"),
     ),
     "observe_roblox": _expect(
