@@ -7,7 +7,9 @@ texts are cut there into units, each distinct unit runs through the agenda once,
 occurrences in the blocks that a worker meets (a bounded memory; forgetting costs time only). Short units share one vectorised agenda (every round merges the best pair of each
 unit), long ones have a heap of their own.
 
-With ``verify=True`` every Arrow batch is also encoded by the sentencepiece library and a difference raises.
+Of every Arrow batch, the units that the worker meets for the first time are encoded by the sentencepiece library too, and a
+difference raises; so every unit of every text has been checked. With ``verify=True`` whole texts are encoded and decoded by
+the library once more, which the tests do.
 
 Defined results: a NULL or empty text has only the end id and decodes to an empty text. A NULL ``doc_id``,
 repeated rows and very long texts are encoded like any other. Other columns are ignored.
@@ -245,6 +247,7 @@ class Vocabulary:
         new = known[at] != unit if len(known) else np.ones(len(unit), dtype=bool)
         if new.any():
             more, n = self.encode_units(data, start[new], end[new])
+            self._check_units(data, start[new], end[new], more, n)
             known = np.concatenate([known, unit[new]])
             order = np.argsort(known, kind="stable")
             where = np.concatenate([where, len(ids) + np.cumsum(n) - n])[order]
@@ -253,6 +256,19 @@ class Vocabulary:
             at = np.searchsorted(known, unit)
         return ids, where[at], count[at]
 
+    def _check_units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Raises unless the library gives the units the same ids; it puts the mark before them itself."""
+        some = end > start  # a mark alone is no text to it
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+        theirs = self.library.encode(texts, num_threads=1) if texts else []
+        size = np.array([len(x) for x in theirs], dtype=np.int64)
+        own = ids[np.repeat(some, n)]
+        flat = np.fromiter((i for x in theirs for i in x), dtype=np.int64, count=int(size.sum()))
+        if not (np.array_equal(size, n[some]) and np.array_equal(flat, own)):
+            wrong = next(t for t, a, b in zip(texts, theirs, np.split(own, np.cumsum(n[some])[:-1]), strict=True) if a != b.tolist())
+            raise ValueError(f"encoding differs from the library for the unit {wrong[:80]!r}")
+
     @staticmethod
     def _nothing() -> tuple[np.ndarray, ...]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -300,10 +316,11 @@ def _unmarked(column: pa.Array) -> pa.Array:
     return column
 
 
-def _check(vocab: Vocabulary, texts: list[str], ids: list[list[int]]) -> None:
-    expected = vocab.library.encode(texts, add_eos=True, num_threads=1)
-    for text, own, theirs in zip(texts, ids, expected, strict=True):
-        if own != theirs or vocab.decode(own).decode("utf-8", "replace") != vocab.library.decode(theirs):
+def _check(vocab: Vocabulary, texts: list[str], rows: list[tuple[int, list[int], bytes]]) -> None:
+    ids = vocab.library.encode(texts, add_eos=True, num_threads=1)
+    decoded = vocab.library.decode(ids, num_threads=1) if ids else []
+    for text, (_, own_ids, own_text), their_ids, their_text in zip(texts, rows, ids, decoded, strict=True):
+        if own_ids != their_ids or own_text.decode("utf-8", "replace") != their_text:
             raise ValueError(f"encoding differs from the library for a text that begins with {text[:80]!r}")
 
 
@@ -311,11 +328,13 @@ def encode_column(vocab: Vocabulary, column: pa.Array, verify: bool = False) ->
     """Tokens without the end id, all ids and the decoded text of each row."""
     for block in blocks(_unmarked(column.fill_null(""))):
         flat, at = vocab.encode(block)
-        if verify:
-            _check(vocab, [block.text(k) for k in range(len(block))], [[*flat[at[k] : at[k + 1]].tolist(), vocab.end] for k in range(len(block))])
+        rows = []
         for k in range(len(block)):
             ids = flat[at[k] : at[k + 1]].tolist()
-            yield len(ids), [*ids, vocab.end], vocab.decode(ids)
+            rows.append((len(ids), [*ids, vocab.end], vocab.decode(ids)))
+        if verify:
+            _check(vocab, [block.text(k) for k in range(len(block))], rows)
+        yield from rows
 
 
 def tokens(docs: DataFrame, model: str, verify: bool = False) -> DataFrame:

@@ -99,6 +99,20 @@ def test_pieces_equal_the_library(spark, docs):
     assert pieces.tokens(docs, path).count() == docs.count()
 
 
+def test_a_unit_that_differs_from_the_library_raises(monkeypatch):
+    vocab = pieces.Vocabulary(tokenizer_path())
+    right = vocab.encode_units
+
+    def wrong(*args):
+        ids, n = right(*args)
+        return np.where(ids == ids[-1], 5, ids), n
+
+    (block,) = blocks(pa.array(["one two three"]))
+    monkeypatch.setattr(vocab, "encode_units", wrong)
+    with pytest.raises(ValueError, match="differs from the library"):
+        vocab.encode(block)
+
+
 def test_pieces_of_random_strings_equal_the_library():
     import pyarrow as pa
 
