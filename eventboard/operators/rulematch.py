@@ -3,8 +3,12 @@
 Testing every rule's list on every page costs pages times rules. Here the short side is indexed: a keyword by its first
 ``GRAM`` characters, a url prefix by itself. A text unfolds into the windows that begin at each of its characters, once per
 distinct window, a url into the prefixes that end at its slashes; both meet the index in one equi-join, and a keyword is
-then compared with the window it met. Texts do not travel, only their windows; a word that many rules share is joined to
-them after its pages have been told apart.
+then compared with the window it met. A keyword without a space lies between two spaces of a text, so it is looked for in
+the distinct pieces of all texts, and only one with a space in the windows of the texts themselves. Texts do not travel,
+only their pieces and windows; a word that many rules share is joined to them after its pages have been told apart.
+
+Rules that say the same are one class with a number of members (``rule_classes``): pages meet classes, so a thousand rules
+with the same keywords cost what one costs.
 """
 
 from __future__ import annotations
@@ -21,24 +25,42 @@ def keywords(rules: DataFrame, rule: str = "rule_id", words: str = "keywords") -
     return each.select("rule", F.lower("word").alias("word")).filter("word <> ''").distinct()
 
 
-def matched_words(texts: DataFrame, words: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys, word`` for every ``word`` that a text contains, in any case; each pair once."""
-    index = words.select("word").distinct().withColumn("gram", F.substring("word", 1, GRAM))
-    # As many lengths as GRAM, and one number.
-    lengths = index.agg(F.collect_set(F.length("gram")).alias("of"), F.max(F.length("word")).alias("longest")).first()
-    if not lengths.of:
-        return texts.select(*keys).limit(0).withColumn("word", F.lit(""))
-    lower = F.lower(text)
+def rule_classes(rules: DataFrame, rule: str = "rule_id", words: str = "keywords") -> DataFrame:
+    """``keywords, n_rules``: the sets of words that rules are made of, and how many rules have each."""
+    whole = keywords(rules, rule, words).groupBy("rule").agg(F.sort_array(F.collect_set("word")).alias("keywords"))
+    return whole.groupBy("keywords").agg(F.count(F.lit(1)).alias("n_rules"))
+
+
+def _in_windows(texts: DataFrame, index: DataFrame, keys: list[str], text: str, grams: list[int], longest: int) -> DataFrame:
+    """``keys, word`` for every ``word`` of the index in a lower-case text, by the windows of the text."""
 
     def windows(c: Column) -> Column:
         at = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c)))
-        return F.array_distinct(F.transform(at, lambda i: F.substr(c, i, F.lit(lengths.longest))))
+        return F.array_distinct(F.transform(at, lambda i: F.substr(c, i, F.lit(longest))))
 
-    seen = texts.select(*keys, F.explode(windows(lower)).alias("window"))
-    grams = F.array_distinct(F.array(*[F.substring("window", 1, n) for n in sorted(lengths.of)]))
-    unfolded = seen.withColumn("gram", F.explode(grams))
-    met = unfolded.join(index, "gram").filter(F.startswith("window", "word"))
-    return met.select(*keys, "word").distinct()
+    seen = texts.select(*keys, F.explode(windows(F.col(text))).alias("window"))
+    starts = F.array_distinct(F.array(*[F.substring("window", 1, n) for n in sorted(grams)]))
+    unfolded = seen.withColumn("gram", F.explode(starts))
+    return unfolded.join(index, "gram").filter(F.startswith("window", "word")).select(*keys, "word")
+
+
+def matched_words(texts: DataFrame, words: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``keys, word`` for every ``word`` that a text contains, in any case; each pair once."""
+    index = words.select("word").distinct().withColumns({"gram": F.substring("word", 1, GRAM), "spaced": F.contains("word", F.lit(" "))})
+    # Two rows: as many lengths as GRAM, and one number.
+    kinds = index.groupBy("spaced").agg(F.collect_set(F.length("gram")).alias("of"), F.max(F.length("word")).alias("longest")).collect()
+    met = texts.select(*keys).limit(0).withColumn("word", F.lit(""))
+    lower = texts.select(*keys, F.lower(text).alias("_lower"))
+    for kind in kinds:
+        own = index.filter(F.col("spaced") == kind.spaced).select("word", "gram")
+        if kind.spaced:
+            found = _in_windows(lower, own, keys, "_lower", kind.of, kind.longest)
+        else:
+            pieces = lower.select(*keys, F.explode(F.array_distinct(F.split("_lower", " "))).alias("_piece"))
+            found = _in_windows(pieces.select("_piece").distinct(), own, ["_piece"], "_piece", kind.of, kind.longest).distinct()
+            found = pieces.join(found, "_piece").select(*keys, "word")
+        met = met.unionByName(found)
+    return met.distinct()
 
 
 def match_keywords(texts: DataFrame, rules: DataFrame, keys: list[str], text: str = "text", rule: str = "rule_id", words: str = "keywords") -> DataFrame:

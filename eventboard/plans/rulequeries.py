@@ -11,6 +11,7 @@ from eventboard.operators import rulematch as rm
 from eventboard.plans.pagequeries import LINKS_SQL
 from eventboard.plans.pagequeries import ORACLES as PAGE_ORACLES
 from eventboard.plans.tables import spread, table
+from eventboard.session import stored
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,9 @@ def rules_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = pg.extract_links(pages, keys=["page_id"])
     rules = links.select(F.concat_ws("-", "page_id", "pos").alias("rule_id"), F.split("text", " ").alias("keywords"))
     texts = pages.select("page_id", tx.page_text(F.col("body"), F.lit("http")).alias("text"))
-    met = rm.match_keywords(texts, rules, ["page_id"])
-    return met.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rules"))
+    classes = stored(rm.rule_classes(rules).select("keywords", F.struct("keywords", "n_rules").alias("rule_id")), "rule-classes")
+    met = rm.match_keywords(texts, classes, ["page_id"])
+    return met.groupBy("page_id").agg(F.sum("rule_id.n_rules").alias("n_rules"))
 
 
 def rules_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,21 @@ def test_longest_prefix_wins_and_the_rest_has_a_reason(spark, tmp_path):
     stored = rm.bind_by_prefix(spark.read.parquet(str(tmp_path / "loads")), rules, ["snapshot_id"])
     scans = [line for line in stored._jdf.queryExecution().executedPlan().toString().split("\n") if "ReadSchema" in line]
     assert scans and not any("body" in line.split("ReadSchema")[1] for line in scans)
+
+
+def test_pages_meet_sets_of_keywords_not_rules(spark, tmp_path, monkeypatch):
+    from eventboard.plans import rulequeries as rq
+
+    html = "<html><body><a href='/x'>Red Dead</a><a href='/y'>dead red</a><a href='/z'>Other</a> Reddish</body></html>"
+    spark.range(40).select(F.col("id").alias("page_id"), F.lit("https://a.example/").alias("url"), F.lit(html).alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    seen, match = [], rm.match_keywords
+    monkeypatch.setattr(rm, "match_keywords", lambda texts, rules, keys: (seen.append(rules.count()), match(texts, rules, keys))[1])
+    got = {r.page_id: r.n_rules for r in rq.rules_by_keyword(spark, str(tmp_path)).collect()}
+    assert got == {k: 120 for k in range(40)} and seen == [2]
+
+
+def test_keywords_with_and_without_spaces_meet_across_pieces(spark):
+    texts = spark.createDataFrame([(1, "Patch notes"), (1, "Patch  NOTES, new"), (2, " "), (None, "es, n")], "k long, text string")
+    words = spark.createDataFrame([("notes",), ("h n",), (" ",), ("  ",), ("s, n",), ("tes,",)], "word string")
+    got = {(r.k, r.word) for r in rm.matched_words(texts, words, ["k"]).collect()}
+    assert got == {(1, w) for w in ("notes", "h n", " ", "  ", "s, n", "tes,")} | {(2, " "), (None, " "), (None, "s, n")}
