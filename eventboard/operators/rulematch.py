@@ -8,7 +8,7 @@ the distinct pieces of all texts, and only one with a space in the windows of th
 only their pieces and windows; a word that many rules share is joined to them after its pages have been told apart.
 
 Rules that say the same are one class with a number of members (``rule_classes``): pages meet classes, so a thousand rules
-with the same keywords cost what one costs.
+with the same keywords cost what one costs. Likewise only the smallest rule of a prefix and mode can ever be bound.
 """
 
 from __future__ import annotations
@@ -94,6 +94,9 @@ def bind_by_prefix(snapshots: DataFrame, rules: DataFrame, keys: list[str], rule
         F.col(rule).alias("_rule"), url_key(F.col("url_prefix")).alias("_prefix"), F.col("url_prefix").alias("_told"),
         F.col("fetch_mode").alias("_mode"),
     )
+    # Of the rules of one prefix and mode only the smallest can win: a prefix that very many rules name is met once per mode.
+    smallest = F.min(F.struct("_rule", "_told")).alias("_of")
+    index = index.filter("_rule IS NOT NULL AND _prefix IS NOT NULL").groupBy("_prefix", "_mode").agg(smallest).select("_prefix", "_mode", "_of.*")
 
     def of(url: str, second: bool) -> Column:
         return F.transform(F.coalesce(url_prefixes(F.col(url)), F.array().cast("array<string>")), lambda p: F.struct(p.alias("p"), F.lit(second).alias("second")))

@@ -49,6 +49,29 @@ def test_longest_prefix_wins_and_the_rest_has_a_reason(spark, tmp_path):
     assert scans and not any("body" in line.split("ReadSchema")[1] for line in scans)
 
 
+def _joined_rows(df):
+    """Rows that the joins of an executed plan made."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.finalPhysicalPlan())
+        inner = [node.plan()] if "QueryStage" in name else [node.children().apply(k) for k in range(node.children().size())]
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return own + sum(map(walk, inner))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_rules_of_one_prefix_meet_a_load_once_per_mode(spark):
+    rules = spark.range(2_000).select(F.col("id").alias("rule_id"), F.lit("https://a.example/").alias("url_prefix"), F.when(F.col("id") % 2 == 1, "browser").alias("fetch_mode"))
+    loads = spark.range(200).select(F.col("id").alias("snapshot_id"), F.concat(F.lit("https://a.example/"), "id").alias("requested_url"), F.lit(None).cast("string").alias("final_url"), F.when(F.col("id") % 2 == 1, "browser").otherwise("http").alias("fetch_mode"))
+    got = rm.bind_by_prefix(loads, rules, ["snapshot_id"])
+    assert _joined_rows(got) <= 200 * 4  # 200,000 and more, if every rule were met
+    assert {(r.snapshot_id % 2, r.rule_id, r.reason) for r in got.collect()} == {(0, 0, None), (1, 1, None)}
+
+
 def test_pages_meet_sets_of_keywords_not_rules(spark, tmp_path, monkeypatch):
     from eventboard.plans import rulequeries as rq
 
