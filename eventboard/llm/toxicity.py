@@ -10,9 +10,8 @@ counted on, turns it into a score between 0 and 1.
 
 The class models are fitted on at most ``MAX_LABELLED`` toxic documents and ``BALANCE`` times as many ordinary ones as
 there are toxic ones (a class that has seen far more text knows every expression better), the curve on at most
-``MAX_LABELLED`` of either class as they come; always the first by hash. The models hold at most ``MAX_GRAMS`` grams
-(those below a count go together, if there are more). The shared counts cover every document. Labels are learnt only
-from rows whose ``crc32`` of the id, modulo 4, is not 2: 0 and 1 are counted, 3 fits the curve.
+``MAX_LABELLED`` of either class as they come; always the first by hash. The models hold every gram of those documents,
+however rare. The shared counts cover every document. Labels are learnt only from rows whose ``crc32`` of the id, modulo 4, is not 2: 0 and 1 are counted, 3 fits the curve.
 
 Defined results: a NULL or empty text has no evidence and gets the curve's value there. A NULL ``doc_id`` is scored like
 any other, never labelled and not held out. Repeated rows are counted and returned as often as they come; a document
@@ -34,8 +33,8 @@ from eventboard.llm.arrays import U64, Block, blocks, mix, table
 from eventboard.llm.scratch import arrow_map, stored
 
 ORDER, SHARED = 5, 2
-#: Toxic documents that the model is fitted on, at most, ordinary ones for each of them, and grams that it holds, at most.
-MAX_LABELLED, BALANCE, MAX_GRAMS = 20_000, 2, 1 << 20
+#: Toxic documents that the model is fitted on, at most, and ordinary ones for each of them.
+MAX_LABELLED, BALANCE = 20_000, 2
 THRESHOLD = 0.3
 #: Intercept, weight per byte and weight per square root of bytes where no rows tell them.
 FIXED_CURVE = (-3.0, 0.0, 1.0)
@@ -315,14 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     before = kinds.groupBy(F.expr(f"gram & {(1 << 8 * SHARED) - 1}").alias("gram")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     shared = np.zeros(1 << 8 * SHARED, dtype=np.int64)
     shared[before["gram"]] = before["n"]  # a row per gram of SHARED bytes at most
-    top = counts.filter("gram >= 0").withColumn("n", F.col("toxic") + F.col("ordinary"))
-    rare, held = 1, 0
-    for n, grams in sorted(map(tuple, top.groupBy("n").count().collect()), reverse=True):
-        held += grams
-        if held > MAX_GRAMS:
-            rare = n + 1
-            break
-    rows = top.filter(F.col("n") >= rare).select("gram", "toxic", "ordinary").toPandas().sort_values("gram")
+    top = counts.filter("gram >= 0")
+    rows = top.select("gram", "toxic", "ordinary").toPandas().sort_values("gram")
     both = rows[["toxic", "ordinary"]].to_numpy(dtype=np.int64).reshape(-1, 2)
     if not both.any(axis=0).all():
         return None

@@ -95,6 +95,17 @@ def test_held_out_labels_are_not_read(spark, docs, labels):
     assert scores[0] == scores[1]
 
 
+def test_a_model_holds_every_gram_however_many_there_are(spark):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 30_000, dtype=np.uint8)).decode() for _ in range(60)]
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 < 2][:60]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic"))
+    grams = {f" {t} "[max(i - 5, 0) : i] for t in texts for i in range(2, len(t) + 3)}
+    assert len(grams) > 1 << 20
+    assert (model.share[5][1:] > 0).any(axis=1).sum() == len({g.rjust(5, "\0") for g in grams})
+
+
 def test_without_labels_or_rows(spark, docs, labels):
     rows = toxicity.score(docs, labels.limit(0)).collect()
     assert len(rows) == docs.count() and {(r.score, r.predicted) for r in rows} == {(0.0, 0)}
