@@ -30,8 +30,6 @@ NGRAMS = (1, 2)
 PRIOR = 50.0
 MIN_SCORE = -0.1
 MIN_WORDS = 50
-#: Trusted documents the target is fitted on, at most; chosen by hash among all labelled ones.
-MAX_TRUSTED = 50_000
 
 SCORES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -49,10 +47,9 @@ _WORD_CHAR = np.ones(256, dtype=bool)
 _WORD_CHAR[[0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)]] = False
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """Ids of at most ``limit`` documents labelled good and not toxic, the first by hash."""
-    good = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
+    return labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def _buckets(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +77,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """``log p(target) - log p(raw)`` of each of the fixed number of buckets, counted over all documents."""
-    ids = F.broadcast(trusted_ids(labels).withColumn("trusted", F.lit(True)))
+    # No hint: these ids grow with the labels, so whether they are broadcast is Spark's choice by their size.
+    ids = trusted_ids(labels).withColumn("trusted", F.lit(True))
     marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", "trusted")
     counts = (
         arrow_map(marked, _count, "bucket long, raw long, trusted long")

@@ -12,6 +12,7 @@ import pytest
 from eventboard.llm import chat, pieces, pii, quality, shards
 from eventboard.llm.arrays import blocks
 from eventboard.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = [None, "", "\n\n", "a\na\na b\n\n \n \na", "x y z x y z q", "é€ # <|\r\x0b", "w" * 70_000, "same", "same", " lead  two ▁ mark 😀\t\x00"]
@@ -56,6 +57,17 @@ def test_quality_counts_and_verdict(spark, sf_dir, docs):
     assert {r.score for r in quality.score(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("one").alias("text"))
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 60_000
+    word = quality.log_ratios(docs.unionByName(docs.selectExpr("doc_id + 100000 AS doc_id", "'two' AS text")), labels)
+    # All of 'one' is trusted and none of 'two'.
+    share, n = 0.5, 60_000
+    want = [np.log((n + quality.PRIOR * share) / (share * (n + quality.PRIOR))), np.log(quality.PRIOR * share / (share * (n + quality.PRIOR)))]
+    assert sorted(x for x in word if x) == pytest.approx(sorted(want))
+
+
 def test_quality_score_is_the_mean_ratio(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "z z z z")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
