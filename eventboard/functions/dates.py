@@ -62,12 +62,21 @@ NUMERIC_PARTS = "$1$6|$2$4|$3$5|$7|$8|$9|$10|$11|$12"
 LABEL_ZONE = "America/New_York"
 
 
+#: What may be an integer; anything else costs a cast that fails, which is slow.
+WHOLE = r"^[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*$"
+
+
+def once(c: Column, make) -> Column:
+    """``make(value)`` with ``c`` evaluated once: inside lambdas Spark evaluates every mention of an expression anew."""
+    return F.get(F.transform(F.array(c), make), 0)
+
+
 def _int(c: Column) -> Column:
-    return c.try_cast("int")
+    return F.when(c.rlike(WHOLE), c).try_cast("int")
 
 
 def _seconds(c: Column) -> Column:
-    return F.coalesce(c.try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+    return F.coalesce(F.when(c.rlike("[0-9]"), c).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
 
 
 def _at(y: Column, m: Column, d: Column, h: Column | None = None, mi: Column | None = None, s: Column | None = None):
@@ -88,24 +97,25 @@ def month_number(word: Column, whole: bool = False) -> Column:
     return F.array_position(prefixes, F.lower(F.substring(word, 1, 3))).cast("int")
 
 
+def _read(match: Column, split: str, make) -> Column:
+    """The reading of a match's parts; no match has none."""
+    return once(match, lambda m: F.when(m != "", once(F.split(m, split), make)))
+
+
 def _read_month_day_year(match: Column, whole: bool = False) -> Column:
-    parts = F.split(match, r"[\s,]+")
-    return _at(_int(F.get(parts, 2)), month_number(F.get(parts, 0), whole), _int(F.get(parts, 1)))
+    return _read(match, r"[\s,]+", lambda p: _at(_int(F.get(p, 2)), month_number(F.get(p, 0), whole), _int(F.get(p, 1))))
 
 
 def _read_year_month_day(match: Column) -> Column:
-    parts = F.split(match, r"[-/.]")
-    return _at(_int(F.get(parts, 0)), _int(F.get(parts, 1)), _int(F.get(parts, 2)))
+    return _read(match, r"[-/.]", lambda p: _at(_int(F.get(p, 0)), _int(F.get(p, 1)), _int(F.get(p, 2))))
 
 
 def _read_month_day_slash(match: Column) -> Column:
-    parts = F.split(match, "/")
-    return _at(_int(F.get(parts, 2)), _int(F.get(parts, 0)), _int(F.get(parts, 1)))
+    return _read(match, "/", lambda p: _at(_int(F.get(p, 2)), _int(F.get(p, 0)), _int(F.get(p, 1))))
 
 
 def _read_clock(match: Column) -> Column:
-    parts = F.split(match, r"[-/:\s]+")
-    return _at(*[_int(F.get(parts, i)) for i in range(5)], _seconds(F.get(parts, 5)))
+    return _read(match, r"[-/:\s]+", lambda p: _at(*[_int(F.get(p, i)) for i in range(5)], _seconds(F.get(p, 5))))
 
 
 def at_zone(local: Column, tz: Column | str = "UTC") -> Column:
@@ -171,13 +181,13 @@ def slash_date(c: Column) -> Column:
 def iso_or_month(c: Column) -> Column:
     """Whichever of ``iso_date`` and ``month_loose`` stands first in the text."""
     match = F.regexp_extract(c, f"{ISO_DATE}|{MONTH_LOOSE}", 0)
-    return F.coalesce(_read_year_month_day(match), _read_month_day_year(match))
+    return once(match, lambda m: F.coalesce(_read_year_month_day(m), _read_month_day_year(m)))
 
 
 def slash_or_month(c: Column) -> Column:
     """Whichever of ``slash_date`` and ``month_loose`` stands first in the text."""
     match = F.regexp_extract(c, f"{SLASH_DATE}|{MONTH_LOOSE}", 0)
-    return F.coalesce(_read_month_day_slash(match), _read_month_day_year(match))
+    return once(match, lambda m: F.coalesce(_read_month_day_slash(m), _read_month_day_year(m)))
 
 
 def month_strict(c: Column) -> Column:
@@ -240,23 +250,39 @@ def _shift(local: Column, zone: Column) -> Column:
     return local - F.make_dt_interval(mins=F.coalesce(signed, F.lit(0)))
 
 
+def _groups(c: Column, pattern: str, number: int, make) -> Column:
+    """A reading of the groups of a pattern that spans the whole text, from 0; NULL where it does not match."""
+    listed = "|".join(f"${i}" for i in range(1, number + 1))
+
+    def read(parts: Column) -> Column:
+        return make([F.get(parts, i) for i in range(number)])
+
+    return once(c, lambda v: F.when(v.rlike(pattern), once(F.split(F.regexp_replace(v, pattern, listed), r"\|"), read)))
+
+
 def rfc822(c: Column) -> Column:
     """Feed dates such as ``Thu, 29 Jan 2026 22:00:00 +0000``."""
-    g = [F.regexp_extract(c, RFC822, i) for i in range(1, 8)]
-    local = _at(_int(g[2]), month_number(g[1]), _int(g[0]), _int(g[3]), _int(g[4]), _seconds(g[5]))
-    return _shift(local, g[6])
+
+    def read(g: list[Column]) -> Column:
+        local = _at(_int(g[2]), month_number(g[1]), _int(g[0]), _int(g[3]), _int(g[4]), _seconds(g[5]))
+        return _shift(local, g[6])
+
+    return _groups(c, RFC822, 7, read)
 
 
 def iso_instant(c: Column, tz: Column | str = "UTC") -> Column:
     """A whole ISO-8601 date or instant; a clock time without an offset is read in ``tz``."""
-    g = [F.regexp_extract(c, ISO_INSTANT, i) for i in range(1, 8)]
-    local = _at(_int(g[0]), _int(g[1]), _int(g[2]), _int(g[3]), _int(g[4]), _seconds(g[5]))
-    shifted = _shift(local, g[6])
-    if isinstance(tz, str) and tz == "UTC":
-        return shifted
-    # A bare date is UTC midnight; only a clock time without an offset depends on the zone.
-    zone = F.lit(tz) if isinstance(tz, str) else tz
-    return at_zone(shifted, F.when((g[3] != "") & (g[6] == ""), zone))
+
+    def read(g: list[Column]) -> Column:
+        local = _at(_int(g[0]), _int(g[1]), _int(g[2]), _int(g[3]), _int(g[4]), _seconds(g[5]))
+        shifted = _shift(local, g[6])
+        if isinstance(tz, str) and tz == "UTC":
+            return shifted
+        # A bare date is UTC midnight; only a clock time without an offset depends on the zone.
+        zone = F.lit(tz) if isinstance(tz, str) else tz
+        return at_zone(shifted, F.when((g[3] != "") & (g[6] == ""), zone))
+
+    return _groups(c, ISO_INSTANT, 7, read)
 
 
 def _read_parts(parts: Column, tz: Column | str) -> Column:
@@ -292,6 +318,10 @@ def any_date(c: Column, tz: Column | str = "UTC") -> Column:
 
     An impossible clock makes the date NULL rather than midnight.
     """
+    return once(c, lambda v: _any_date(v, tz))
+
+
+def _any_date(c: Column, tz: Column | str) -> Column:
     forms = F.coalesce(
         at_zone(month_loose(c), tz),
         at_zone(month_abbrev(c), tz),

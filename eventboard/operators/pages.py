@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from eventboard.functions import text as tx
-from eventboard.functions.dates import any_date
+from eventboard.functions.dates import any_date, once
 from eventboard.operators import outline
 
 # The shapes of tables, time marks and structured-data blocks.
@@ -132,14 +132,19 @@ def table_rows(df: DataFrame, body: str = "body", keys: list[str] | None = None)
 
 def time_value(body: Column) -> Column:
     """Value of the first time mark in document order: datetime, else content, else its text."""
-    mark = F.regexp_extract(body, TIME_MARK, 0)
-    opening = F.regexp_extract(mark, tx.OPENING_TAG, 0)
-    return F.coalesce(
-        tx.attribute(opening, "datetime"),
-        tx.attribute(opening, "content"),
-        tx.blank_to_null(tx.html_to_text(mark, sep="")),
-        tx.attribute(opening, "title"),
-    )
+
+    def value(mark: Column) -> Column:
+        def told(opening: Column) -> Column:
+            return F.coalesce(
+                tx.attribute(opening, "datetime"),
+                tx.attribute(opening, "content"),
+                tx.blank_to_null(tx.html_to_text(mark, sep="")),
+                tx.attribute(opening, "title"),
+            )
+
+        return once(F.regexp_extract(mark, tx.OPENING_TAG, 0), told)
+
+    return once(F.regexp_extract(body, TIME_MARK, 0), value)
 
 
 def time_elements(df: DataFrame, body: str = "body", keys: list[str] | None = None) -> DataFrame:
