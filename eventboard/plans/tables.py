@@ -17,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one task where the work is heavy per row.
+TASK_ROWS = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores if the scan has fewer splits than cores.
+    """Rows dealt out to all cores, ``TASK_ROWS`` to a task at most on average, if the scan has fewer splits than that takes.
 
-    For work that is heavy per row. A table of ordinary size has more splits than there are cores
-    and is left as it is, without a shuffle.
+    For work that is heavy per row. A scan is split by bytes: a file of narrow rows has few splits of very many rows, and
+    a task would grow with the file. Wide rows have more splits than that and are left as they are, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def source_type(number: Column) -> Column:

@@ -28,3 +28,10 @@ def test_no_cast_is_tried_that_must_fail(value):
         assert value(lambda t=text: dt._int(F.lit(t))) == number == value(lambda t=text: F.lit(t).try_cast("int"))
     shown = str(dt._int(F.col("x")))
     assert "CASE WHEN" in shown.upper()
+
+
+def test_rows_are_dealt_out_by_number(spark):
+    narrow = spark.range(300_000, numPartitions=1)
+    assert tables.spread(narrow).rdd.getNumPartitions() == 300_000 // tables.TASK_ROWS == 6
+    assert tables.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert tables.spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
