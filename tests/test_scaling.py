@@ -35,3 +35,21 @@ def test_rows_are_dealt_out_by_number(spark):
     assert tables.spread(narrow).rdd.getNumPartitions() == 300_000 // tables.TASK_ROWS == 6
     assert tables.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert tables.spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
+
+
+def test_a_batch_of_pages_is_parsed_in_chunks(spark, monkeypatch):
+    sizes = []
+
+    def array(rows, kind=None):
+        sizes.append(len(rows))
+        return pa.array(rows, kind)
+
+    udf = outline._outline_udf().func
+    monkeypatch.setitem(udf.__globals__, "pa", SimpleNamespace(array=array, concat_arrays=pa.concat_arrays, Array=pa.Array))
+    n = 3 * outline.CHUNK + 5
+    bodies = [f"<p><a href='/{k}'>n{k}</a></p>" if k % 7 else None for k in range(n)]
+    chosen = pa.array(['[{"tag": "a"}]'] * n)
+    got = udf(pa.array(bodies), chosen, pa.nulls(n, pa.string()), pa.array([True] * n)).to_pylist()
+    assert max(sizes) == outline.CHUNK and len(got) == n
+    assert [g and g[0]["href"] for g in got] == [f"/{k}" if k % 7 else None for k in range(n)]
+    assert udf(pa.array([], pa.string()), chosen[:0], chosen[:0], pa.array([], pa.bool_())).to_pylist() == []
