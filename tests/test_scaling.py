@@ -7,6 +7,7 @@ from eventboard.functions import dates as dt
 from eventboard.operators import outline
 from eventboard.operators import pages as pg
 from eventboard.plans import tables
+from eventboard.streaming import keyed
 from pyspark.sql import functions as F
 
 
@@ -53,3 +54,38 @@ def test_a_batch_of_pages_is_parsed_in_chunks(spark, monkeypatch):
     assert max(sizes) == outline.CHUNK and len(got) == n
     assert [g and g[0]["href"] for g in got] == [f"/{k}" if k % 7 else None for k in range(n)]
     assert udf(pa.array([], pa.string()), chosen[:0], chosen[:0], pa.array([], pa.bool_())).to_pylist() == []
+
+
+def test_a_stream_asks_for_each_value_once_and_writes_only_changes():
+    calls = []
+
+    class Value:
+        def __init__(self, name, held=None):
+            self.name, self.held = name, held
+
+        def __getattr__(self, kind):
+            def call(*given):
+                calls.append(f"{self.name}.{kind}")
+                if kind == "update":
+                    self.held = given[0]
+                elif kind == "clear":
+                    self.held = None
+                return self.held is not None if kind == "exists" else self.held if kind == "get" else None
+
+            return call
+
+    times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10)
+    p = keyed.KeyedFreshness("long")
+    p.handle = SimpleNamespace(registerTimer=lambda ms: None, deleteTimer=lambda ms: None)
+    p.good, p.wake, p.waiting = Value("good", (1, "r")), Value("wake", (5,)), Value("waiting", [(2_000, 1, None, "row")])
+    (out,) = p.handleExpiredTimer(("s", "t"), times, None)
+    assert out[["row", "lkg", "late"]].values.tolist() == [["row", "r", False]]
+    assert calls == ["waiting.get", "good.get", "wake.clear", "waiting.clear"]
+    calls.clear()
+    p.waiting.held = [(3_000, 1, "new", "row")]
+    list(p.handleExpiredTimer(("s", "t"), times, None))
+    assert p.good.held == (3_000, "new") and calls.count("good.get") == calls.count("good.update") == 1
+    calls.clear()
+    p.wake.held = (20,)
+    p._wake_at(30_000)
+    assert calls == ["wake.get"]
