@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from eventboard.llm.arrays import U64, Block, blocks, owners, prefix_hash, substring_hash, table, windows, words
 from eventboard.llm.scratch import arrow_map
+from eventboard.operators.bloom import bloom_filter, may_contain
 
 BUCKET_BITS = 18
 NGRAMS = (1, 2)
@@ -62,26 +63,37 @@ def _buckets(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, trusted = (np.zeros(1 << BUCKET_BITS, dtype=np.int64) for _ in range(2))
+    total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     for batch in batches:
-        good = batch.column("trusted").is_valid().to_numpy(zero_copy_only=False)
         for block in blocks(batch.column("text")):
             w = words(block)
-            bucket, row = _buckets(substring_hash(prefix_hash(block.data), w.start, w.end), w.at)
-            raw += np.bincount(bucket, minlength=len(raw))
-            trusted += np.bincount(bucket[good[block.rows][row]], minlength=len(raw))
-    seen = np.flatnonzero(raw)
-    schema = pa.schema([("bucket", pa.int64()), ("raw", pa.int64()), ("trusted", pa.int64())])
-    yield table(schema, [seen, raw[seen], trusted[seen]])
+            bucket, _ = _buckets(substring_hash(prefix_hash(block.data), w.start, w.end), w.at)
+            total += np.bincount(bucket, minlength=len(total))
+    seen = np.flatnonzero(total)
+    yield table(pa.schema([("bucket", pa.int64()), ("n", pa.int64())]), [seen, total[seen]])
+
+
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the rows of ``docs`` whose document is trusted.
+
+    A Bloom filter of bounded size, asked where the rows lie, leaves out the other texts before the exact join, so only
+    trusted texts (and 0.3 % of the others) are moved. The join is the same for few ids and for many.
+    """
+    ids = trusted_ids(labels)
+    key = docs.select("doc_id").union(ids).schema["doc_id"].dataType  # one type, or equal ids would differ in their hashes
+    ids = ids.withColumn("doc_id", F.col("doc_id").cast(key))
+    texts = docs.select(F.col("doc_id").cast(key).alias("doc_id"), "text")
+    # Each id once, so an inner join keeps rows as they are; a semi-join would be pushed below the filter, to all texts.
+    return may_contain(texts, bloom_filter(ids, ["doc_id"])).join(ids.hint("shuffle_hash"), "doc_id")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """``log p(target) - log p(raw)`` of each of the fixed number of buckets, counted over all documents."""
-    # No hint: these ids grow with the labels, so whether they are broadcast is Spark's choice by their size.
-    ids = trusted_ids(labels).withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", "trusted")
+    raw, trusted = (arrow_map(d.select("text"), _count, "bucket long, n long") for d in (docs, trusted_texts(docs, labels)))
+    none = F.lit(0).cast("long")
     counts = (
-        arrow_map(marked, _count, "bucket long, raw long, trusted long")
+        raw.select("bucket", F.col("n").alias("raw"), none.alias("trusted"))
+        .union(trusted.select("bucket", none, "n"))
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
         .toPandas()  # a row per bucket, 2**BUCKET_BITS at most

@@ -68,6 +68,22 @@ def test_every_trusted_document_counts(spark):
     assert sorted(x for x in word if x) == pytest.approx(sorted(want))
 
 
+def test_only_trusted_texts_are_moved(spark):
+    """However many ids there are: with more than a broadcast takes, every text was shuffled."""
+    docs = spark.range(4_000).selectExpr("CAST(IF(id % 100 = 0, NULL, id % 3000) AS int) AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(-50, 4_000).selectExpr("id AS doc_id", "IF(id % 4 = 0, 1, 0) AS quality", "IF(id % 8 = 0, 1, 0) AS toxic")
+    good = [r.text for r in docs.collect() if r.doc_id is not None and r.doc_id % 4 == 0 and r.doc_id % 8]
+    for limit in ("-1", "100MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            moved = quality.trusted_texts(docs, labels)
+            assert sorted(r.text for r in moved.collect()) == sorted(good)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("shuffle_hash") < plan.index("_bits")  # the exact join stands above the filter
+
+
 def test_quality_score_is_the_mean_ratio(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "z z z z")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
