@@ -12,7 +12,8 @@ links, so what is shuffled is far smaller than the links are, and a pair that oc
 chunk.
 
 Neither tokenizer joins anything across a single blank between two characters that are none, so texts are cut there into
-units, each distinct unit is encoded once, and a worker remembers a bounded number of them (forgetting costs time only).
+units, each distinct unit is encoded once (many together, as one text), and a worker remembers a bounded number of them
+(forgetting costs time only).
 
 Defined results: a NULL or empty text, one that either tokenizer does not spell byte for byte (such as one with the
 blank mark U+2581), and one that is no valid UTF-8 have no tokens: zeros and an empty ``groups_sha256``. A NULL
@@ -22,7 +23,6 @@ blank mark U+2581), and one that is no valid UTF-8 have no tokens: zeros and an
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,18 +33,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventboard.llm.arrays import Block, blocks, owners, ragged
+from eventboard.llm.arrays import Block, blocks, owners, prefix_hash, ragged, substring_hash
 from eventboard.llm.scratch import arrow_map, ship, stored
 
 #: Merged token ends of a piece.
 PIECE = 1 << 15
 #: Text bytes and rows of a chunk, the unit over which a task sums its links. A longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_ROWS = 4 << 20, 20_000
-#: Bytes of texts aligned at once, characters given to a tokenizer at once, and units a worker remembers.
-BLOCK, ENCODED_CHARS, REMEMBERED = 1 << 20, 1 << 18, 300_000
+#: Bytes of texts aligned at once, bytes given to a tokenizer at once, and units a worker remembers.
+BLOCK, ENCODED_CHARS, REMEMBERED = 1 << 20, 1 << 18, 600_000
+#: Bytes of units that are encoded as one text.
+JOINED_BYTES = 1_000
 
 MARK = "▁"
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_LOW = 0xFFFFFFFF
+_BLANKS = [c for c in map(chr, range(0x10000)) if c.isspace()]
+_WIDE_SPACES = [c.encode() for c in _BLANKS if ord(c) >= 0x80]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[ord(c) for c in _BLANKS if ord(c) < 0x80]] = True
 
 PART = (
     "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -68,9 +74,14 @@ class _Side:
     def __init__(self, spelled: list[bytes], close: str):
         self.spelled = spelled
         self.width = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.letters, self.letters_at = np.frombuffer(b"".join(spelled), dtype=np.uint8), np.cumsum(self.width) - self.width
         self.inner = np.array([f"{i}," for i in range(len(spelled))], dtype=object)
         self.last = np.array([f"{i}{close}" for i in range(len(spelled))], dtype=object)
 
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """What the ids spell, one after the other."""
+        return self.letters[ragged(self.letters_at[ids], self.width[ids])]
+
     def lists(self, parts: list[str]) -> list[list[int]]:
         """Ids of each part."""
         raise NotImplementedError
@@ -120,51 +131,167 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the single blanks between two characters of a text that are none, and the bytes of all white space."""
+    space = _SPACE[data]
+    for lead in _WIDE_SPACES if (data >= 0x80).any() else ():
+        found = np.flatnonzero((data[: len(data) - len(lead) + 1] == lead[0]) & (data[1 : len(data) - len(lead) + 2] == lead[1]))
+        for k in range(2, len(lead)):
+            found = found[data[found + k] == lead[k]]
+        for k in range(len(lead)):
+            space[found + k] = True
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[at] = True
+    place = np.flatnonzero(data == 0x20)
+    place = place[~edge[place] & ~edge[place + 1]]
+    return place[~space[place - 1] & ~space[place + 1]], space
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values in order, a place of each, which of them each item is, and how often each occurs."""
+    order = np.argsort(key)
+    head = _heads(key[order])
+    count = np.diff(np.append(head, len(key)))
+    inverse = np.empty(len(key), dtype=np.int64)
+    inverse[order] = np.repeat(np.arange(len(head)), count)
+    return key[order[head]], order[head], inverse, count
+
+
 class Units:
-    """Ids of the units met so far, on both sides, and whether both spell the unit byte for byte."""
+    """Ids of the units met so far, on both sides, and whether both spell the unit byte for byte.
+
+    A unit is looked up by a 64-bit digest, and what is found must spell the bytes that stand there. Beyond ``REMEMBERED``
+    units those used most are kept, half as many.
+    """
 
     def __init__(self, a: _Side, b: _Side):
         self.sides = a, b
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.good = np.zeros(0, dtype=bool)
-        self.flat = [np.zeros(0, dtype=np.int64) for _ in self.sides]
+        self.key = np.zeros(0, dtype=np.uint64)
+        #: By key: the unit's number, and how often it was used.
+        self.number, self.used = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.good, self.size = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
+        self.flat = [np.zeros(0, dtype=np.int32) for _ in self.sides]
         self.at = [np.zeros(1, dtype=np.int64) for _ in self.sides]
 
+    def _keep_frequent(self) -> None:
+        order = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        units = self.number[order]
+        for side in range(len(self.sides)):
+            ids, self.at[side] = self.ids(side, units)
+            self.flat[side] = ids.astype(np.int32)
+        self.key, self.used, self.number = self.key[order], self.used[order] // 2, np.arange(len(order))
+        self.good, self.size = self.good[units], self.size[units]
+
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The units of all texts, one after the other, and where each text's begin."""
-        units = [_BETWEEN.split(t) for t in texts]
-        at = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64)
-        new = {u for of_text in units for u in of_text if u not in self.known}
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.forget()
-            new = {u for of_text in units for u in of_text}
-        self._learn(sorted(new))
-        known = self.known
-        return np.fromiter((known[u] for of_text in units for u in of_text), dtype=np.int64, count=int(at[-1])), at
-
-    def _learn(self, units: list[str]) -> None:
-        found: tuple[list, list] = ([], [])
-        k = 0
-        while k < len(units):
-            stop, size = k + 1, len(units[k])
-            while stop < len(units) and size + len(units[stop]) <= ENCODED_CHARS:
-                size += len(units[stop])
-                stop += 1
-            for side, lists in zip(self.sides, found, strict=True):
-                lists += side.lists(units[k:stop])
-            k = stop
-        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        text_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        if len(self.size) > REMEMBERED:
+            self._keep_frequent()
+        blank, space = cuts(data, text_at)
+        # Every text begins a unit, an empty one too, and every blank that cuts.
+        order = np.argsort(np.concatenate([text_at[:-1], blank]), kind="stable")
+        start = np.concatenate([text_at[:-1], blank + 1])[order]
+        end = np.concatenate([start[1:], text_at[-1:]])
+        after = np.append(order[1:], 0) >= len(raw)
+        end[after] -= 1
+        at = np.concatenate([np.flatnonzero(order < len(raw)), [len(start)]]).astype(np.int64)
+        key, one, inverse, count = _distinct(substring_hash(prefix_hash(data), start, end))
+        place = np.searchsorted(self.key, key)
+        new = np.append(self.key, np.uint64(0))[place] != key
+        new |= place == len(self.key)
+        self.used[place[~new]] += count[~new]
+        if new.any():
+            fresh = one[new]
+            numbers = self._learn(data, space, start[fresh], end[fresh])
+            keys = np.concatenate([self.key, key[new]])
+            by_key = np.argsort(keys, kind="stable")
+            self.key = keys[by_key]
+            self.number = np.concatenate([self.number, numbers])[by_key]
+            self.used = np.concatenate([self.used, count[new]])[by_key]
+            place = np.searchsorted(self.key, key)
+        units = self.number[place][inverse]
+        odd = self._unlike(units, data, start, end)
+        units[odd] = self._learn(data, space, start[odd], end[odd])
+        return units, at
+
+    def _unlike(self, units: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places whose remembered unit does not spell what stands there: a broken unit, or another one of the same digest."""
+        size = end - start
+        like = self.good[units] & (self.size[units] == size)
+        spelled = self.sides[0].bytes_of(self.ids(0, units[like])[0])
+        n = size[like] + 1
+        head = np.cumsum(n) - n
+        inside = np.ones(len(spelled), dtype=bool)
+        inside[head] = False
+        differs = np.flatnonzero(inside)[spelled[inside] != data[ragged(start[like], n - 1)]]
+        like[np.flatnonzero(like)[np.searchsorted(head, differs, "right") - 1]] = False
+        return np.flatnonzero(~like & (size > 0))
+
+    def _learn(self, data: np.ndarray, space: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of new units."""
+        if not start.size:
+            return np.zeros(0, np.int64)
+        size = end - start
+        joins = (size > 0) & (size < JOINED_BYTES)
+        joins[joins] &= ~space[start[joins]] & ~space[end[joins] - 1]
+        first = len(self.size)
+        number = np.empty(len(size), dtype=np.int64)
+        raw = data.tobytes()
+        for chosen, encode in ((np.flatnonzero(joins), self._together), (np.flatnonzero(~joins), self._one_by_one)):
+            number[chosen] = first + np.arange(len(chosen))
+            first += len(chosen)
+            k = 0
+            while k < len(chosen):
+                upto = np.searchsorted(np.cumsum(size[chosen[k:]] + 1), ENCODED_CHARS, "right")
+                part = chosen[k : k + max(1, int(upto))]
+                encode([raw[i:j].decode() for i, j in zip(start[part].tolist(), end[part].tolist(), strict=True)])
+                k += len(part)
+        return number
+
+    def _together(self, units: list[str]) -> None:
+        """Learns units that neither begin nor end with a blank: they stay what they are beside single blanks."""
+        size = np.array([len(u.encode()) for u in units], dtype=np.int64) + 1
+        line = (np.cumsum(size) - size) // JOINED_BYTES
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(units)]]).tolist()
+        lines = [" ".join(units[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
+        whole = np.frombuffer("".join(" " + x for x in lines).encode(), dtype=np.uint8)
+        ends, found = np.cumsum(size), []
+        for side in self.sides:
+            ids = np.concatenate([np.asarray(x, dtype=np.int32) for x in side.lists(lines)])
+            token_ends = np.cumsum(side.width[ids])
+            at = np.searchsorted(token_ends, ends)
+            spelled = np.array_equal(side.bytes_of(ids), whole)
+            if not (spelled and np.array_equal(token_ends[at], ends)):
+                return self._one_by_one(units)
+            found.append((ids, np.diff(np.concatenate([[-1], at]))))
+        self._put(found, np.ones(len(units), dtype=bool), size - 1)
+
+    def _one_by_one(self, units: list[str]) -> None:
+        lists = [side.lists(units) for side in self.sides]
+        whole = [(" " + u).encode() for u in units]
         good = [
-            all(b"".join(map(side.spelled.__getitem__, ids)) == whole for side, ids in zip(self.sides, both, strict=True))
-            for both, whole in zip(zip(*found, strict=True), ((" " + u).encode() for u in units), strict=True)
+            all(b"".join(map(side.spelled.__getitem__, ids)) == text for side, ids in zip(self.sides, both, strict=True))
+            for both, text in zip(zip(*lists, strict=True), whole, strict=True)
         ]
-        self.good = np.concatenate([self.good, np.array(good, dtype=bool)])
-        for side, lists in enumerate(found):
-            n = np.array([len(x) for x in lists], dtype=np.int64)
-            ids = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(n.sum()))
+        found = []
+        for of_side in lists:
+            n = np.array([len(x) for x in of_side], dtype=np.int64)
+            found.append((np.fromiter((i for x in of_side for i in x), dtype=np.int32, count=int(n.sum())), n))
+        self._put(found, np.array(good, dtype=bool), np.array([len(x) - 1 for x in whole], dtype=np.int64))
+
+    def _put(self, found: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, size: np.ndarray) -> None:
+        self.good, self.size = np.concatenate([self.good, good]), np.concatenate([self.size, size])
+        for side, (ids, n) in enumerate(found):
             self.flat[side] = np.concatenate([self.flat[side], ids])
             self.at[side] = np.concatenate([self.at[side], self.at[side][-1] + np.cumsum(n)])
 
@@ -172,7 +299,7 @@ class Units:
         """Ids of units, one after the other, and where each unit's begin."""
         start = self.at[side][units]
         n = self.at[side][units + 1] - start
-        return self.flat[side][ragged(start, n)], np.concatenate([[0], np.cumsum(n)])
+        return self.flat[side][ragged(start, n)].astype(np.int64), np.concatenate([[0], np.cumsum(n)])
 
 
 @lru_cache(maxsize=2)
@@ -248,23 +375,23 @@ class Alignment:
     b_group: np.ndarray
     group_at: np.ndarray
 
-    def digest(self, k: int, side_a: _Side, side_b: _Side) -> str:
-        """The groups of one text as ``a1,a2|b1;...``, hashed; empty without tokens."""
-        a, b = slice(*self.a_at[k : k + 2]), slice(*self.b_at[k : k + 2])
-        if a.start == a.stop:
-            return ""
-        ga, gb = self.a_group[a] - self.group_at[k], self.b_group[b] - self.group_at[k]
-        n = int(self.group_at[k + 1] - self.group_at[k])
+    def digests(self, side_a: _Side, side_b: _Side) -> list[str]:
+        """The groups of each text as ``a1,a2|b1;...``, hashed; empty without tokens."""
+        n = int(self.group_at[-1])
         # A token stands behind all tokens of either side in the groups before its own.
-        out = np.empty(len(ga) + len(gb), dtype=object)
-        b_before, a_upto = np.searchsorted(gb, np.arange(n)), np.searchsorted(ga, np.arange(n), "right")
-        for side, ids, group, place in (
-            (side_a, self.a[a], ga, np.arange(len(ga)) + b_before[ga]),
-            (side_b, self.b[b], gb, np.arange(len(gb)) + a_upto[gb]),
+        a_upto = np.cumsum(np.bincount(self.a_group, minlength=n))
+        of_b = np.bincount(self.b_group, minlength=n)
+        out = np.empty(len(self.a) + len(self.b), dtype=object)
+        for side, ids, group, before in (
+            (side_a, self.a, self.a_group, np.cumsum(of_b) - of_b),
+            (side_b, self.b, self.b_group, a_upto),
         ):
-            last = np.append(group[1:] != group[:-1], True)
-            out[place] = np.where(last, side.last[ids], side.inner[ids])
-        return hashlib.sha256("".join(out.tolist())[:-1].encode()).hexdigest()
+            last = np.append(group[1:] != group[:-1], True) if len(group) else np.zeros(0, bool)
+            out[np.arange(len(ids)) + before[group]] = np.where(last, side.last[ids], side.inner[ids])
+        words, at = out.tolist(), (self.a_at + self.b_at).tolist()
+        return [
+            hashlib.sha256("".join(words[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(at, at[1:], strict=False)
+        ]
 
 
 def align_block(block: Block, known: Units, piece: int = PIECE) -> Alignment:
@@ -299,10 +426,8 @@ class _Chunk:
 
     def add(self, ids: list, block: Block, found: Alignment, side_a: _Side, side_b: _Side) -> None:
         n = np.diff(found.link_at)
-        groups = np.diff(found.group_at)
-        for k, doc_id in enumerate(ids):
-            count = (found.a_at[k + 1] - found.a_at[k], found.b_at[k + 1] - found.b_at[k], groups[k], n[k])
-            self.rows.append((doc_id, *map(int, count), found.digest(k, side_a, side_b)))
+        counts = (np.diff(found.a_at).tolist(), np.diff(found.b_at).tolist(), np.diff(found.group_at).tolist(), n.tolist())
+        self.rows += zip(ids, *counts, found.digests(side_a, side_b), strict=True)
         self.links.append(found.a[found.links.left] << 32 | found.b[found.links.right])
         self.sizes.append(n)
         self.bytes += len(block.data)
@@ -310,10 +435,21 @@ class _Chunk:
     def batch(self) -> pa.RecordBatch:
         """A row per text with its places among the chunk's id pairs, and one row with the pairs themselves."""
         links, sizes = np.concatenate(self.links), np.concatenate(self.sizes)
-        pairs, place, totals = np.unique(links, return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        own, times = np.unique(row * max(len(pairs), 1) + place, return_counts=True)
-        at = np.searchsorted(own // max(len(pairs), 1), np.arange(len(sizes) + 1))
+        # Id pair and row in one number, so that one sort brings equal pairs together, and their rows.
+        row_bits, low_bits = len(sizes).bit_length(), int((links & _LOW).max(initial=0)).bit_length()
+        key = np.sort(((links >> 32 << low_bits) | (links & _LOW)) << row_bits | row)
+        head = _heads(key)
+        times, key = np.diff(np.append(head, len(key))), key[head]
+        first = _heads(key >> row_bits)
+        place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        totals = np.add.reduceat(times, first) if len(first) else times
+        pairs = key[first] >> row_bits
+        pairs = pairs >> low_bits << 32 | pairs & ((1 << low_bits) - 1)
+        row = (key & ((1 << row_bits) - 1)).astype(np.uint16 if row_bits <= 16 else np.int64)
+        by_row = np.argsort(row, kind="stable")
+        place, times = place[by_row], times[by_row]
+        at = np.searchsorted(row[by_row], np.arange(len(sizes) + 1, dtype=np.int64))
         n, none = len(self.rows), pa.array([None], pa.int64())
         columns = list(map(list, zip(*self.rows, strict=True)))
 
@@ -329,7 +465,7 @@ class _Chunk:
                 pa.array(np.full(n + 1, self.number)),
                 *[pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in columns[:5]],
                 pa.array([*columns[5], None], pa.string()),
-                per_text(own % max(len(pairs), 1)),
+                per_text(place),
                 per_text(times),
                 of_chunk(pairs),
                 of_chunk(totals),

@@ -127,5 +127,31 @@ def test_units_are_encoded_like_the_whole(spark, sf_dir, remembered, monkeypatch
                 assert ids[unit_at[at[k]] : unit_at[at[k + 1]]].tolist() == known.sides[side].lists([text])[0]
 
 
+def test_units_of_one_digest_are_told_apart(spark, monkeypatch):
+    texts = ["same size here", "game size hers", "", "x", "a  b", " lead", "one\u00a0two three"] * 2
+    want = Counter((k, *x) for k, x in enumerate(walk(texts)))
+    monkeypatch.setattr(align, "substring_hash", lambda prefix, start, end: (start * 0).astype(np.uint64))
+    block = next(align.blocks(align.pa.array(texts)))
+    known = align.Units(align.ByteLevel(A), align.Pieces(B))
+    chunk = align._Chunk(0)
+    chunk.add(list(range(len(texts))), block, align.align_block(block, known), *known.sides)
+    assert [(r[0], *r[1:]) for r in chunk.rows] == [(k, *x[:4], x[6]) for k, *x in sorted(want)]
+
+
+def test_frequent_units_outlive_rare_ones(monkeypatch):
+    """Words of every text are encoded once although rare ones come and go; before, all were forgotten together."""
+    monkeypatch.setattr(align, "REMEMBERED", 40)
+    known = align.Units(align.ByteLevel(A), align.Pieces(B))
+    asked = []
+    encode = known.sides[0].lists
+    monkeypatch.setattr(known.sides[0], "lists", lambda parts: asked.extend(parts) or encode(parts))
+    often = [f"often{k}" for k in range(10)]
+    for k in range(20):
+        known.of([" ".join(often * 3 + [f"rare{k}x{j}" for j in range(15)])])
+    words = Counter(w for part in asked for w in part.split())
+    assert {words[w] for w in often} == {1}
+    assert len(known.key) <= 40 + 25
+
+
 def _mark_free(text):
     return "\u2581" not in (text or "")
