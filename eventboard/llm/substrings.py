@@ -14,6 +14,9 @@ equal anchors at equal distances. Neighbouring strings with one anchor form a st
 
 Repeats become byte ranges per text, and texts are cut by the union of their ranges.
 
+A passage repeats across documents if its words do, however few bytes they have. Windows of ``size`` words are told apart
+by anchors, the smallest hash among their shorter windows; only windows whose anchor another text has are compared.
+
 Defined results: a NULL or empty text has 0 bytes, nothing removed and the digest of nothing. Rows with equal texts are
 repeats of each other, with or without ``doc_id``; each row is returned. A text below ``LENGTH`` bytes is kept whole.
 Other columns are ignored.
@@ -26,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventboard.llm.arrays import U64, Block, blocks, mix, prefix_hash, ragged, substring_hash, table
+from eventboard.llm.arrays import U64, Block, blocks, mix, prefix_hash, ragged, substring_hash, table, windows, words
 from eventboard.llm.scratch import arrow_map, stored
 from eventboard.llm.suffixes import common_prefixes, packed, suffix_array
 
 LENGTH = 400
 GRAM = 200
+#: Passages of over 50 words.
+PASSAGE_WORDS = 51
 #: Bytes of open stretches in one suffix array.
 SHARD_BYTES = 1 << 20
 #: Kinds of stretches of one anchor that are merged in one group.
@@ -252,7 +257,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = kept_bytes(data, spans) if spans else data
             rows.append((doc.as_py(), len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept)))
         if rows:
-            yield table(_CUT, map(list, zip(*rows, strict=True)))
+            out = table(_CUT, map(list, zip(*rows, strict=True)))
+            if "n_passage_words" in batch.schema.names:
+                out = out.append_column("n_passage_words", batch.column("n_passage_words"))
+            yield out
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -290,12 +298,101 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     )
 
 
+_ANCHORS = pa.schema([("mark", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64())])
+_WINDOWS = pa.schema([("mark", pa.int64()), ("at", pa.int32()), ("digest", pa.int64())])
+
+
+def passage_anchors(block: Block, size: int) -> tuple[np.ndarray, ...]:
+    """Words of each text; row, place and anchor of every window of ``size`` words; hashes of all words, where texts begin."""
+    w = words(block)
+    hashes = substring_hash(prefix_hash(block.data), w.start, w.end)
+    gram = max(1, size // 3)
+    grams, at = windows(hashes, w.at, gram)
+    n = np.maximum(w.counts - size + 1, 0)
+    place = ragged(at[:-1], n)
+    row = np.repeat(np.arange(len(n)), n)
+    anchor = _sliding_min(grams, size - gram + 1)[place] if place.size else np.zeros(0, U64)
+    return w.counts, row, place - at[row], anchor.view(np.int64), hashes, w.at
+
+
+def _anchors(size: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                mark = batch.column("mark").slice(block.rows.start, len(block))
+                counts, row, _, anchor, _, _ = passage_anchors(block, size)
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+                row, anchor = row[new], anchor[new]
+                yield table(_ANCHORS, [mark.take(pa.array(row)), anchor, pa.nulls(len(row), pa.int64())])
+                long = np.flatnonzero(counts >= size)
+                yield table(_ANCHORS, [mark.take(pa.array(long)), pa.nulls(len(long), pa.int64()), counts[long]])
+
+    return scan
+
+
+def _windows(size: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                mark, opened = (batch.column(c).slice(block.rows.start, len(block)) for c in ("mark", "anchors"))
+                _, row, at, anchor, hashes, texts = passage_anchors(block, size)
+                digest, _ = windows(hashes, texts, size)
+                on = np.isin(anchor, opened.flatten().to_numpy(zero_copy_only=False))
+                yield table(_WINDOWS, [mark.take(pa.array(row[on])), at[on].astype(np.int32), digest[on].view(np.int64)])
+
+    return scan
+
+
+def _elsewhere(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that different texts have."""
+    return rows.groupBy(key).agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high").select(key)
+
+
+def repeated_passages(docs: DataFrame, size: int) -> DataFrame:
+    """``uid, n_passage_words``: words of each text in windows of ``size`` words that another row of ``docs`` has too."""
+    keyed = docs.select(_uid().alias("uid"), "text").filter(F.octet_length("text") >= 2 * size - 1)
+    # Eight bytes of a text's digest travel with its anchors and windows, not sixteen.
+    marked = keyed.select(F.xxhash64("uid").alias("mark"), "text")
+    found = stored(arrow_map(marked, _anchors(size), "mark long, anchor long, n_words long"), "passage_anchors")
+    copies = found.filter("anchor IS NULL").groupBy("mark").agg(F.count("*").alias("rows"), F.max("n_words").alias("n_passage_words"))
+    anchors = found.filter("anchor IS NOT NULL").select("mark", "anchor")
+    shared = stored(_elsewhere(anchors, "anchor"), "passage_shared")
+    opened = anchors.join(shared, "anchor", "left_semi").groupBy("mark").agg(F.collect_set("anchor").alias("anchors"))
+    opened = stored(opened, "passage_open")
+    few = opened.count() <= BROADCAST_ROWS
+    texts = marked.join(F.broadcast(opened.select("mark")) if few else opened.select("mark"), "mark", "left_semi")
+    texts = opened.join(texts.dropDuplicates(["mark"]), "mark").select("mark", "text", "anchors")
+    compared = stored(arrow_map(texts, _windows(size), "mark long, at int, digest long"), "passage_windows")
+    again = stored(_elsewhere(compared, "digest"), "passage_again")
+    before = F.lag("at", 1, -size).over(Window.partitionBy("mark").orderBy("at"))
+    across = (
+        compared.join(again, "digest", "left_semi")
+        .select("mark", F.least(F.lit(size), F.col("at") - before).alias("fresh"))
+        .groupBy("mark")
+        .agg(F.sum("fresh").alias("n_passage_words"))
+    )
+    counts = copies.filter("rows > 1").select("mark", "n_passage_words").union(across)
+    counts = counts.groupBy("mark").agg(F.max("n_passage_words").alias("n_passage_words"))
+    return keyed.select("uid").distinct().withColumn("mark", F.xxhash64("uid")).join(counts, "mark").select("uid", "n_passage_words")
+
+
 def _uid():
     return F.unhex(F.md5("text"))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept`` of every document."""
-    ranges = stored(repeated_ranges(docs), "ranges")
+def removed(docs: DataFrame, passage: int | None = None) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept`` of every document.
+
+    With ``passage``, also ``n_passage_words``: words in passages of at least so many words that another row has too,
+    whatever their bytes. Nothing is removed for these.
+    """
+    ranges = repeated_ranges(docs)
+    if passage:
+        ranges = ranges.join(repeated_passages(docs, passage), "uid", "full")
+    ranges = stored(ranges, "ranges")
     whole = docs.select("doc_id", "text", _uid().alias("uid")).join(ranges, "uid", "left")
-    return arrow_map(whole.select("doc_id", "text", "ranges"), _cut, _CUT_DDL)
+    if not passage:
+        return arrow_map(whole.select("doc_id", "text", "ranges"), _cut, _CUT_DDL)
+    whole = whole.withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)))
+    return arrow_map(whole.select("doc_id", "text", "ranges", "n_passage_words"), _cut, f"{_CUT_DDL}, n_passage_words long")

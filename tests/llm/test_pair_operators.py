@@ -67,6 +67,36 @@ def test_substrings(spark, monkeypatch, kinds):
     assert substrings.removed(docs.limit(0)).count() == 0
 
 
+def brute_passages(texts, size):
+    found = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = Counter()
+    for w in found:
+        holders.update({tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
+    for w in found:
+        yield len({j for i in range(len(w) - size + 1) if holders[tuple(w[i : i + size])] > 1 for j in range(i, i + size)})
+
+
+def test_passages_of_over_50_words_below_400_bytes(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 6)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    short, fifty, long = own(55), own(50), own(300)
+    assert len(short.encode()) < LENGTH
+    copy, twice = own(80), own(60)
+    texts = [f"{own(40)}\n{short} {own(30)}", f"{own(7)} {short.replace(' ', chr(9))}", f"{own(90)} {short}", short]
+    texts += [f"{own(30)} {fifty} {own(30)}", f"{own(20)} {fifty}", None, "", own(10), own(500), copy, copy, f"{twice} {own(9)} {twice}"]
+    texts += [long, f"{own(20)} {long[200:900]} {own(5)} {short}", f"{long[500:]} {own(70)}", own(51), "a " * 130, "b a " + "a " * 60]
+    docs = spark.createDataFrame([(k % 9 or None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = Counter(zip([(t or "") for t in texts], brute_passages(texts, 51), strict=True))
+    digest = lambda t: hashlib.md5(t.encode()).digest()
+    got = {bytes(r.uid): r.n_passage_words for r in substrings.repeated_passages(docs, 51).collect()}
+    assert got == {digest(t): n for t, n in want if n}
+    rows = substrings.removed(docs, 51).collect()
+    assert Counter(r.n_passage_words for r in rows) == Counter(brute_passages(texts, 51))
+    assert Counter(tuple(r)[:-1] for r in rows) == Counter(tuple(r) for r in substrings.removed(docs).collect())
+    assert substrings.removed(docs.limit(0), 51).count() == 0
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
