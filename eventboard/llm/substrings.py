@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from eventboard.llm.arrays import U64, Block, blocks, mix, prefix_hash, ragged, substring_hash, table, windows, words
 from eventboard.llm.scratch import arrow_map, stored
 from eventboard.llm.suffixes import common_prefixes, packed, suffix_array
+from eventboard.operators.bloom import bloom_filter, lacks, may_contain
 
 LENGTH = 400
 GRAM = 200
@@ -44,7 +45,6 @@ PASSAGE_WORDS = 51
 SHARD_BYTES = 1 << 20
 #: Kinds of stretches of one anchor that are merged in one group.
 KINDS = 4_096
-BROADCAST_ROWS = 200_000
 
 _STRETCHES = pa.schema(
     [("uid", pa.binary()), ("anchor", pa.int64()), ("whole", pa.int64()), ("low", pa.int64()), ("n", pa.int32())]
@@ -103,11 +103,12 @@ _RUNS = pa.schema(
         ("anchor", pa.int64()),
         ("part", pa.int32()),
         ("low", pa.int64()),
+        ("high", pa.int64()),
         ("at", pa.binary()),
         ("digests", pa.binary()),
     ]
 )
-_RUNS_DDL = "uid binary, anchor long, part int, low long, at binary, digests binary"
+_RUNS_DDL = "uid binary, anchor long, part int, low long, high long, at binary, digests binary"
 
 
 def local_repeats(data: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,7 @@ def local_repeats(data: np.ndarray, place: np.ndarray, length: int = LENGTH) ->
 
 
 def _shard(texts: list[bytes], uids: list[bytes], opened: list[list[dict]]) -> Iterator[tuple]:
-    """Rows of ``_RUNS``: repeats within the shard have no anchor, digests of what goes on do."""
+    """Rows of ``_RUNS``: byte ranges that repeat within the shard, and places and digests of what goes on."""
     parts, place, owner, low, anchor, kinds, base = [], [], [], [], [], [], 0
     for k, (text, some) in enumerate(zip(texts, opened, strict=True)):
         done = -1
@@ -148,15 +149,14 @@ def _shard(texts: list[bytes], uids: list[bytes], opened: list[list[dict]]) -> I
     again, first = local_repeats(data, place)
     digest = substring_hash(prefix_hash(data), place, place + LENGTH)
     for k, (rep, head, dig) in enumerate(zip(np.split(again, cut), np.split(first, cut), np.split(digest, cut), strict=True)):
-        repeated = np.flatnonzero(rep).astype(np.int32)
-        if repeated.size:
-            yield uids[owner[k]], None, 0, low[k], repeated.tobytes(), None
-        on = np.flatnonzero(head).astype(np.int32)
         parts_of = -(-kinds[k] // KINDS)
+        for a, b in zip(*_spans(np.flatnonzero(rep) + low[k]), strict=True):
+            yield uids[owner[k]], anchor[k], a % parts_of, a, b, None, None
+        on = np.flatnonzero(head).astype(np.int32)
         part = (dig[on] % U64(parts_of)).astype(np.int64)
         for p in np.unique(part):
             own = on[part == p]
-            yield uids[owner[k]], anchor[k], int(p), low[k], own.tobytes(), dig[own].tobytes()
+            yield uids[owner[k]], anchor[k], int(p), low[k], None, own.tobytes(), dig[own].tobytes()
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,41 +183,35 @@ _RANGES = pa.schema([("uid", pa.binary()), ("low", pa.int64()), ("high", pa.int6
 _RANGES_DDL = "uid binary, low long, high long"
 
 
-def _ranges(uid: list[bytes], low: list[int], at: list[np.ndarray]) -> pa.RecordBatch:
-    """Byte ranges of the strings at ``low + at``, consecutive ones together."""
-    out_uid, out_low, out_high = [], [], []
-    for u, base, places in zip(uid, low, at, strict=True):
-        if places.size:
-            gap = np.flatnonzero(np.diff(places) > LENGTH)
-            first, last = places[np.append(0, gap + 1)], places[np.append(gap, len(places) - 1)]
-            out_uid += [u] * len(first)
-            out_low.append(first + base)
-            out_high.append(last + base + LENGTH)
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return table(_RANGES, [pa.array(out_uid, pa.binary()), join(out_low), join(out_high)])
-
-
-def _local_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in b.column("at")]
-        yield _ranges(b.column("uid").to_pylist(), b.column("low").to_pylist(), at)
+def _spans(places: np.ndarray) -> tuple[list[int], list[int]]:
+    """Byte ranges of the strings at ascending places, adjacent ones together."""
+    if not places.size:
+        return [], []
+    gap = np.flatnonzero(np.diff(places) > LENGTH)
+    return places[np.append(0, gap + 1)].tolist(), (places[np.append(gap, len(places) - 1)] + LENGTH).tolist()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings that another stretch of the same anchor and part holds, found by binary search."""
+    """Strings that another stretch of the same anchor and part holds, found by binary search; ranges found before."""
     from eventboard.llm.near import _by_key
 
     for group in _by_key(batches, ["anchor", "part"]):
+        found = group.filter(group.column("digests").is_null())
+        if found.num_rows:
+            yield table(_RANGES, [found.column("uid").cast(pa.binary()), found.column("low"), found.column("high")])
+        group = group.filter(group.column("digests").is_valid())
         if group.num_rows < 2:
             continue
         digests = [np.frombuffer(x.as_buffer(), dtype=U64) for x in group.column("digests")]
         merged = np.sort(np.concatenate(digests))
-        at = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in group.column("at")]
-        shared = []
-        for own, places in zip(digests, at, strict=True):
-            found = np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left")
-            shared.append(places[found > 1])
-        yield _ranges(group.column("uid").to_pylist(), group.column("low").to_pylist(), shared)
+        uids, lows, highs = [], [], []
+        for uid, base, own, at in zip(group.column("uid"), group.column("low"), digests, group.column("at"), strict=True):
+            again = np.searchsorted(merged, own, "right") - np.searchsorted(merged, own, "left") > 1
+            low, high = _spans(np.frombuffer(at.as_buffer(), dtype=np.int32)[again].astype(np.int64) + base.as_py())
+            uids += [uid.as_py()] * len(low)
+            lows += low
+            highs += high
+        yield table(_RANGES, [uids, lows, highs])
 
 
 _CUT = pa.schema(
@@ -269,7 +263,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     found = stored(arrow_map(keyed, _scan, "uid binary, anchor long, whole long, low long, n int"), "stretches")
     # Stored before the join: an aggregate between shuffle and join would keep Spark from splitting a hot anchor.
     counts = stored(found.groupBy("anchor").agg(F.count("*").alias("n_all")).filter("n_all > 1").select("anchor"), "anchors")
-    shared = stored(found.join(counts, "anchor"), "shared")
+    shared = stored(may_contain(found, bloom_filter(counts, ["anchor"])).join(counts, "anchor"), "shared")
     kinds = stored(
         shared.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("uid", "low", "n")).alias("one")), "kinds"
     )
@@ -286,20 +280,26 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("anchor", F.col("one.low").alias("low"), F.col("one.n").alias("n"), "kinds")).alias("open")),
         "open",
     )
-    n = opened.count()
-    texts = keyed.join(F.broadcast(opened.select("uid")) if n <= BROADCAST_ROWS else opened.select("uid"), "uid", "left_semi")
+    # Other texts stay where they lie, however many are open.
+    texts = may_contain(keyed, bloom_filter(opened.select("uid"), ["uid"]))
     shards = opened.join(texts.dropDuplicates(["uid"]), "uid")
-    runs = stored(arrow_map(shards.select("uid", "text", "open"), _resolve, _RUNS_DDL), "runs")
-    local = arrow_map(runs.filter("anchor IS NULL"), _local_ranges, _RANGES_DDL)
-    across = runs.filter("anchor IS NOT NULL").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    merged = arrow_map(across, _merge, _RANGES_DDL)
-    return (
-        entire.union(local).union(merged).groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    )
+    runs = arrow_map(shards.select("uid", "text", "open"), _resolve, _RUNS_DDL)
+    merged = arrow_map(runs.repartition("anchor", "part").sortWithinPartitions("anchor", "part"), _merge, _RANGES_DDL)
+    return entire.union(merged).groupBy("uid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
 _ANCHORS = pa.schema([("mark", pa.int64()), ("anchor", pa.int64()), ("n_words", pa.int64())])
-_WINDOWS = pa.schema([("mark", pa.int64()), ("at", pa.int32()), ("digest", pa.int64())])
+_WINDOWS = pa.schema(
+    [
+        ("mark", pa.int64()),
+        ("anchor", pa.int64()),
+        ("whole", pa.int64()),
+        ("at", pa.int32()),
+        ("n", pa.int32()),
+        ("digests", pa.list_(pa.int64())),
+    ]
+)
+_WINDOWS_DDL = "mark long, anchor long, whole long, at int, n int, digests array<long>"
 
 
 def passage_anchors(block: Block, size: int) -> tuple[np.ndarray, ...]:
@@ -332,21 +332,69 @@ def _anchors(size: int):
 
 
 def _windows(size: int):
+    """Stretches of windows with one anchor: digest of the whole, first place, number and digests of the windows."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 mark, opened = (batch.column(c).slice(block.rows.start, len(block)) for c in ("mark", "anchors"))
                 _, row, at, anchor, hashes, texts = passage_anchors(block, size)
                 digest, _ = windows(hashes, texts, size)
-                on = np.isin(anchor, opened.flatten().to_numpy(zero_copy_only=False))
-                yield table(_WINDOWS, [mark.take(pa.array(row[on])), at[on].astype(np.int32), digest[on].view(np.int64)])
+                on = np.flatnonzero(np.isin(anchor, opened.flatten().to_numpy(zero_copy_only=False)))
+                if not on.size:
+                    continue
+                row, at, anchor, digest = row[on], at[on], anchor[on], digest[on]
+                new = np.ones(len(on), dtype=bool)
+                new[1:] = (np.diff(on) > 1) | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+                head = np.flatnonzero(new)
+                ends = np.append(head, len(on))
+                n = np.diff(ends)
+                place = np.arange(len(on)) - np.repeat(head, n)
+                whole = np.add.reduceat(mix(digest ^ mix(place.astype(U64) + U64(1))), head)
+                digests = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digest.view(np.int64)))
+                yield table(
+                    _WINDOWS,
+                    [
+                        mark.take(pa.array(row[head])),
+                        anchor[head],
+                        whole.view(np.int64),
+                        at[head].astype(np.int32),
+                        n.astype(np.int32),
+                        digests,
+                    ],
+                )
 
     return scan
 
 
-def _elsewhere(rows: DataFrame, key: str) -> DataFrame:
+def _elsewhere(rows: DataFrame, key: str, low: str = "mark", high: str = "mark") -> DataFrame:
     """The keys that different texts have."""
-    return rows.groupBy(key).agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high").select(key)
+    return rows.groupBy(key).agg(F.min(low).alias("low"), F.max(high).alias("high")).filter("low != high").select(key)
+
+
+def _compared(found: DataFrame, size: int) -> DataFrame:
+    """``mark, low, high``: word ranges of windows that different texts have, from the stretches of ``_windows``.
+
+    Stretches that agree as a whole are settled together; of each kind that shares its anchor with another kind, only the
+    windows of one text are compared.
+    """
+    kinds = found.groupBy("anchor", "whole").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    kinds = stored(kinds, "passage_kinds")
+    entire = (
+        found.select("mark", "anchor", "whole", "at", "n")
+        .join(kinds.filter("low != high").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
+        .select("mark", F.col("at").alias("low"), (F.col("at") + F.col("n") - 1 + size).alias("high"))
+    )
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.bool_or(F.expr("low = high")).alias("open"))
+    mixed = stored(mixed.filter("kinds > 1 AND open").select("anchor"), "passage_mixed")
+    one = stored(kinds.join(mixed, "anchor").select("anchor", "whole", F.col("low").alias("mark"), "high"), "passage_one")
+    key = ["anchor", "whole", "mark"]
+    opened = may_contain(found, bloom_filter(one, key)).join(one, key).select("mark", "high", "at", "digests")
+    each = stored(opened, "passage_compared").select("mark", "high", "at", F.posexplode("digests").alias("place", "digest"))
+    again = stored(_elsewhere(each, "digest", "mark", "high"), "passage_again")
+    low = F.col("at") + F.col("place")
+    partly = each.filter("mark = high").join(again, "digest", "left_semi").select("mark", low.alias("low"), (low + size).alias("high"))
+    return entire.union(partly)
 
 
 def repeated_passages(docs: DataFrame, size: int) -> DataFrame:
@@ -358,20 +406,15 @@ def repeated_passages(docs: DataFrame, size: int) -> DataFrame:
     copies = found.filter("anchor IS NULL").groupBy("mark").agg(F.count("*").alias("rows"), F.max("n_words").alias("n_passage_words"))
     anchors = found.filter("anchor IS NOT NULL").select("mark", "anchor")
     shared = stored(_elsewhere(anchors, "anchor"), "passage_shared")
-    opened = anchors.join(shared, "anchor", "left_semi").groupBy("mark").agg(F.collect_set("anchor").alias("anchors"))
-    opened = stored(opened, "passage_open")
-    few = opened.count() <= BROADCAST_ROWS
-    texts = marked.join(F.broadcast(opened.select("mark")) if few else opened.select("mark"), "mark", "left_semi")
+    # Inner joins with keys that come once: a semi-join would be pushed below the filter.
+    opened = may_contain(anchors, bloom_filter(shared, ["anchor"])).join(shared, "anchor")
+    opened = stored(opened.groupBy("mark").agg(F.collect_set("anchor").alias("anchors")), "passage_open")
+    texts = may_contain(marked, bloom_filter(opened.select("mark"), ["mark"]))
     texts = opened.join(texts.dropDuplicates(["mark"]), "mark").select("mark", "text", "anchors")
-    compared = stored(arrow_map(texts, _windows(size), "mark long, at int, digest long"), "passage_windows")
-    again = stored(_elsewhere(compared, "digest"), "passage_again")
-    before = F.lag("at", 1, -size).over(Window.partitionBy("mark").orderBy("at"))
-    across = (
-        compared.join(again, "digest", "left_semi")
-        .select("mark", F.least(F.lit(size), F.col("at") - before).alias("fresh"))
-        .groupBy("mark")
-        .agg(F.sum("fresh").alias("n_passage_words"))
-    )
+    spans = _compared(stored(arrow_map(texts, _windows(size), _WINDOWS_DDL), "passage_windows"), size)
+    before = F.max("high").over(Window.partitionBy("mark").orderBy("low").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("high") - F.greatest("low", F.coalesce(before, "low")))
+    across = spans.select("mark", fresh.alias("fresh")).groupBy("mark").agg(F.sum("fresh").alias("n_passage_words"))
     counts = copies.filter("rows > 1").select("mark", "n_passage_words").union(across)
     counts = counts.groupBy("mark").agg(F.max("n_passage_words").alias("n_passage_words"))
     return keyed.select("uid").distinct().withColumn("mark", F.xxhash64("uid")).join(counts, "mark").select("uid", "n_passage_words")
@@ -387,12 +430,15 @@ def removed(docs: DataFrame, passage: int | None = None) -> DataFrame:
     With ``passage``, also ``n_passage_words``: words in passages of at least so many words that another row has too,
     whatever their bytes. Nothing is removed for these.
     """
-    ranges = repeated_ranges(docs)
+    ranges, counted, ddl = repeated_ranges(docs), [], _CUT_DDL
     if passage:
         ranges = ranges.join(repeated_passages(docs, passage), "uid", "full")
+        counted, ddl = [F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words")], f"{_CUT_DDL}, n_passage_words long"
     ranges = stored(ranges, "ranges")
-    whole = docs.select("doc_id", "text", _uid().alias("uid")).join(ranges, "uid", "left")
-    if not passage:
-        return arrow_map(whole.select("doc_id", "text", "ranges"), _cut, _CUT_DDL)
-    whole = whole.withColumn("n_passage_words", F.coalesce("n_passage_words", F.lit(0)))
-    return arrow_map(whole.select("doc_id", "text", "ranges", "n_passage_words"), _cut, f"{_CUT_DDL}, n_passage_words long")
+    whole = docs.select("doc_id", "text", _uid().alias("uid"))
+    # Texts without ranges and passages, most of them, are measured where they lie.
+    listed = bloom_filter(ranges.select("uid"), ["uid"])
+    moved = may_contain(whole, listed).join(ranges, "uid", "left")
+    alone = lacks(whole, listed).withColumns({f.name: F.lit(None).cast(f.dataType) for f in ranges.schema if f.name != "uid"})
+    moved, alone = (arrow_map(df.select("doc_id", "text", "ranges", *counted), _cut, ddl) for df in (moved, alone))
+    return moved.union(alone)

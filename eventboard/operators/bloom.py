@@ -49,14 +49,30 @@ def bloom_filter(keys: DataFrame, columns: list[str]) -> Bloom:
     return Bloom(each.groupBy("bucket").agg(bits.alias("bits")), columns, buckets)
 
 
+def _is_set(place: Column) -> Column:
+    # Bits of a byte count from its end, bytes of a word from its front.
+    word, bit = F.floor((place - 1) / 64).cast("int"), ((place - 1) % 64).cast("int").bitwiseXOR(F.lit(56))
+    return F.getbit(F.get("_words", word), bit) == 1
+
+
+def _asked(df: DataFrame, bloom: Bloom, columns: list[str] | None, how: str) -> tuple[DataFrame, Column]:
+    bucket, places = _places(columns or bloom.columns, bloom.buckets)
+    # Numbers of 64 bits: a byte string would be copied for each place that is looked up.
+    words = F.transform(
+        F.sequence(F.lit(0), F.lit(BITS // 64 - 1)),
+        lambda k: F.conv(F.hex(F.substring("bits", k * 8 + 1, F.lit(8))), 16, -10).cast("long"),
+    )
+    table = F.broadcast(bloom.table.select(F.col("bucket").alias("_bucket"), words.alias("_words")))
+    return df.withColumn("_bucket", bucket).join(table, "_bucket", how), reduce(lambda a, b: a & b, map(_is_set, places))
+
+
 def may_contain(df: DataFrame, bloom: Bloom, columns: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` whose key (of the filter's columns, or those named here) may be in it. ``df`` is not shuffled."""
-    bucket, places = _places(columns or bloom.columns, bloom.buckets)
-    table = F.broadcast(bloom.table.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+    asked, found = _asked(df, bloom, columns, "inner")
+    return asked.filter(found).select(*df.columns)
 
-    def is_set(place: Column) -> Column:
-        byte = F.conv(F.hex(F.substring("_bits", F.floor((place - 1) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), ((place - 1) % 8).cast("int") + 1)) != 0
 
-    asked = df.withColumn("_bucket", bucket).join(table, "_bucket")
-    return asked.filter(reduce(lambda a, b: a & b, map(is_set, places))).select(*df.columns)
+def lacks(df: DataFrame, bloom: Bloom, columns: list[str] | None = None) -> DataFrame:
+    """The other rows of ``df``: those whose key is certainly not in the filter. ``df`` is not shuffled."""
+    asked, found = _asked(df, bloom, columns, "left")
+    return asked.filter(~F.coalesce(found, F.lit(False))).select(*df.columns)

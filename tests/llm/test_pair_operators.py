@@ -97,6 +97,53 @@ def test_passages_of_over_50_words_below_400_bytes(spark):
     assert substrings.removed(docs.limit(0), 51).count() == 0
 
 
+def test_passages_of_small_windows(spark):
+    rnd = random.Random(11)
+    pieces = [" ".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 14))) for _ in range(9)]
+    texts = [" ".join(rnd.choice([*pieces, rnd.choice("abcdefgh")]) for _ in range(rnd.randint(0, 12))) for _ in range(160)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = {hashlib.md5(t.encode()).digest(): n for t, n in zip(texts, brute_passages(texts, 6), strict=True) if n}
+    got = {bytes(r.uid): r.n_passage_words for r in substrings.repeated_passages(docs, 6).collect()}
+    assert got == want
+
+
+def test_windows_of_equal_stretches_are_compared_once(spark, monkeypatch):
+    rnd = random.Random(13)
+    own = lambda n: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(n))
+    common, tables = own(400), {}
+    texts = [f"{own(20)} {common} {own(20)}" for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    monkeypatch.setattr(substrings, "stored", lambda df, name, f=substrings.stored: tables.setdefault(name, f(df, name)))
+    got = [r.n_passage_words for r in substrings.repeated_passages(docs, 51).collect()]
+    assert got == [400] * 40
+    # 350 windows of each text are shared; those of stretches that all texts have are settled without their digests.
+    compared = tables["passage_compared"].selectExpr("sum(size(digests)) AS n").first().n or 0
+    assert compared < 40 * 350 / 3
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rnd = random.Random(17)
+    own = lambda n: " ".join(f"{rnd.getrandbits(40):x}" for _ in range(n))
+    twice = own(90)
+    rows = [(k, own(90)) for k in range(60)] + [(60, f"{own(60)} {twice}"), (61, f"{twice} {own(60)}"), (62, None), (63, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, -1)
+    try:
+        out = substrings.removed(docs, 51)
+        got = Counter((r.doc_id, tuple(r)[1:-1], r.n_passage_words) for r in out.collect())
+        plan = out._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union"
+        alone = plan.children().apply(1)
+        shuffles = spark._jsparkSession.sessionState().executePlan(alone, out._jdf.queryExecution().mode()).executedPlan().toString()
+        assert "MapInArrow" in shuffles and "hashpartitioning(uid" not in shuffles and "SortMergeJoin" not in shuffles
+    finally:
+        spark.conf.unset(key)
+    texts = [t or "" for _, t in rows]
+    brute = zip(brute_substrings([t.encode() for t in texts]), brute_passages(texts, 51), strict=True)
+    assert got == Counter((k, b, n) for (k, _), (b, n) in zip(rows, brute, strict=True))
+
+
 def shingle_set(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])

@@ -27,3 +27,14 @@ def test_size_is_bounded(spark, monkeypatch):
     keys = spark.range(30_000).selectExpr("id AS k")
     made = bloom.bloom_filter(keys, ["k"])
     assert made.buckets == 2 and bloom.may_contain(keys, made).count() == 30_000
+
+
+def test_rows_are_either_possible_or_lacking(spark):
+    made = bloom.bloom_filter(spark.range(0, 9_000, 3).selectExpr("id AS k"), ["k"])
+    asked = spark.range(9_000).selectExpr("nullif(id, 5) AS x", "'body' AS body")
+    kept, others = (f(asked, made, ["x"]) for f in (bloom.may_contain, bloom.lacks))
+    assert sorted((r.x or -1 for r in kept.union(others).collect())) == sorted((r.x or -1 for r in asked.collect()))
+    assert others.columns == asked.columns and others.count() > 5_900 and others.filter("x % 3 = 0").count() == 0
+    empty = bloom.bloom_filter(spark.range(0).selectExpr("id AS k"), ["k"])
+    assert bloom.lacks(asked, empty, ["x"]).count() == 9_000
+    assert "hashpartitioning(x" not in others._jdf.queryExecution().executedPlan().toString()
