@@ -52,7 +52,7 @@ def bloom_filter(keys: DataFrame, columns: list[str]) -> Bloom:
 def _is_set(place: Column) -> Column:
     # Bits of a byte count from its end, bytes of a word from its front.
     word, bit = F.floor((place - 1) / 64).cast("int"), ((place - 1) % 64).cast("int").bitwiseXOR(F.lit(56))
-    return F.getbit(F.get("_words", word), bit) == 1
+    return F.getbit(F.get("_bits", word), bit) == 1
 
 
 def _asked(df: DataFrame, bloom: Bloom, columns: list[str] | None, how: str) -> tuple[DataFrame, Column]:
@@ -62,7 +62,7 @@ def _asked(df: DataFrame, bloom: Bloom, columns: list[str] | None, how: str) ->
         F.sequence(F.lit(0), F.lit(BITS // 64 - 1)),
         lambda k: F.conv(F.hex(F.substring("bits", k * 8 + 1, F.lit(8))), 16, -10).cast("long"),
     )
-    table = F.broadcast(bloom.table.select(F.col("bucket").alias("_bucket"), words.alias("_words")))
+    table = F.broadcast(bloom.table.select(F.col("bucket").alias("_bucket"), words.alias("_bits")))
     return df.withColumn("_bucket", bucket).join(table, "_bucket", how), reduce(lambda a, b: a & b, map(_is_set, places))
 
 
